@@ -9,23 +9,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import near_dups, suffix_dedup
+from lorewell.llm import common, line_quality, near_dups, packing, suffix_dedup, token_files, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(
+        table(spark, sf_dir, "documents"),
+        common.scratch_path(spark, "token-files"),
+        tokens.default_vocabulary("word_bpe_49k.json"),
+        end_id=2,
+    )
+    return token_files.read_token_files(manifest)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_quality(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), tokens.default_vocabulary("byte_bpe_50k.json"), end_id=2, size=1024
+    )
+
+
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_line_quality": op7_line_quality,
+    "op9_best_fit": op9_best_fit,
     "op10_near_dups": op10_near_dups,
 }
 
