@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import common, line_quality, near_dups, packing, suffix_dedup, token_files, tokens
+from lorewell.llm import (
+    common,
+    decontaminate,
+    line_quality,
+    line_spread,
+    near_dups,
+    packing,
+    suffix_dedup,
+    token_files,
+    tokens,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +37,27 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_spread.remove_shared_lines(table(spark, sf_dir, "documents"), min_sites=12)
+    return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), tokens.default_vocabulary("byte_bpe_50k.json"), end_id=2, size=1024
@@ -46,10 +70,15 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_line_spread": op3_line_spread,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_line_quality": op7_line_quality,
+    "op8_decontaminate": op8_decontaminate,
     "op9_best_fit": op9_best_fit,
     "op10_near_dups": op10_near_dups,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_spread": line_spread.SQL.format(min_sites=12, max_share=0.5),
+}
