@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lorewell.llm import (
     common,
     decontaminate,
+    html_text,
+    license_rules,
     line_quality,
     line_spread,
     near_dups,
@@ -37,11 +39,19 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_spread.remove_shared_lines(table(spark, sf_dir, "documents"), min_sites=12)
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
 
@@ -70,7 +80,9 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_html_text": op2_html_text,
     "op3_line_spread": op3_line_spread,
+    "op4_license_rules": op4_license_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_line_quality": op7_line_quality,

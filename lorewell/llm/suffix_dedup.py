@@ -42,7 +42,7 @@ HOT_PIECES = 2000
 #: Bytes of pieces in one block, about; a block has one seed's pieces at least.
 BLOCK_BYTES = 1 << 20
 #: Pieces that a map task gathers before it looks for equal ones among them.
-GATHER = 1_500_000
+GATHER = 600_000
 _U = np.uint64
 
 
