@@ -1,23 +1,29 @@
 """Token ids of whole texts, by the tokenizers library, with a cache of words.
 
 Most time of a byte-pair tokenizer goes into words that it has met before.  For
-the two kinds of vocabulary where a blank between two visible characters is
-always a token boundary, texts are cut at such blanks, the library encodes each
-different piece once, and the ids are put together.  Other texts and other
-kinds of vocabulary go to the library whole.
+two kinds of vocabulary some places are always token boundaries: a blank
+between two visible characters, and a single newline between them.  Texts are
+cut there as bytes, the library encodes each different piece once, and the ids
+are put together.  Texts with other white space at such a place (or, where
+ASCII case is folded first, with combining marks) and other kinds of vocabulary
+go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
+from lorewell.llm import kernel
+
 #: Different pieces that one worker remembers; beyond that it starts anew.
-CACHE = 600_000
-_SPACE_RUN = re.compile(r"\s | \s|^\s|\s$")
+CACHE = 1_200_000
+_ODD_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_SPACE_PAIRS = (b"  ", b" \n", b"\n ", b"\n\n")
+# lead bytes of white space beyond ASCII
+_WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -32,46 +38,80 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         pre = said.get("pre_tokenizer") or {}
-        kind = pre.get("type")
-        last = (pre.get("pretokenizers") or [{}])[0]
-        if kind == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not said["normalizer"]:
-            self.mode = "lead"  # a piece begins with its blank
-        elif kind == "Sequence" and last.get("behavior") == "Removed" and last.get("invert"):
-            self.mode = "drop"  # white space only parts words
+        first = (pre.get("pretokenizers") or [{}])[0]
+        folds = {"type": "Lowercase"} in ((said.get("normalizer") or {}).get("normalizers") or [])
+        if (
+            pre.get("type") == "ByteLevel"
+            and pre.get("use_regex")
+            and not pre.get("add_prefix_space")
+            and not said.get("normalizer")
+        ):
+            self._one = self._leading  # a blank belongs to the word after it
+        elif pre.get("type") == "Sequence" and first.get("behavior") == "Removed" and first.get("invert") and folds:
+            self._one = self._dropped  # white space only parts words, and case is folded
         else:
-            self.mode = "whole"
-        self.seen: dict[str, bytes] = {}
+            self._one = None
+        self.at_start: dict[bytes, bytes] = {}  # ids of a piece where nothing or a newline is before it
+        self.after_blank: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in out]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self.mode == "whole":
-            return self._library(texts)
-        lead = self.mode == "lead"
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        if len(self.seen) > CACHE:
-            self.seen = {}
-        known = self.seen.keys()
-        for text in texts:
-            if lead and _SPACE_RUN.search(text):
-                cut.append(None)
+    def _learn(self, known: dict[bytes, bytes], new: set[bytes], lead: str) -> None:
+        missing = list(new - known.keys())
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
+            known.update(zip(part, self._library([lead + p.decode() for p in part])))
+
+    def _dropped(self, raw: list[bytes], whole: set[int]):
+        cut = []
+        for i, text in enumerate(raw):
+            if b"\xcc" in text or b"\xcd" in text:  # combining marks, which compose before case is folded
+                whole.add(i)
+                cut.append([])
+            else:
+                cut.append(text.lower().replace(b"\n", b" ").split(b" "))
+        self._learn(self.at_start, {p for parts in cut for p in parts}, "")
+        at = self.at_start.__getitem__
+        return [b"".join(map(at, parts)) for parts in cut]
+
+    def _leading(self, raw: list[bytes], whole: set[int]):
+        cut: list[list[list[bytes]]] = []
+        starts, rest = {b"\n"}, set()
+        for i, text in enumerate(raw):
+            if (
+                text[:1] in (b" ", b"\n")
+                or text[-1:] in (b" ", b"\n")
+                or len(text.translate(None, _ODD_SPACE)) < len(text)
+                or any(s in text for s in _SPACE_PAIRS)
+                or any(s in text for s in _WIDE_SPACE)
+            ):
+                whole.add(i)
+                cut.append([])
                 continue
-            parts = text.split(" ")
-            if lead:
-                parts[1:] = [" " + p for p in parts[1:]]
-            cut.append(parts)
-            new.update(parts)
-        new -= known
-        missing = list(new)
-        for i in range(0, len(missing), 2048):
-            part = missing[i : i + 2048]
-            self.seen.update(zip(part, self._library(part)))
-        at = self.seen.__getitem__
-        return [b"".join(map(at, p)) if p is not None else self._library([t])[0] for p, t in zip(cut, texts)]
+            lines = [line.split(b" ") for line in text.split(b"\n")]
+            cut.append(lines)
+            for line in lines:
+                starts.add(line[0])
+                rest.update(line[1:])
+        self._learn(self.at_start, starts, "")
+        self._learn(self.after_blank, rest, " ")
+        newline, start, blank = self.at_start[b"\n"], self.at_start.__getitem__, self.after_blank.__getitem__
+        return [newline.join([start(x[0]) + b"".join(map(blank, x[1:])) for x in lines]) for lines in cut]
+
+    def encode(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of each text (as UTF-8) as little-endian unsigned 32-bit integers."""
+        if self._one is None:
+            return self._library([t.decode() for t in raw])
+        if len(self.at_start) + len(self.after_blank) > CACHE:
+            self.at_start, self.after_blank = {}, {}
+        whole: set[int] = set()
+        out = self._one(raw, whole)
+        if whole:
+            for i, ids in zip(sorted(whole), self._library([raw[i].decode() for i in sorted(whole)])):
+                out[i] = ids
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -87,11 +127,13 @@ def default_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(column, path: str, end_id: int, texts_a_call: int = 64):
+def encoded(column, path: str, end_id: int, texts_a_call: int = 256):
     """(row, ids with the end id, as bytes) for a column of texts; null is empty."""
     e = encoder(path)
     end = np.array([end_id], "<u4").tobytes()
+    data, offsets = kernel.utf8(column)
+    raw, at = memoryview(data), offsets.tolist()
     for a in range(0, len(column), texts_a_call):
-        texts = [t or "" for t in column.slice(a, texts_a_call).to_pylist()]
-        for i, ids in enumerate(e.encode(texts)):
+        b = min(a + texts_a_call, len(column))
+        for i, ids in enumerate(e.encode([raw[at[k] : at[k + 1]].tobytes() for k in range(a, b)])):
             yield a + i, ids + end
