@@ -10,13 +10,16 @@ done after two or three.  Coordinates of two sets agree with the probability of
 their Jaccard similarity.  Bands of four coordinates give candidates; every
 link is confirmed on the full sets of 64-bit shingle hashes.
 
-Only connectivity is asked for, so a bucket is not expanded into all pairs:
-first every class is compared with the smallest member that it meets in any
-bucket, then with the largest, and classes that are already connected are not
-compared again.  What still lies in one bucket but in different components is
-compared pair by pair, if the set sizes allow the similarity at all.  Nothing is
-capped.  With 32 bands of four, a pair at similarity 0.85 is never a candidate
-with a probability of 5e-11, at 0.8 of 5e-8.
+Only connectivity is asked for, so pairs are never written down.  Classes that
+meet in any bucket, directly or over others, form a cluster; a cluster's sets go
+to one task, or if they are more than ``UNIT_GRAMS`` shingles, in parts of that
+size to one task for every two parts.  There, pairs whose sketches agree enough
+are confirmed on their full sets, the most alike first, and a pair that is
+already connected is skipped; a task returns the links of a spanning forest,
+fewer than it has members.  Nothing is capped.  With 32 bands of four, a pair
+at similarity 0.85 is never a candidate with a probability of 5e-11, at 0.8 of
+5e-8; the comparison of sketches (``AGREE`` standard deviations below the
+similarity asked for) adds 1e-9.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ from lorewell.llm import common, kernel
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+#: Shingles of a part of a cluster, about.
+UNIT_GRAMS = 1_500_000
+AGREE = 6.0
+#: Bytes of a bit matrix of members and shingles, beyond which sets are compared by sorting.
+BITS = 96 << 20
 _U = np.uint64
 
 
@@ -101,27 +109,139 @@ def _sketched(words: int):
 
 
 def _sets(words: int):
+    """Full sets and, of each coordinate of the sketch, one byte."""
+
     def run(batches):
         for batch in batches:
             for a, b, values, owner in shingle_sets(batch["_t"], words):
+                bytes_ = (kernel.mix(sketch(values, owner, b - a)) & _U(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["_key"].slice(a, b - a), kernel.lists(values.view(np.int64), owner, b - a)], ["id", "grams"]
+                    [
+                        batch["_key"].slice(a, b - a),
+                        kernel.lists(values.view(np.int64), owner, b - a),
+                        pa.array([x.tobytes() for x in bytes_], pa.binary()),
+                    ],
+                    ["id", "grams", "sketch"],
                 )
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(100 * both >= percent * (F.size("ga") + F.size("gb") - both))
-        .select("a", "b")
-    )
+class _Forest:
+    """Union-find over members; ``root`` is kept flat."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: int, b: int) -> bool:
+        ra, rb = self.root[a], self.root[b]
+        if ra == rb:
+            return False
+        self.root[self.root == max(ra, rb)] = min(ra, rb)
+        return True
+
+
+def spanning_links(
+    values: np.ndarray, first: np.ndarray, sketches: np.ndarray, part: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the members whose sets are similar enough.
+
+    Member i has the distinct ``values[first[i]:first[i+1]]``.  If ``part`` has
+    two values, only pairs across them are compared.
+    """
+    n = len(first) - 1
+    size = np.diff(first)
+    vocabulary, code = np.unique(values, return_inverse=True)
+    width = -(-len(vocabulary) // 8)
+    bits = None
+    if n * width <= BITS:
+        bits = np.zeros((n, width), np.uint8)
+        row = np.repeat(np.arange(n), size)
+        np.bitwise_or.at(bits.reshape(-1), row * width + (code >> 3), np.left_shift(1, code & 7).astype(np.uint8))
+
+    def common_grams(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if bits is not None:
+            out = np.zeros(len(a), np.int64)
+            step = max(1, (16 << 20) // max(width, 1))
+            for k in range(0, len(a), step):
+                out[k : k + step] = np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(1)
+            return out
+        who = np.arange(len(a)) * len(vocabulary)
+        keys = np.concatenate(
+            [np.repeat(who, size[x]) + np.concatenate([code[first[i] : first[i + 1]] for i in x]) for x in (a, b)]
+        )
+        keys.sort()
+        return np.bincount(keys[1:][keys[1:] == keys[:-1]] // len(vocabulary), minlength=len(a))
+
+    s = percent / 100
+    least = BINS * s - AGREE * np.sqrt(BINS * s * (1 - s))
+    forest, links = _Forest(n), []
+    two = len(np.unique(part)) > 1
+    by_coordinate = np.ascontiguousarray(sketches.T)
+    for at in range(0, n, 128):
+        rows = np.arange(at, min(at + 128, n))
+        agree = np.zeros((len(rows), n), np.uint8)
+        for c in by_coordinate:
+            agree += c[rows][:, None] == c
+        good = (agree >= least) & (np.arange(n) > rows[:, None])
+        good &= 100 * np.minimum(size[rows][:, None], size) >= percent * np.maximum(size[rows][:, None], size)
+        if two:
+            good &= part[rows][:, None] != part
+        a, b = np.nonzero(good)
+        order = np.argsort(-agree[a, b].astype(np.int16), kind="stable")
+        a, b = rows[a[order]], b[order]
+        step = 64
+        while len(a):
+            both = common_grams(a[:step], b[:step])
+            hit = 100 * both >= percent * (size[a[:step]] + size[b[:step]] - both)
+            for i, j in zip(a[:step][hit].tolist(), b[:step][hit].tolist()):
+                if forest.join(i, j):
+                    links.append((i, j))
+            a, b = a[step:], b[step:]
+            apart = forest.root[a] != forest.root[b]
+            a, b = a[apart], b[apart]
+            step = min(2 * step, 4096)
+    return links
+
+
+def _linked(percent: int):
+    """Over rows (unit, side, id, grams, sketch) sorted by unit: spanning links of each unit."""
+
+    def solve(held):
+        ids = np.concatenate([h[0] for h in held])
+        side = np.concatenate([h[1] for h in held])
+        values = np.concatenate([h[2] for h in held])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([h[3] for h in held]))])
+        sketches = np.concatenate([h[4] for h in held])
+        links = spanning_links(values, first, sketches, side, percent) if len(ids) > 1 else []
+        a, b = (ids[[x[k] for x in links]] if links else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            unit = batch["unit"].to_numpy()
+            if not len(unit):
+                continue
+            ids, side = batch["id"].to_numpy(), batch["side"].to_numpy()
+            grams = batch["grams"]
+            offsets = grams.offsets.to_numpy()
+            values = grams.values.to_numpy()
+            data, _ = kernel.utf8(batch["sketch"])
+            sketches = data.reshape(-1, BINS)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and unit[a] != last:
+                    yield solve(held)
+                    held = []
+                last = unit[a]
+                held.append((
+                    ids[a:b], side[a:b], values[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1]), sketches[a:b]
+                ))
+        if held:
+            yield solve(held)
+
+    return run
 
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -171,39 +291,33 @@ def near_duplicates(
     sets = common.saved(
         keyed.select("_key", "_t")
         .join(common.if_small(wanted), "_key", "left_semi")
-        .mapInArrow(_sets(words), "id long, grams array<long>"),
+        .mapInArrow(_sets(words), "id long, grams array<long>, sketch binary"),
         "sets",
     )
-    sized = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        return common.saved(verified(pairs.distinct(), sets, percent), "links")
-
-    # each class against the smallest, then the largest, that it meets
-    size_of = own.where("_key = id").select("id", "n")
-    links = None
-    label = own.where("_key = id").select("id", F.col("id").alias("c"))
-    for pick in (F.min("low"), F.max("high")):
-        one = met.groupBy("id", "n").agg(pick.alias("a"))
-        one = (
-            one.join(label, "id")
-            .join(label.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a")
-            .where("c <> ca")
-            .join(size_of.select(F.col("id").alias("a"), F.col("n").alias("m")), "a")
-            .where(sized)
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    cluster = common.components(met.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+    member = common.saved(
+        sets.join(cluster, "id").withColumn("n", F.size("grams")).select("id", "component", "n", "grams", "sketch"),
+        "clusters",
+    )
+    parts = member.groupBy("component").agg(F.ceil(F.sum("n") / UNIT_GRAMS).cast("int").alias("parts"))
+    own_part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    units = (
+        member.join(parts, "component")
+        .withColumn("side", own_part)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            F.xxhash64("component", F.least("side", "other"), F.greatest("side", "other")).alias("unit"),
+            "side",
+            "id",
+            "grams",
+            "sketch",
         )
-        found = compare(one)
-        links = found if links is None else links.unionByName(found)
-        label = _labels(size_of, links)
-    # whatever still shares a bucket across components
-    far = met.select("band", "id", "n").join(label, "id")
-    split = far.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    far = common.saved(far.join(split, "band", "left_semi"), "split")
-    other = far.select("band", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
-    pairs = far.withColumnRenamed("id", "a").join(other, "band").where(f"a < b AND c <> cb AND {sized}")
-    links = links.unionByName(compare(pairs.select("a", "b")))
-    label = _labels(size_of, links)
+    )
+    links = common.saved(
+        units.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(_linked(percent), "a long, b long"),
+        "links",
+    )
+    label = _labels(own.where("_key = id").select("id"), links)
     placed = keyed.select("_key", "_id").join(own.join(label, "id").select("_key", "n", "c"), "_key", "left")
     placed = placed.withColumn("c", F.coalesce("c", "_key")).withColumn("n", F.coalesce("n", F.lit(0)))
     if same:
