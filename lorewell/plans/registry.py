@@ -2,5 +2,261 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorewell.functions import text as T
+from lorewell.operators import blocks as B
+from lorewell.operators import concepts as C
+from lorewell.operators import notes as N
+from lorewell.operators import retrieval as R
+from lorewell.plans import views as V
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.build_blocks(N.filter_notes(V.notes(spark, sf_dir)))
+
+
+def _keyword_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_blocks(R.keyword_scores(_blocks(spark, sf_dir), V.queries(spark, sf_dir)), limit=16)
+
+
+def _vector_top(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    e = V.table(spark, sf_dir, "embeddings")
+    asked = e.join(V.queries(spark, sf_dir).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = asked.select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.vector_scores(e.select(F.col("vec_id").alias("id"), "embedding"), asked, n)
+
+
+def token_counts(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(T.tokenize(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+def slugs(spark, sf_dir):
+    n = V.notes(spark, sf_dir)
+    return n.select("doc_id", T.slugify(F.col("title"), 60).alias("slug"))
+
+
+def url_routes(spark, sf_dir):
+    p = V.table(spark, sf_dir, "pages")
+    return p.select("page_id", T.route_url(F.col("url")).alias("route"))
+
+
+def stages(spark, sf_dir):
+    return N.stage_listing(V.notes(spark, sf_dir))
+
+
+def facet_filter(spark, sf_dir):
+    return N.filter_notes(V.notes(spark, sf_dir), market=["en", "de"]).select("article_key", "status", "title")
+
+
+def sync_plan(spark, sf_dir):
+    return N.sync_plan(V.notes(spark, sf_dir))
+
+
+def blocks(spark, sf_dir):
+    return B.with_block_id(_blocks(spark, sf_dir)).select("block_id", "article_key", "ordinal", "block_type", "text")
+
+
+def block_counts(spark, sf_dir):
+    n = V.notes(spark, sf_dir)
+    return B.block_counts(n, B.build_blocks(N.filter_notes(n)))
+
+
+def changed(spark, sf_dir):
+    return B.changed_articles(V.notes(spark, sf_dir).select("article_key", "hash"), V.manifest(spark, sf_dir)).select(
+        "article_key", "state"
+    )
+
+
+def retrieve_keyword(spark, sf_dir):
+    return _keyword_top(spark, sf_dir).select("query_id", "article_key", "ordinal", "block_type", "score", "rank")
+
+
+def retrieve_vector(spark, sf_dir):
+    return _vector_top(spark, sf_dir, 24).select("query_id", "id", "score", "rank")
+
+
+def retrieve_hybrid(spark, sf_dir):
+    b = _blocks(spark, sf_dir).where("ordinal = 0")
+    v = _vector_top(spark, sf_dir, 24).withColumn("article_key", F.concat(F.lit("raw/"), F.col("id").cast("string")))
+    v = v.join(b.select("article_key", "ordinal", "block_type"), "article_key")
+    return R.rrf_fusion(_keyword_top(spark, sf_dir), v, limit=8).select(
+        "query_id", "article_key", "ordinal", "block_type", "score", "rank"
+    )
+
+
+def concept_confidence(spark, sf_dir):
+    return C.confidence(V.concepts(spark, sf_dir)).select("slug", "confidence")
+
+
+def duplicate_aliases(spark, sf_dir):
+    return C.duplicate_aliases(V.concepts(spark, sf_dir)).select("alias", F.array_join("slugs", ",").alias("slugs"))
+
+
+def lint(spark, sf_dir):
+    return C.lint(V.concepts(spark, sf_dir))
+
+
+def lint_summary(spark, sf_dir):
+    return C.lint_summary(C.lint(V.concepts(spark, sf_dir)))
+
+
+def importance(spark, sf_dir):
+    state = V.concepts(spark, sf_dir).select("slug", F.lit(0.1).alias("importance"))
+    return C.apply_importance(V.query_log(spark, sf_dir), state)
+
+
+def last_queries(spark, sf_dir):
+    return C.last_queries(V.query_log(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        token_counts,
+        slugs,
+        url_routes,
+        stages,
+        facet_filter,
+        sync_plan,
+        blocks,
+        block_counts,
+        changed,
+        retrieve_keyword,
+        retrieve_vector,
+        retrieve_hybrid,
+        concept_confidence,
+        duplicate_aliases,
+        lint,
+        lint_summary,
+        importance,
+        last_queries,
+    )
+}
+
+_NOTES = """
+lines AS (SELECT d.*, string_split(text, chr(10)) AS l FROM documents d),
+notes AS (
+  SELECT doc_id, 'raw/' || doc_id AS article_key, substr(l[1], 1, 80) AS title,
+    CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 AND doc_id % 3 = 0 THEN 'high_value'
+         WHEN quality = 1 THEN 'reviewed' ELSE 'raw' END AS status,
+    lang, text, l, sha256(text) AS hash
+  FROM lines LEFT JOIN labels USING (doc_id))
+"""
+_STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+_BLOCKS = f"""{_NOTES},
+parts AS (
+  SELECT article_key, 1 AS p, i, 'idea_blocks' AS block_type, substr(l[i + 1], 1, 120) AS text
+  FROM notes, unnest([1, 2, 3]) AS r(i) WHERE status IN ('reviewed', 'high_value') AND i + 1 <= len(l)
+  UNION ALL SELECT article_key, 2, 0, 'failure_modes', l[len(l)] FROM notes
+  WHERE status IN ('reviewed', 'high_value') AND len(l) >= 3
+  UNION ALL SELECT article_key, 3, n, 'main_content', substr({_STRIP.format("line")}, 1, 400) FROM (
+    SELECT article_key, l[i] AS line, row_number() OVER (PARTITION BY article_key ORDER BY i) AS n
+    FROM notes, unnest(range(1, len(l) + 1)) AS r(i)
+    WHERE status IN ('reviewed', 'high_value') AND {_STRIP.format("l[i]")} <> '') WHERE n <= 6),
+blocks AS (
+  SELECT article_key, cast(row_number() OVER (PARTITION BY article_key ORDER BY p, i) - 1 AS int) AS ordinal,
+    block_type, {_STRIP.format("text")} AS text
+  FROM parts WHERE {_STRIP.format("text")} NOT IN ('', '_none_', '_pending_'))
+"""
+_TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+'))"
+_RANK = (
+    "round(score + CASE block_type WHEN 'idea_blocks' THEN 0.04::double WHEN 'failure_modes' THEN 0.02::double "
+    "ELSE 0::double END, 6)"
+)
+_KEYWORD = f"""{_BLOCKS},
+q AS (SELECT item_id AS query_id, len({_TOKENS.format("text")}) AS n, unnest({_TOKENS.format("text")}) AS token
+      FROM benchmark),
+b AS (SELECT article_key, ordinal, block_type, unnest({_TOKENS.format("text")}) AS token FROM blocks),
+scored AS (
+  SELECT query_id, article_key, ordinal, block_type,
+    round(count(*) / any_value(n)::double + CASE block_type WHEN 'idea_blocks' THEN 0.25::double
+          WHEN 'failure_modes' THEN 0.2::double ELSE 0::double END, 6) AS score
+  FROM b JOIN q USING (token) GROUP BY query_id, article_key, ordinal, block_type),
+few AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_key ORDER BY {_RANK} DESC, ordinal) AS k FROM scored),
+keyword AS (
+  SELECT query_id, article_key, ordinal, block_type, score,
+    cast(row_number() OVER (PARTITION BY query_id ORDER BY {_RANK} DESC, article_key, ordinal) AS int) AS rank
+  FROM few WHERE k <= 3 QUALIFY rank <= 16)
+"""
+_VECTOR = """
+near AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, round(greatest(list_cosine_similarity(
+    q.embedding::double[], e.embedding::double[]), 0), 6) AS score
+  FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+vector AS (
+  SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS int) AS rank
+  FROM near QUALIFY rank <= 24)
+"""
+_CONCEPTS = """
+concepts AS (
+  SELECT 'concept-' || source AS slug, CASE WHEN low % 3 = 2 THEN 'proposed' ELSE 'stable' END AS status,
+    'alias ' || (low % 4) AS alias, low % 2 = 0 AS sourced, high % 2 AS compile_version, n % 2 = 0 AS filled
+  FROM (SELECT source, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM documents GROUP BY source))
+"""
+_LINT = f"""{_CONCEPTS},
+issues AS (
+  SELECT 'error' AS severity, 'unsupported_claims' AS kind, slug, 'synthesis without sources' AS message
+  FROM concepts WHERE status = 'stable' AND filled AND NOT sourced
+  UNION ALL SELECT 'info', 'seed_stub', slug, 'seed without sources' FROM concepts
+  WHERE status = 'stable' AND NOT sourced AND compile_version = 0
+  UNION ALL SELECT 'warning', 'orphan_concepts', slug, 'no sources' FROM concepts
+  WHERE status = 'stable' AND NOT sourced AND compile_version > 0
+  UNION ALL SELECT 'warning', 'schema_empty_synthesis', slug, 'empty' FROM concepts
+  WHERE status = 'stable' AND compile_version > 0 AND NOT filled
+  UNION ALL SELECT 'warning', 'unsupported_bullets', slug, 'second' FROM concepts WHERE status = 'stable')
+"""
+_LOG = """
+cited AS (
+  SELECT conv_id * 1000 + turn AS query_id,
+    unnest(list_distinct(['concept-src' || ((conv_id + turn) % 20), 'concept-src' || ((conv_id * 7 + turn) % 20)])) AS slug
+  FROM conversations WHERE role = 'user')
+"""
+ORACLE_SQL = {
+    "token_counts": f"SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens FROM documents",
+    "slugs": f"""WITH {_NOTES} SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(title),
+        '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug FROM notes""",
+    "url_routes": """SELECT page_id, CASE WHEN lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) LIKE '%mp.weixin.qq.com'
+        THEN 'wechat' WHEN lower(string_split(url, '?')[1]) LIKE '%.pdf' THEN 'pdf' ELSE 'web' END AS route FROM pages""",
+    "stages": f"WITH {_NOTES} SELECT status, count(*) AS n FROM notes GROUP BY status",
+    "facet_filter": f"""WITH {_NOTES} SELECT article_key, status, title FROM notes
+        WHERE status IN ('reviewed', 'high_value') AND lang IN ('en', 'de')""",
+    "sync_plan": f"""WITH {_NOTES}, a AS (SELECT article_key, status, CASE WHEN text IS NULL THEN 'skip'
+        WHEN status = 'rejected' THEN 'delete' WHEN status IN ('reviewed', 'high_value') THEN 'move'
+        ELSE 'skip' END AS action, text IS NULL AS missing FROM notes)
+        SELECT article_key, status, CASE WHEN action = 'move' THEN status ELSE '' END AS target, action,
+        CASE WHEN missing THEN 'article missing' WHEN action = 'skip' THEN 'status not syncable' ELSE '' END AS reason
+        FROM a""",
+    "block_counts": f"""WITH {_BLOCKS} SELECT n.article_key, count(b.article_key) AS block_count
+        FROM notes n LEFT JOIN blocks b USING (article_key) GROUP BY ALL""",
+    "blocks": f"""WITH {_BLOCKS} SELECT replace(article_key, '/', '__') || '__' || block_type || '__' || ordinal || '__'
+        || substr(sha1(article_key || '|' || block_type || '|' || ordinal || '|' || text), 1, 16) AS block_id,
+        article_key, ordinal, block_type, text FROM blocks""",
+    "changed": f"""WITH {_NOTES} SELECT article_key, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0
+        THEN 'changed' ELSE 'same' END AS state FROM notes""",
+    "retrieve_keyword": f"WITH {_KEYWORD} SELECT * FROM keyword",
+    "retrieve_vector": f"WITH {_VECTOR} SELECT * FROM vector",
+    "retrieve_hybrid": f"""WITH {_KEYWORD}, {_VECTOR},
+        both_ AS (SELECT query_id, article_key, ordinal, block_type, rank FROM keyword UNION ALL
+          SELECT v.query_id, b.article_key, b.ordinal, b.block_type, v.rank FROM vector v
+          JOIN blocks b ON b.article_key = 'raw/' || v.id AND b.ordinal = 0),
+        fused AS (SELECT query_id, article_key, ordinal, block_type, round(sum(1.0::double / (60 + rank)), 9) AS score
+          FROM both_ GROUP BY query_id, article_key, ordinal, block_type)
+        SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY {_RANK} DESC, article_key, ordinal) AS int)
+        AS rank FROM fused QUALIFY rank <= 8""",
+    "concept_confidence": f"WITH {_CONCEPTS} SELECT slug, 0.5::double AS confidence FROM concepts",
+    "duplicate_aliases": f"""WITH {_CONCEPTS} SELECT alias, string_agg(slug, ',' ORDER BY slug) AS slugs FROM concepts
+        WHERE status = 'stable' GROUP BY alias HAVING count(DISTINCT slug) > 1""",
+    "lint": f"WITH {_LINT} SELECT * FROM issues",
+    "lint_summary": f"""WITH {_LINT} SELECT count(*) FILTER (WHERE severity = 'error') AS errors,
+        count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos,
+        count(*) FILTER (WHERE severity = 'error') = 0 AS ok FROM issues""",
+    "importance": f"""WITH {_CONCEPTS}, {_LOG}, n AS (SELECT slug, count(*) AS n FROM cited GROUP BY slug)
+        SELECT slug, round(least(CASE WHEN c.slug IS NULL THEN 0::double ELSE 0.1::double END
+        + 0.05::double * coalesce(n, 0), 1::double), 4) AS importance
+        FROM concepts c FULL JOIN n USING (slug)""",
+    "last_queries": f"""WITH {_LOG} SELECT slug, query_id, cast(row_number() OVER (PARTITION BY slug
+        ORDER BY query_id DESC) AS int) AS place FROM cited QUALIFY place <= 5""",
+}
