@@ -70,20 +70,27 @@ def cuts(n_tokens: int, size: int) -> list[tuple[int, int]]:
 _PIECE = "_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _piece_batch(rows: list[tuple], with_ids: bool):
+    cols = list(zip(*rows)) if rows else [[]] * 7
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["_key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+    k = 7 if with_ids else 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], kinds[:k])], names[:k])
+
+
 def _cut(path: str, end_id: int, size: int, with_ids: bool):
     def run(batches):
         for batch in batches:
             keys, ids = batch["_key"].to_pylist(), batch["_id"].to_pylist()
             rows = []
             for row, raw in tokens.encoded(batch["_t"], path, end_id):
+                if len(rows) >= 4000:
+                    yield _piece_batch(rows, with_ids)
+                    rows = []
                 for k, (start, n) in enumerate(cuts(len(raw) // 4, size)):
                     part = raw[4 * start : 4 * (start + n)]
                     rows.append((keys[row], ids[row], k, start, n, zlib.crc32(part), part if with_ids else None))
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["_key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            k = 7 if with_ids else 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], kinds[:k])], names[:k])
+            yield _piece_batch(rows, with_ids)
 
     return run
 

@@ -19,7 +19,7 @@ import numpy as np
 from lorewell.llm import kernel
 
 #: Different pieces that one worker remembers; beyond that it starts anew.
-CACHE = 1_200_000
+CACHE = 1_000_000
 _ODD_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _SPACE_PAIRS = (b"  ", b" \n", b"\n ", b"\n\n")
 # lead bytes of white space beyond ASCII
