@@ -38,8 +38,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of at most 1024."""
-    return packing.pack_documents(docs, tokens.default_vocabulary("byte_bpe_50k.json"), end_id=2, size=1024)
+    """Token pieces placed in sequences of at most 1024; a small cache, since workers hold memory of earlier stages."""
+    vocabulary = tokens.default_vocabulary("byte_bpe_50k.json")
+    return packing.pack_documents(docs, vocabulary, end_id=2, size=1024, cache=200_000)
 
 
 STAGES = [

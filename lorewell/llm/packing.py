@@ -78,12 +78,12 @@ def _piece_batch(rows: list[tuple], with_ids: bool):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], kinds[:k])], names[:k])
 
 
-def _cut(path: str, end_id: int, size: int, with_ids: bool):
+def _cut(path: str, end_id: int, size: int, with_ids: bool, cache: int):
     def run(batches):
         for batch in batches:
             keys, ids = batch["_key"].to_pylist(), batch["_id"].to_pylist()
             rows = []
-            for row, raw in tokens.encoded(batch["_t"], path, end_id):
+            for row, raw in tokens.encoded(batch["_t"], path, end_id, cache):
                 if len(rows) >= 4000:
                     yield _piece_batch(rows, with_ids)
                     rows = []
@@ -117,6 +117,7 @@ def pack_documents(
     size: int = 1024,
     open_bins: int = OPEN_BINS,
     with_ids: bool = False,
+    cache: int = tokens.CACHE,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -126,14 +127,15 @@ def pack_documents(
     offset, and the ids as little-endian unsigned 32-bit integers if asked for.
     Texts are encoded whole; null and empty ones have the end id alone.  Rows
     that repeat an id or have none are packed as documents of their own.  An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored.  ``cache``
+    bounds the word pieces that a worker remembers, some 200 bytes each.
     """
     keyed, _ = common.row_keyed(
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")), "_id", "_t"
     )
     schema = _PIECE + ", ids binary" * with_ids
     pieces = common.saved(
-        keyed.select("_key", "_id", "_t").mapInArrow(_cut(vocabulary, end_id, size, with_ids), schema), "token-pieces"
+        keyed.select("_key", "_id", "_t").mapInArrow(_cut(vocabulary, end_id, size, with_ids, cache), schema), "token-pieces"
     )
     n = max(1, round(pieces.count() / PIECES))
     placed = (

@@ -100,11 +100,11 @@ class Encoder:
         newline, start, blank = self.at_start[b"\n"], self.at_start.__getitem__, self.after_blank.__getitem__
         return [newline.join([start(x[0]) + b"".join(map(blank, x[1:])) for x in lines]) for lines in cut]
 
-    def encode(self, raw: list[bytes]) -> list[bytes]:
-        """Ids of each text (as UTF-8) as little-endian unsigned 32-bit integers."""
+    def encode(self, raw: list[bytes], cache: int = CACHE) -> list[bytes]:
+        """Ids of each text (as UTF-8) as little-endian unsigned 32-bit integers; ``cache`` bounds the pieces kept."""
         if self._one is None:
             return self._library([t.decode() for t in raw])
-        if len(self.at_start) + len(self.after_blank) > CACHE:
+        if len(self.at_start) + len(self.after_blank) > cache:
             self.at_start, self.after_blank = {}, {}
         whole: set[int] = set()
         out = self._one(raw, whole)
@@ -127,7 +127,7 @@ def default_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(column, path: str, end_id: int, texts_a_call: int = 256):
+def encoded(column, path: str, end_id: int, cache: int = CACHE, texts_a_call: int = 256):
     """(row, ids with the end id, as bytes) for a column of texts; null is empty."""
     e = encoder(path)
     end = np.array([end_id], "<u4").tobytes()
@@ -135,5 +135,5 @@ def encoded(column, path: str, end_id: int, texts_a_call: int = 256):
     raw, at = memoryview(data), offsets.tolist()
     for a in range(0, len(column), texts_a_call):
         b = min(a + texts_a_call, len(column))
-        for i, ids in enumerate(e.encode([raw[at[k] : at[k + 1]].tobytes() for k in range(a, b)])):
+        for i, ids in enumerate(e.encode([raw[at[k] : at[k + 1]].tobytes() for k in range(a, b)], cache)):
             yield a + i, ids + end
