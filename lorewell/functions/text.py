@@ -77,8 +77,9 @@ def valid_slug(slug: Column) -> Column:
 
 def freshness(last_compiled: Column, as_of: Column) -> Column:
     """Halves every 60 days; 0 without a valid date."""
-    days = F.greatest(F.datediff(as_of, F.try_to_date(last_compiled)), F.lit(0))
-    return F.coalesce(F.exp(-math.log(2) * days / HALF_LIFE_DAYS), F.lit(0.0))
+    days = F.datediff(as_of, F.try_to_date(last_compiled))
+    value = F.exp(-math.log(2) * F.greatest(days, F.lit(0)) / HALF_LIFE_DAYS)
+    return F.when(days.isNull(), 0.0).otherwise(value)  # greatest skips nulls
 
 
 def memory_score(confidence: Column, importance: Column, fresh: Column, sources: Column, conflicts: Column) -> Column:

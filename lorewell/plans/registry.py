@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 from lorewell.operators import blocks as B
+from lorewell.operators import compiling as K
 from lorewell.operators import concepts as C
+from lorewell.operators import ideas as I
+from lorewell.operators import maintenance as M
 from lorewell.operators import notes as N
 from lorewell.operators import retrieval as R
 from lorewell.plans import views as V
@@ -112,6 +115,96 @@ def last_queries(spark, sf_dir):
     return C.last_queries(V.query_log(spark, sf_dir))
 
 
+def _assignments(spark, sf_dir):
+    return K.parse_assignments(V.answers(spark, sf_dir))
+
+
+def assignments(spark, sf_dir):
+    return _assignments(spark, sf_dir).select(
+        "article_key",
+        F.array_join("existing", ",").alias("existing"),
+        F.array_join(F.transform("proposed", lambda p: F.concat_ws("=", p["slug"], p["title"])), ",").alias("proposed"),
+        F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
+def _summaries(spark, sf_dir):
+    notes = V.notes(spark, sf_dir).withColumn("summary", F.col("main_content")).withColumn("content_type", F.element_at("market", 1))
+    return K.source_summaries(notes, _assignments(spark, sf_dir), "2026-01-01")
+
+
+def source_summaries(spark, sf_dir):
+    return _summaries(spark, sf_dir).select(
+        "article_key", "title", F.array_join("feeds_concepts", ",").alias("feeds"), "takeaway",
+        F.size("top_idea_blocks").alias("n_ideas"), "ingested",
+    )
+
+
+def proposed_concepts(spark, sf_dir):
+    out = K.proposed_concepts(_assignments(spark, sf_dir), V.concepts(spark, sf_dir))
+    return out.select("slug", "title", "status", "definition", "synthesis", F.col("sources")[0].alias("source"), "compile_version")
+
+
+def _concept_sources(spark, sf_dir):
+    changed = B.changed_articles(V.notes(spark, sf_dir).select("article_key", "hash"), V.manifest(spark, sf_dir))
+    return K.concept_sources(V.concepts(spark, sf_dir), K.feeds(_assignments(spark, sf_dir)), changed.where("state <> 'same'"))
+
+
+def concept_sources(spark, sf_dir):
+    return _concept_sources(spark, sf_dir)
+
+
+def prompt_sources(spark, sf_dir):
+    return K.prompt_sources(_concept_sources(spark, sf_dir))
+
+
+def concept_state(spark, sf_dir):
+    c = V.concepts(spark, sf_dir)
+    c = c.withColumn("title", F.upper(F.col("aliases")[0])).withColumn(
+        "last_compiled", F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), F.length("slug") * 20), "yyyy-MM-dd")
+    )
+    state = c.select("slug", F.col("compile_version").alias("conflicts"))
+    out = K.concept_state(c, state, "2026-01-01")
+    return out.select(
+        "slug", "status", "source_count", "importance", F.round("freshness", 6).alias("freshness"),
+        F.array_join("retrieval_hints", "|").alias("hints"), "conflicts",
+    )
+
+
+def citations(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations").where("role = 'user'")
+    raw = F.concat(F.lit("kb/raw/"), ((F.col("conv_id") * 3 + F.col("turn")) % 150).cast("string"), F.lit("/article.md"))
+    page = F.concat(F.lit("wiki/concepts/concept-src"), (F.col("turn") % 30).cast("string"), F.lit(".md"))
+    paths = F.array(raw, page, F.lit("outputs/x.md"))
+    got = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.explode(paths).alias("path"))
+    s = _summaries(spark, sf_dir).select(F.substring_index("article_key", "/", -1).alias("name"), "feeds_concepts")
+    return M.resolve_citations(got, V.concepts(spark, sf_dir), s)
+
+
+def unmapped_clusters(spark, sf_dir):
+    s = _summaries(spark, sf_dir).select("content_type", "feeds_concepts", F.col("article_key").alias("name"))
+    return M.unmapped_clusters(s).select("slug", "n", F.array_join("names", ",").alias("names"))
+
+
+def idea_traceability(spark, sf_dir):
+    return I.traceability(V.ideas(spark, sf_dir), V.retrieved_titles(spark, sf_dir))
+
+
+def idea_novelty(spark, sf_dir):
+    asked = V.queries(spark, sf_dir).select(F.col("query_id").alias("idea_id"))
+    near = _vector_top(spark, sf_dir, I.NEIGHBOURS + 1).where("query_id <> id")
+    out = I.novelty(asked, near.select(F.col("query_id").alias("idea_id"), "id", "score"))
+    return out.fillna({"best_id": -1, "best_score": 0.0})
+
+
+def idea_quality(spark, sf_dir):
+    ideas = V.ideas(spark, sf_dir)
+    judged = ideas.where("idea_id % 3 <> 0").select(
+        "idea_id", ((F.col("idea_id") % 7) / 5.0).alias("coherence"), ((F.col("idea_id") % 4) / 4.0).alias("actionability")
+    )
+    return I.composite(I.traceability(ideas, V.retrieved_titles(spark, sf_dir)), judged)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -133,6 +226,17 @@ QUERIES = {
         lint_summary,
         importance,
         last_queries,
+        assignments,
+        source_summaries,
+        proposed_concepts,
+        concept_sources,
+        prompt_sources,
+        concept_state,
+        citations,
+        unmapped_clusters,
+        idea_traceability,
+        idea_novelty,
+        idea_quality,
     )
 }
 
@@ -214,6 +318,36 @@ cited AS (
     unnest(list_distinct(['concept-src' || ((conv_id + turn) % 20), 'concept-src' || ((conv_id * 7 + turn) % 20)])) AS slug
   FROM conversations WHERE role = 'user')
 """
+_ASSIGNED = """
+assigned AS (
+  SELECT *, 'raw/' || doc_id AS article_key, doc_id % 11 = 0 AS bad,
+    CASE WHEN doc_id % 11 = 0 OR doc_id % 3 = 0 THEN '' ELSE 'concept-' || source END AS existing,
+    CASE WHEN doc_id % 11 = 0 OR doc_id % 4 <> 0 THEN '' ELSE 'topic-' || (doc_id % 17) END AS topic
+  FROM documents)
+"""
+_FED = f"""{_ASSIGNED}, {_CONCEPTS},
+fed AS (SELECT existing AS slug, article_key, doc_id FROM assigned WHERE existing <> ''
+  UNION ALL SELECT topic, article_key, doc_id FROM assigned WHERE topic <> ''),
+hit AS (SELECT DISTINCT slug FROM fed WHERE (doc_id % 5 = 0 OR doc_id % 7 = 0) AND slug IN (SELECT slug FROM concepts)),
+every_ AS (SELECT slug, article_key, true AS now FROM fed UNION ALL
+  SELECT 'concept-' || source, cast(min(doc_id) AS varchar), false FROM documents GROUP BY source HAVING min(doc_id) % 2 = 0),
+sourced AS (SELECT slug, article_key, bool_or(now) AS current FROM every_ WHERE slug IN (SELECT slug FROM hit) GROUP BY ALL)
+"""
+_SUMMARIES = f"""{_NOTES}, {_ASSIGNED},
+summaries AS (
+  SELECT n.*, concat_ws(',', nullif(existing, ''), nullif(topic, '')) AS feeds, existing, topic
+  FROM notes n JOIN assigned a USING (doc_id))
+"""
+_TRACE = """
+titles AS (SELECT DISTINCT conv_id, unnest(string_split(text, ' ')[1:2]) AS title FROM conversations WHERE role = 'user'),
+ideas AS (SELECT conv_id, conv_id * 1000 + turn AS idea_id, text,
+  CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE substr(text, 1, 40) END AS by_ FROM conversations WHERE role <> 'user'),
+traced AS (
+  SELECT idea_id, round(CASE WHEN bool_or(trim(by_) <> '') THEN 0.4::double ELSE 0::double END
+    + CASE WHEN bool_or(title IS NOT NULL AND contains(by_, title)) THEN 0.4::double ELSE 0::double END
+    + CASE WHEN count(*) FILTER (WHERE contains(text, title)) >= 2 THEN 0.2::double ELSE 0::double END, 1) AS traceability
+  FROM ideas LEFT JOIN (SELECT * FROM titles WHERE trim(title) <> '') USING (conv_id) GROUP BY idea_id)
+"""
 ORACLE_SQL = {
     "token_counts": f"SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens FROM documents",
     "slugs": f"""WITH {_NOTES} SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(title),
@@ -259,4 +393,42 @@ ORACLE_SQL = {
         FROM concepts c FULL JOIN n USING (slug)""",
     "last_queries": f"""WITH {_LOG} SELECT slug, query_id, cast(row_number() OVER (PARTITION BY slug
         ORDER BY query_id DESC) AS int) AS place FROM cited QUALIFY place <= 5""",
+    "assignments": f"""WITH {_ASSIGNED} SELECT article_key, existing, CASE WHEN topic = '' THEN '' ELSE topic || '=' ||
+        CASE WHEN doc_id % 2 = 0 THEN 'Topic of ' || source ELSE topic END END AS proposed,
+        CASE WHEN bad THEN 'json_parse_error' ELSE '' END AS error FROM assigned""",
+    "source_summaries": f"""WITH {_SUMMARIES} SELECT article_key, coalesce(nullif({_STRIP.format("title")}, ''), article_key)
+        AS title, feeds, coalesce(substr({_STRIP.format("text")}, 1, 140), '') AS takeaway,
+        cast(greatest(least(len(l) - 1, 3), 0) AS int) AS n_ideas, '2026-01-01' AS ingested FROM summaries""",
+    "proposed_concepts": f"""WITH {_ASSIGNED} SELECT topic AS slug, 'Topic of ' || source AS title, 'proposed' AS status,
+        source AS definition, lang AS synthesis, article_key AS source, 0 AS compile_version FROM assigned
+        WHERE topic <> '' QUALIFY row_number() OVER (PARTITION BY topic ORDER BY article_key) = 1""",
+    "concept_sources": f"WITH {_FED} SELECT * FROM sourced",
+    "prompt_sources": f"""WITH {_FED} SELECT *, cast(row_number() OVER (PARTITION BY slug
+        ORDER BY current DESC, article_key) AS int) AS place FROM sourced QUALIFY place <= 8""",
+    "concept_state": f"""WITH {_CONCEPTS}, c AS (SELECT *, cast(sourced AS int) AS source_count, greatest(0,
+        DATE '2026-01-01' - (DATE '2025-01-01' + cast(length(slug) * 20 AS int))) AS days FROM concepts)
+        SELECT slug, status, source_count, source_count / 5.0::double AS importance,
+        round(exp(-ln(2::double) * days / 60), 6) AS freshness, 'Alias' || substr(alias, 6) AS hints,
+        cast(compile_version AS int) AS conflicts FROM c""",
+    "citations": f"""WITH {_SUMMARIES}, {_CONCEPTS},
+        asked AS (SELECT conv_id * 1000 + turn AS query_id, cast((conv_id * 3 + turn) % 150 AS varchar) AS name,
+          'concept-src' || (turn % 30) AS page FROM conversations WHERE role = 'user'),
+        fed AS (SELECT query_id, unnest([existing, topic]) AS name FROM asked a JOIN summaries s ON s.article_key = 'raw/' || a.name)
+        SELECT query_id, 'source' AS kind, name FROM asked
+        UNION SELECT query_id, 'concept', name FROM fed WHERE name <> ''
+        UNION SELECT query_id, CASE WHEN page IN (SELECT slug FROM concepts) THEN 'concept' ELSE 'source' END, page FROM asked""",
+    "unmapped_clusters": f"""WITH {_SUMMARIES}, loose AS (SELECT coalesce(nullif(trim(lang), ''), 'uncategorized') || '-cluster'
+        AS slug, article_key FROM summaries WHERE feeds = '')
+        SELECT slug, count(*) AS n, array_to_string(list_sort(list(article_key))[1:8], ',') AS names
+        FROM loose GROUP BY slug HAVING count(*) >= 2""",
+    "idea_traceability": f"WITH {_TRACE} SELECT * FROM traced",
+    "idea_novelty": f"""WITH {_VECTOR}, best AS (SELECT query_id, id, score FROM vector WHERE id <> query_id AND rank <= 6
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1)
+        SELECT item_id AS idea_id, id IS NULL AS novel, coalesce(id, -1) AS best_id,
+        coalesce(round(score, 3), 0) AS best_score FROM benchmark
+        LEFT JOIN (SELECT * FROM best WHERE score >= 0.75) ON query_id = item_id""",
+    "idea_quality": f"""WITH {_TRACE} SELECT idea_id, round(0.3::double * traceability
+        + 0.35::double * CASE WHEN idea_id % 3 = 0 THEN 0.5::double ELSE least((idea_id % 7) / 5.0::double, 1::double) END
+        + 0.35::double * CASE WHEN idea_id % 3 = 0 THEN 0.5::double ELSE (idea_id % 4) / 4.0::double END, 4) AS quality
+        FROM traced""",
 }

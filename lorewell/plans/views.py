@@ -80,3 +80,47 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         F.array_distinct(F.array(cite(1), cite(7))).alias("cited_concepts"),
     )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer to each document, as JSON text: fenced, plain, or cut short for every eleventh."""
+    d = table(spark, sf_dir, "documents")
+    proposal = F.struct(
+        F.concat(F.lit("topic-"), (F.col("doc_id") % 17).cast("string")).alias("slug"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Topic of "), F.col("source"))).otherwise("").alias("title"),
+        F.array("lang").alias("aliases"),
+        F.col("source").alias("rationale"),
+        F.col("lang").alias("draft_synthesis"),
+    )
+    answer = F.to_json(
+        F.struct(
+            F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>"))
+            .otherwise(F.array(F.concat(F.lit("concept-"), F.col("source")), F.lit(" ")))
+            .alias("existing_concepts"),
+            F.when(F.col("doc_id") % 4 == 0, F.array(proposal)).alias("proposed_new_concepts"),
+        )
+    )
+    raw = (
+        F.when(F.col("doc_id") % 11 == 0, F.substring(answer, 1, 12))
+        .when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
+        .otherwise(answer)
+    )
+    return d.select(F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("article_key"), raw.alias("raw"))
+
+
+def ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An idea for each turn that is not the user's: its first 40 characters say what inspired it."""
+    c = table(spark, sf_dir, "conversations").where("role <> 'user'")
+    return c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("idea_id"),
+        F.col("conv_id").alias("query_id"),
+        F.when(F.col("conv_id") % 5 == 0, " ").otherwise(F.substring("text", 1, 40)).alias("inspired_by"),
+        F.col("text").alias("core_logic"),
+    )
+
+
+def retrieved_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each user turn as titles of its conversation."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    words = F.slice(F.split("text", " "), 1, 2)
+    return c.select(F.col("conv_id").alias("query_id"), F.explode(words).alias("title"))
