@@ -9,10 +9,15 @@ from lorewell.functions import text as T
 from lorewell.operators import blocks as B
 from lorewell.operators import compiling as K
 from lorewell.operators import concepts as C
+from lorewell.operators import enrichment as A
+from lorewell.operators import extraction as E
 from lorewell.operators import ideas as I
+from lorewell.operators import ingest as G
 from lorewell.operators import maintenance as M
 from lorewell.operators import notes as N
+from lorewell.operators import outputs as O
 from lorewell.operators import retrieval as R
+from lorewell.operators import seeds as S
 from lorewell.plans import views as V
 
 
@@ -205,6 +210,69 @@ def idea_quality(spark, sf_dir):
     return I.composite(I.traceability(ideas, V.retrieved_titles(spark, sf_dir)), judged)
 
 
+def page_flags(spark, sf_dir):
+    p = V.table(spark, sf_dir, "pages")
+    return p.select(
+        "page_id", E.has_math(F.col("html")).alias("has_math"), E.has_code(F.col("html")).alias("has_code"),
+        E.blocked(F.col("html")).alias("blocked"), E.paywalled(F.col("html")).alias("paywalled"),
+    )
+
+
+def page_titles(spark, sf_dir):
+    return E.extract_articles(V.table(spark, sf_dir, "pages"), "2026-01-01").select("page_id", "title", "published", "has_math")
+
+
+def page_articles(spark, sf_dir):
+    """Texts and fields of every page; no SQL parses markup, so tests compare with a plain reading of the markup."""
+    out = E.extract_articles(V.table(spark, sf_dir, "pages"), "2026-01-01")
+    return out.select(
+        "page_id", "article_key", "title", "content_type", "main_content", "summary", "research_question", "signal_framework",
+        "markdown", F.size("code_blocks").alias("n_code_blocks"), F.size("image_urls").alias("n_images"), "quality",
+    )
+
+
+def ingest_gate(spark, sf_dir):
+    pages = V.table(spark, sf_dir, "pages")
+    known = E.extract_articles(pages.where("page_id % 7 = 0"), "2026-01-01").select("article_key")
+    out = G.ingest_job(pages, known, V.rejected(spark, sf_dir), "2026-01-01")
+    return out.select("page_id", "state", F.coalesce("rejected_reason", F.lit("")).alias("reason"))
+
+
+def ingest_summary(spark, sf_dir):
+    pages = V.table(spark, sf_dir, "pages")
+    known = spark.createDataFrame([], "article_key string")
+    return G.run_summary(G.ingest_job(pages, known, V.rejected(spark, sf_dir), "2026-01-01"))
+
+
+def note_fields(spark, sf_dir):
+    n = V.notes(spark, sf_dir).select("doc_id", "title", "main_content")
+    return E.heuristic_fields(n).select("doc_id", "content_type", "summary", "core_hypothesis")
+
+
+def enrichment(spark, sf_dir):
+    return A.parse_enrichment(V.enrichment_answers(spark, sf_dir)).select(
+        "article_key", "content_type", "summary", F.array_join("market", ",").alias("market"),
+        F.size("idea_blocks").alias("n_ideas"), "brainstorm_value", "confidence", "entry_rule",
+        F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
+def enriched_notes(spark, sf_dir):
+    notes = V.notes(spark, sf_dir).select("article_key", F.col("title").alias("summary"))
+    out = A.merge_enrichment(notes, A.parse_enrichment(V.enrichment_answers(spark, sf_dir)), "model", "2026-01-01")
+    return out.select("article_key", "summary", "llm_enriched", "llm_error")
+
+
+def output_ideas(spark, sf_dir):
+    return O.parse_ideas(V.outputs(spark, sf_dir)).select("output_id", "place", "title", "inspired_by", "what_is_new")
+
+
+def seeded_concepts(spark, sf_dir):
+    both = S.bootstrap(V.concepts(spark, sf_dir), S.seed_concepts(spark, "2026-01-01"))
+    changes = V.concepts(spark, sf_dir).where("compile_version = 1").select("slug", F.lit("deprecated").alias("status"))
+    return G.list_concepts(G.set_concept_status(both, changes))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -237,6 +305,16 @@ QUERIES = {
         idea_traceability,
         idea_novelty,
         idea_quality,
+        page_flags,
+        page_titles,
+        page_articles,
+        ingest_gate,
+        ingest_summary,
+        note_fields,
+        enrichment,
+        enriched_notes,
+        output_ideas,
+        seeded_concepts,
     )
 }
 
@@ -348,7 +426,57 @@ traced AS (
     + CASE WHEN count(*) FILTER (WHERE contains(text, title)) >= 2 THEN 0.2::double ELSE 0::double END, 1) AS traceability
   FROM ideas LEFT JOIN (SELECT * FROM titles WHERE trim(title) <> '') USING (conv_id) GROUP BY idea_id)
 """
+_PAGE_TITLE = r"""
+titled AS (SELECT *, replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS raw FROM pages),
+named AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(
+  raw, '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '\s+', ' ', 'g'), '_+', '_', 'g'), 1, 80), '^[ ._]+', ''), '[ ._]+$', ''), '^$', 'untitled')
+  AS title FROM titled)
+"""
+_GATE = """
+gate AS (SELECT *, page_id % 5 = 0 OR url IN (SELECT url FROM pages WHERE page_id % 5 = 0) AS bad,
+  url IN (SELECT url FROM pages WHERE page_id % 7 = 0) AS known FROM pages)
+"""
+_MATH_SQL = r"(?s)<annotation\s+encoding=[\"'']application/x-tex[\"'']>.*?</annotation>|<script\s+type=[\"'']math/tex(; mode=display)?[\"'']>.*?</script>|\$[^$\n]+?\$|\$\$[^$]+?\$\$|\\\(.*?\\\)|\\\[.*?\\\]"
 ORACLE_SQL = {
+    "page_flags": f"""SELECT page_id, regexp_matches(html, '{_MATH_SQL}') AS has_math,
+        len(list_filter(regexp_extract_all(html, '(?is)<pre\\b[^>]*>(.*?)</pre>', 1),
+          lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> '')) > 0 AS has_code,
+        contains(html, '环境异常') OR contains(html, '去验证') OR contains(lower(html), 'secitptpage/verify') AS blocked,
+        contains(lower(html), 'subscribe to read') OR contains(lower(html), 'please subscribe')
+          OR contains(lower(html), 'paywall') OR contains(lower(html), 'subscribe to continue') AS paywalled FROM pages""",
+    "page_titles": f"""WITH {_PAGE_TITLE} SELECT page_id, title, '' AS published,
+        regexp_matches(html, '{_MATH_SQL}') AS has_math FROM named""",
+    "ingest_gate": f"""WITH {_GATE} SELECT page_id, CASE WHEN bad THEN 'rejected' WHEN known THEN 'skipped' ELSE 'success' END AS state,
+        CASE WHEN bad THEN 'first' ELSE '' END AS reason FROM gate""",
+    "ingest_summary": f"""WITH {_GATE} SELECT count(*) AS total, count(*) FILTER (WHERE NOT bad) AS success, 0 AS skipped,
+        0 AS failed, count(*) FILTER (WHERE bad) AS rejected FROM gate""",
+    "note_fields": f"""WITH {_NOTES}, p AS (SELECT doc_id, lower(concat_ws(chr(10), title, text)) AS t,
+          coalesce(list_filter(list_transform(l, lambda x: {_STRIP.format("x")}), lambda x: length(x) >= 8), []) AS p FROM notes)
+        SELECT doc_id, CASE WHEN regexp_matches(t, '{"|".join(E.KEYWORDS["allocation"])}') THEN 'allocation'
+          WHEN regexp_matches(t, '{"|".join(E.KEYWORDS["risk_control"])}') THEN 'risk_control'
+          WHEN regexp_matches(t, '{"|".join(E.KEYWORDS["strategy"])}') THEN 'strategy'
+          WHEN regexp_matches(t, '{"|".join(E.KEYWORDS["market_review"])}') THEN 'market_review'
+          ELSE 'methodology' END AS content_type,
+        substr(array_to_string(p[1:2], chr(10) || chr(10)), 1, 400) AS summary, substr(coalesce(p[1], ''), 1, 200) AS core_hypothesis
+        FROM p""",
+    "enrichment": """SELECT 'raw/' || doc_id AS article_key, CASE WHEN doc_id % 5 = 0 THEN 'strategy' ELSE 'methodology' END AS content_type,
+        CASE WHEN bad THEN '' ELSE source END AS summary, CASE WHEN bad OR doc_id % 2 = 1 THEN '' ELSE 'fx,bond' END AS market,
+        cast(CASE WHEN bad THEN 0 WHEN trim(substr(string_split(text, chr(10))[1], 1, 20)) = '' THEN 1 ELSE 2 END AS int) AS n_ideas,
+        CASE WHEN NOT bad AND doc_id % 3 = 0 THEN 'high' ELSE '' END AS brainstorm_value,
+        CASE WHEN bad THEN 0::double ELSE least((doc_id % 8) / 4.0::double, 1::double) END AS confidence,
+        CASE WHEN NOT bad AND doc_id % 5 = 0 THEN 'enter' ELSE '' END AS entry_rule,
+        CASE WHEN bad THEN 'json_parse_error' ELSE '' END AS error FROM (SELECT *, doc_id % 13 = 0 AS bad FROM documents)""",
+    "enriched_notes": f"""WITH {_NOTES} SELECT article_key, CASE WHEN doc_id % 13 = 0 THEN title ELSE d.source END AS summary,
+        doc_id % 13 <> 0 AS llm_enriched, CASE WHEN doc_id % 13 = 0 THEN 'json_parse_error' ELSE '' END AS llm_error
+        FROM notes JOIN (SELECT doc_id, source FROM documents) d USING (doc_id)""",
+    "output_ideas": """WITH o AS (SELECT *, conv_id * 1000 + turn AS output_id FROM conversations WHERE role <> 'user')
+        SELECT output_id, 0 AS place, 't' || string_split(text, chr(10))[1] || 't' AS title, 'turn ' || turn AS inspired_by,
+          '' AS what_is_new FROM o
+        UNION ALL SELECT output_id, 1, 'other', '', role FROM o WHERE conv_id % 3 = 0""",
+    "seeded_concepts": f"""WITH {_CONCEPTS} SELECT slug, CASE WHEN compile_version = 1 THEN 'deprecated' ELSE status END AS status,
+        cast(sourced AS int) AS source_count FROM concepts
+        UNION ALL SELECT slug, 'stable', 0 FROM (SELECT unnest({[x[0] for x in S.SEEDS]}) AS slug)""",
     "token_counts": f"SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens FROM documents",
     "slugs": f"""WITH {_NOTES} SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(title),
         '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug FROM notes""",

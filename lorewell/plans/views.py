@@ -124,3 +124,41 @@ def retrieved_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     words = F.slice(F.split("text", " "), 1, 2)
     return c.select(F.col("conv_id").alias("query_id"), F.explode(words).alias("title"))
+
+
+def enrichment_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's enrichment of each document, as JSON text; every thirteenth is cut short."""
+    d = table(spark, sf_dir, "documents")
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    answer = F.to_json(
+        F.struct(
+            F.concat(F.lit(" "), F.col("source"), F.lit(" ")).alias("summary"),
+            F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("fx"), F.col("lang"), F.lit("bond"))).alias("market"),
+            F.array(F.col("lang"), F.lit(" "), F.substring(first, 1, 20)).alias("idea_blocks"),
+            F.when(F.col("doc_id") % 3 == 0, "high").otherwise("best").alias("brainstorm_value"),
+            ((F.col("doc_id") % 8) / 4.0).alias("confidence"),
+            F.lit("enter").alias("entry_rule"),
+        )
+    )
+    raw = F.when(F.col("doc_id") % 13 == 0, F.substring(answer, 1, 9)).otherwise(answer)
+    kind = F.when(F.col("doc_id") % 5 == 0, "strategy").otherwise("odd")
+    return d.select(F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("article_key"), kind.alias("content_type"), raw.alias("raw"))
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn that is not the user's as a written answer with one idea, or two for every third conversation."""
+    c = table(spark, sf_dir, "conversations").where("role <> 'user'")
+    line = F.concat(F.lit("t"), F.get(F.split("text", "\n"), F.lit(0)), F.lit("t"))
+    idea = F.concat(F.lit("### Idea Title\n"), line, F.lit("\n\n**Inspired By**\nturn "), F.col("turn").cast("string"))
+    two = F.concat(idea, F.lit("\n---\n**Idea Title**\nother\nWhat Is New\n"), F.col("role"))
+    text = F.when(F.col("conv_id") % 3 == 0, two).otherwise(idea)
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("output_id"), text.alias("text"))
+
+
+def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected sources: addresses of every fifth page, twice, with the later reason never counting."""
+    p = table(spark, sf_dir, "pages").where("page_id % 5 = 0")
+    row = lambda place, reason: p.select(
+        (F.col("page_id") + place).alias("place"), F.col("url").alias("source_url"), F.lit("").alias("title"), F.lit(reason).alias("reason")
+    )
+    return row(0, "first").unionByName(row(1_000_000_000, "later"))
