@@ -9,6 +9,7 @@ from lorewell.functions import text as T
 
 # Sections whose bullets count for confidence, and those that lint reads.
 CONFIDENCE_SECTIONS = ("key_idea_blocks", "variants", "failure_modes", "transfer_targets")
+LINT_SECTIONS = ("key_idea_blocks", "variants", "common_combinations", "transfer_targets", "failure_modes", "open_questions")
 
 
 def confidence(concepts: DataFrame) -> DataFrame:
@@ -56,7 +57,9 @@ def lint(concepts: DataFrame) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     flagged = concepts.select("slug", F.explode(hits).alias("x")).select("x.severity", "x.kind", "slug", "x.message")
-    bullets = concepts.where(stable).select("slug", F.explode("key_idea_blocks").alias("b"))
+    empty = F.array().cast("array<string>")
+    sections = [F.coalesce(F.col(c), empty) for c in LINT_SECTIONS if c in concepts.columns] or [empty]
+    bullets = concepts.where(stable).select("slug", F.explode(F.concat(*sections)).alias("b"))
     loose = bullets.where(F.size(T.bullet_sources(F.col("b"))) == 0).select(
         F.lit("warning").alias("severity"), F.lit("unsupported_bullets").alias("kind"), "slug", F.col("b").alias("message")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.operators import ideas as I
 
 # How ideas begin and where their fields stand, in English and in Chinese answers.
 EN_START = r"(?m)(?=^(?:#{2,3}\s+|\*{0,2})Idea\s+Title)"
@@ -68,3 +69,22 @@ def parse_ideas(outputs: DataFrame) -> DataFrame:
     both = outputs.select("output_id", ideas(EN_START, "en").alias("en"), ideas(f"(?m)(?={CN_HEAD})", "cn").alias("cn"))
     found = F.when(F.size("en") > 0, F.col("en")).otherwise(F.col("cn"))
     return both.select("output_id", F.posexplode(found).alias("place", "i")).select("output_id", "place", "i.*")
+
+
+def rethink(outputs: DataFrame, retrieved: DataFrame, matches: DataFrame, judged: DataFrame) -> DataFrame:
+    """Every idea of ``outputs`` with traceability, novelty and quality; an idea is named ``output_id#place``.
+
+    ``retrieved(query_id, title)`` holds the titles behind each output,
+    ``matches(idea_id, id, score)`` its neighbours in the index, and
+    ``judged(idea_id, coherence, actionability)`` a judge's view.  Outputs without
+    ideas give no rows.
+    """
+    found = parse_ideas(outputs).withColumn("idea_id", F.concat_ws("#", "output_id", "place"))
+    found = found.withColumn("query_id", F.col("output_id"))
+    traced = I.traceability(found, retrieved)
+    return (
+        found.drop("query_id")
+        .join(traced, "idea_id")
+        .join(I.novelty(found, matches), "idea_id")
+        .join(I.composite(traced, judged), "idea_id")
+    )

@@ -18,6 +18,7 @@ from lorewell.operators import notes as N
 from lorewell.operators import outputs as O
 from lorewell.operators import retrieval as R
 from lorewell.operators import seeds as S
+from lorewell.operators import wiki_pages as W
 from lorewell.plans import views as V
 
 
@@ -273,6 +274,34 @@ def seeded_concepts(spark, sf_dir):
     return G.list_concepts(G.set_concept_status(both, changes))
 
 
+def concept_pages(spark, sf_dir):
+    return V.concept_pages(spark, sf_dir)
+
+
+def concept_page_fields(spark, sf_dir):
+    out = W.parse_concept_pages(V.concept_pages(spark, sf_dir))
+    return out.select(
+        "page_path", "title", "slug", "status", F.array_join("aliases", ",").alias("aliases"), "compile_version", "synthesis",
+        F.size("key_idea_blocks").alias("n_ideas"), F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
+def page_lint(spark, sf_dir):
+    return W.lint_concept_pages(W.parse_concept_pages(V.concept_pages(spark, sf_dir)))
+
+
+def rethink(spark, sf_dir):
+    outputs = V.outputs(spark, sf_dir)
+    titles = outputs.select(F.col("output_id").alias("query_id"), F.lit("turn").alias("title"))
+    near = outputs.where("output_id % 2 = 0").select(
+        F.concat_ws("#", "output_id", F.lit("0")).alias("idea_id"), F.col("output_id").alias("id"), F.lit(0.9).alias("score")
+    )
+    judged = outputs.where("output_id % 5 = 0").select(
+        F.concat_ws("#", "output_id", F.lit("0")).alias("idea_id"), F.lit(1.0).alias("coherence"), F.lit(0.0).alias("actionability")
+    )
+    return O.rethink(outputs, titles, near, judged).select("idea_id", "title", "traceability", "novel", "quality")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -315,6 +344,10 @@ QUERIES = {
         enriched_notes,
         output_ideas,
         seeded_concepts,
+        concept_pages,
+        concept_page_fields,
+        page_lint,
+        rethink,
     )
 }
 
@@ -438,7 +471,36 @@ gate AS (SELECT *, page_id % 5 = 0 OR url IN (SELECT url FROM pages WHERE page_i
   url IN (SELECT url FROM pages WHERE page_id % 7 = 0) AS known FROM pages)
 """
 _MATH_SQL = r"(?s)<annotation\s+encoding=[\"'']application/x-tex[\"'']>.*?</annotation>|<script\s+type=[\"'']math/tex(; mode=display)?[\"'']>.*?</script>|\$[^$\n]+?\$|\$\$[^$]+?\$\$|\\\(.*?\\\)|\\\[.*?\\\]"
+_PAGES = f"""{_CONCEPTS}, low AS (SELECT 'concept-' || source AS slug, min(doc_id) AS low FROM documents GROUP BY source),
+written AS (SELECT c.*, low, 'wiki/concepts/' || slug || '.md' AS page_path, slug LIKE '%3' AS cut,
+  CASE WHEN filled THEN 'text' ELSE '_pending_' END AS synthesis FROM concepts c JOIN low USING (slug)),
+pages AS (SELECT page_path, 'title: ' || upper(slug) || chr(10) || 'slug: ' || slug || chr(10) || 'aliases: [Alias ' || (low % 4) || ']'
+  || chr(10) || 'status: ' || status || chr(10) || 'related_concepts: []' || chr(10) || 'sources:'
+  || CASE WHEN sourced THEN chr(10) || '  - ' || low ELSE ' []' END || chr(10) || 'content_types: []' || chr(10) || 'last_compiled: ' || chr(10)
+  || 'compile_version: ' || compile_version || chr(10) || '---' || chr(10) || chr(10) || array_to_string(['# ' || upper(slug),
+  '## Synthesis', synthesis, '## Definition', '_pending_', '## Key Idea Blocks', '- first [' || low || ']' || chr(10) || '- second',
+  '## Variants & Implementations', '- _none_', '## Common Combinations', '- _none_', '## Transfer Targets', '- _none_',
+  CASE WHEN compile_version = 0 THEN '## Other' ELSE '## Failure Modes' END, '- _none_', '## Open Questions', '- _none_',
+  '## Sources', '- _none_'], chr(10) || chr(10)) || chr(10) AS text, cut FROM written)
+"""
 ORACLE_SQL = {
+    "concept_pages": f"WITH {_PAGES} SELECT page_path, CASE WHEN cut THEN text ELSE '---' || chr(10) || text END AS content FROM pages",
+    "concept_page_fields": f"""WITH {_PAGES} SELECT page_path, CASE WHEN cut THEN '' ELSE upper(slug) END AS title,
+        CASE WHEN cut THEN '' ELSE slug END AS slug, CASE WHEN cut THEN 'proposed' ELSE status END AS status,
+        CASE WHEN cut THEN '' ELSE 'Alias ' || (low % 4) END AS aliases,
+        cast(CASE WHEN cut THEN 0 ELSE compile_version END AS int) AS compile_version, synthesis, 2 AS n_ideas,
+        CASE WHEN cut THEN 'invalid slug' ELSE '' END AS error FROM written""",
+    "page_lint": f"""WITH {_PAGES} SELECT 'error' AS severity, 'malformed_concept' AS kind, page_path, 'invalid slug' AS message
+        FROM written WHERE cut
+        UNION ALL SELECT 'warning', 'schema_missing_section', page_path, 'Failure Modes' FROM written WHERE NOT cut AND compile_version = 0
+        UNION ALL SELECT 'warning', 'schema_empty_definition', page_path, 'definition' FROM written
+        WHERE NOT cut AND status = 'stable' AND compile_version > 0
+        UNION ALL SELECT 'warning', 'schema_empty_synthesis', page_path, 'synthesis' FROM written
+        WHERE NOT cut AND status = 'stable' AND compile_version > 0 AND NOT filled""",
+    "rethink": """WITH o AS (SELECT *, conv_id * 1000 + turn AS output_id FROM conversations WHERE role <> 'user')
+        SELECT output_id || '#0' AS idea_id, 't' || string_split(text, chr(10))[1] || 't' AS title, 0.8::double AS traceability,
+          output_id % 2 <> 0 AS novel, 0.59::double AS quality FROM o
+        UNION ALL SELECT output_id || '#1', 'other', 0::double, true, 0.35::double FROM o WHERE conv_id % 3 = 0""",
     "page_flags": f"""SELECT page_id, regexp_matches(html, '{_MATH_SQL}') AS has_math,
         len(list_filter(regexp_extract_all(html, '(?is)<pre\\b[^>]*>(.*?)</pre>', 1),
           lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> '')) > 0 AS has_code,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.operators import wiki_pages
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -162,3 +164,12 @@ def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("page_id") + place).alias("place"), F.col("url").alias("source_url"), F.lit("").alias("title"), F.lit(reason).alias("reason")
     )
     return row(0, "first").unionByName(row(1_000_000_000, "later"))
+
+
+def concept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the concepts; those of version 0 have lost a heading, and every page of source 3 or 13 its header."""
+    both = concepts(spark, sf_dir).withColumn("title", F.upper("slug"))
+    pages = wiki_pages.render_concept_pages(both)
+    lost = F.when(F.col("content").contains("compile_version: 0"), F.regexp_replace("content", "## Failure Modes", "## Other"))
+    lost = lost.otherwise(F.col("content"))
+    return pages.withColumn("content", F.when(F.col("page_path").endswith("3.md"), F.substring(lost, 5, 1_000_000)).otherwise(lost))

@@ -20,7 +20,7 @@ CONCEPT_STATE = (
 MANIFEST = "article_key string, hash string, block_count int, source_dir string"
 
 
-def _or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
     """What ``read`` gives, or an empty table if its path does not exist."""
     try:
         return read()
@@ -37,7 +37,7 @@ def _whole_files(spark: SparkSession, pattern: str, name: str) -> DataFrame:
         found = spark.read.format("binaryFile").load(pattern)
         return found.select(F.element_at(F.split("path", "/"), -2).alias("article_key"), F.col("content").cast("string").alias(name))
 
-    return _or_empty(spark, read, f"article_key string, {name} string")
+    return read_or_empty(spark, read, f"article_key string, {name} string")
 
 
 def read_articles(spark: SparkSession, root: str) -> DataFrame:
@@ -58,7 +58,7 @@ def with_sidecars(articles: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(url, html) of a Parquet table."""
-    return _or_empty(spark, lambda: spark.read.parquet(path), "url string, html string")
+    return read_or_empty(spark, lambda: spark.read.parquet(path), "url string, html string")
 
 
 def read_url_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +69,7 @@ def read_url_lines(spark: SparkSession, path: str) -> DataFrame:
         split = lines.select("f", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
         return split.select(F.struct("f", "n").alias("place"), "line")
 
-    return _or_empty(spark, read, "place struct<f: string, n: int>, line string")
+    return read_or_empty(spark, read, "place struct<f: string, n: int>, line string")
 
 
 def state_from_json(texts: DataFrame, version: str = STATE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +108,7 @@ def write_state(state: DataFrame, path: str, version: str = STATE_VERSION) -> No
 def read_state(spark: SparkSession, path: str, schema: str, version: str = STATE_VERSION) -> DataFrame:
     """A table that :func:`write_state` wrote; a missing one or another version gives no rows."""
     full = f"{schema}, schema_version string"
-    rows = _or_empty(spark, lambda: spark.read.schema(full).parquet(path), full)
+    rows = read_or_empty(spark, lambda: spark.read.schema(full).parquet(path), full)
     return rows.where(F.col("schema_version") == version).drop("schema_version")
 
 

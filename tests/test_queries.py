@@ -9,7 +9,7 @@ import pytest
 
 from lorewell.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
