@@ -9,6 +9,8 @@ from lorewell.functions import text as T
 from lorewell.operators import extraction as E
 
 ALLOWED_STATUS = ("reviewed", "high_value", "rejected")
+#: Into how many groups the rows of one key are split, since a third of all pages may be copies of one.
+PARTS = 64
 #: Place of entries that come after all others.
 LATER = 2**62
 CONCEPT_STATUS = ("stable", "deprecated", "deleted")
@@ -52,9 +54,14 @@ def ingest_state(candidates: DataFrame, articles: DataFrame, force: bool = False
     ``candidates`` come from :func:`extract_articles` and :func:`flag_rejected`.
     """
     known = articles.select("article_key").distinct().withColumn("_known", F.lit(True))
-    w = Window.partitionBy("article_key").orderBy("url", F.xxhash64("html"))
-    out = candidates.join(known, "article_key", "left").withColumn("_n", F.row_number().over(w))
-    again = (F.col("_known").isNotNull() & F.lit(not force)) | (F.col("_n") > 1)
+    given = candidates if "_salt" in candidates.columns else candidates.withColumn("_salt", F.lit(0).cast("long"))
+    order = ("url", F.xxhash64("html"), "_salt")
+    parts = Window.partitionBy("article_key", "_salt").orderBy(*order)
+    out = given.join(known, "article_key", "left").withColumn("_first", F.row_number().over(parts) == 1)
+    # only the first rows of a key's parts meet in one group
+    firsts = Window.partitionBy("article_key", F.when(F.col("_first"), -1).otherwise(F.col("_salt"))).orderBy(*order)
+    out = out.withColumn("_first", F.col("_first") & (F.row_number().over(firsts) == 1))
+    again = (F.col("_known").isNotNull() & F.lit(not force)) | ~F.col("_first")
     state = (
         F.when(F.col("blocked"), "failed")
         .when(F.col("rejected_reason").isNotNull(), "rejected")
@@ -62,12 +69,13 @@ def ingest_state(candidates: DataFrame, articles: DataFrame, force: bool = False
         .otherwise("success")
     )
     error = F.when(F.col("blocked"), "blocked_wechat_page")
-    return out.withColumn("state", state).withColumn("error_class", error).drop("_known", "_n")
+    return out.withColumn("state", state).withColumn("error_class", error).drop("_known", "_first", "_salt")
 
 
 def ingest_job(pages: DataFrame, articles: DataFrame, rejected: DataFrame, today: str, force: bool = False) -> DataFrame:
     """Pages ``(url, html)`` through extraction and gate; rows of state success are the new articles, with status raw."""
-    found = flag_rejected(E.extract_articles(pages, today), rejected, force)
+    salted = pages.withColumn("_salt", F.monotonically_increasing_id() % PARTS)
+    found = flag_rejected(E.extract_articles(salted, today), rejected, force)
     return ingest_state(found.withColumn("status", F.lit("raw")), articles, force)
 
 

@@ -153,3 +153,10 @@ def test_reader_keeps_first_container():
     got = markup.read_page("<main>m<article>a</article></main><article>b</article><div id=js_content>j</div>", "")
     assert got["main_content"] == "j"
     assert markup.read_page("<main>m<article>a</article>n</main><article>b</article>", "")["main_content"] == "a"
+
+
+def test_one_of_many_copies_comes_in(spark):
+    pages = spark.range(0, 500, 1, 8).selectExpr("'u' AS url", "'<title>A</title>' AS html")
+    bad = spark.createDataFrame([], "place long, source_url string, title string, reason string")
+    s = one(G.run_summary(G.ingest_job(pages, spark.createDataFrame([], "article_key string"), bad, "2026-01-01")))
+    assert (s.total, s.success, s.skipped) == (500, 1, 499)
