@@ -105,6 +105,22 @@ def test_line_spread(spark, nothing):
     assert line_spread.remove_shared_lines(nothing).count() == 0
 
 
+def test_line_spread_takes_all_shared_lines_and_counts_sites_of_copies(spark):
+    rows = [(i, f"menu\nimprint\nown {i}", f"s{i}") for i in range(5)] + [(5, "menu\nimprint", "s5")]
+    rows += [(10 + i, "copied\n\n Copied ", f"s{i}") for i in range(6)] + [(20, "few", "s0"), (21, "few", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = by_id(line_spread.remove_shared_lines(df, min_sites=6))
+    sites = {}
+    for _, t, s in rows:
+        for x in t.split("\n"):
+            sites.setdefault(x.strip().lower(), set()).add(s)
+    for i, t, _ in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if not x.strip() or len(sites[x.strip().lower()]) < 6]
+        assert (got[i].text, got[i].n_lines, got[i].n_removed) == ("\n".join(kept), len(lines), len(lines) - len(kept))
+    assert got[0].text == "own 0" and got[5].text == "" and got[10].text == "" and got[20].text == "few"
+
+
 def test_licenses(docs, nothing):
     got = by_id(license_rules.scan_licenses(docs))
     assert got[13].base_labels == "cc-by-nc,mit" and got[13].n_base == 2 and got[13].score == 1.0
