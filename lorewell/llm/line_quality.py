@@ -105,7 +105,7 @@ def line_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    max_docs: int = 200,
+    max_docs: int = 10,
     min_left: float = 0.5,
     min_words: int = 50,
     max_repeat_percent: int = 50,

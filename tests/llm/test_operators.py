@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorewell.llm import (
     decontaminate,
@@ -193,6 +194,25 @@ def test_line_quality(docs, nothing):
     assert line_quality.line_quality(nothing).count() == 0
 
 
+def test_line_quality_removes_lines_of_an_ordinary_host(spark):
+    menu, notice = sentence(80, 40), sentence(81, 60)
+    rows = [(i, f"{menu}\n{sentence(100 + i, 90)}\n{menu}", "h") for i in range(11)]
+    rows += [(11, f"{sentence(111, 20)}\n{menu}", "h"), (12, menu, "other")]
+    rows += [(20 + i, f"{notice}\n{sentence(200 + i, 5)}", "g") for i in range(10)] + [(30, notice + "\nx", "k")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for r in line_quality.line_quality(df).collect():
+        got.setdefault(r.doc_id, r)
+    for i in range(11):  # 12 texts of the host have the menu: 80 of 170 words go, more than half are left
+        assert (got[i].shared_lines, got[i].n_shared_words, got[i].kept) == ([0, 2], 80, True)
+    assert (got[11].shared_lines, got[11].n_shared_words) == ([1], 40)
+    assert not got[11].base_failed and not got[11].kept  # 20 of 60 words are left
+    assert got[12].shared_lines == []
+    assert all(got[20 + i].shared_lines == [] and got[20 + i].kept for i in range(10))  # ten texts: not above
+    text = df.where("doc_id = 11").select(line_quality.without_lines("text", F.array(F.lit(1)))).first()[0]
+    assert text == sentence(111, 20)
+
+
 def test_decontaminate(spark, nothing):
     item = sentence(50, 40)
     edited = item.split()
