@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lorewell.llm import common, decontaminate, line_spread, near_dups, packing, tokens, toxicity
 
+#: Column of the unique row number that decisions are applied by; ids can repeat or be null.
+KEY = "_row"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score 0.7 or more."""
@@ -25,16 +28,18 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    groups = near_dups.near_duplicates(docs, words=5, percent=80)
-    dropped = common.saved(groups.where("NOT kept").select("doc_id"), "dropped")
-    return docs.join(common.if_small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    keyed, _ = common.row_keyed(docs, "doc_id", "text", key=KEY)
+    groups = near_dups.near_duplicates(keyed, id_col=KEY, words=5, percent=80)
+    dropped = common.saved(groups.where("NOT kept").select(KEY), "dropped")
+    return keyed.join(common.if_small(dropped), KEY, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item, edited or not."""
-    pairs = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = common.saved(pairs.select("doc_id").distinct(), "contaminated")
-    return docs.join(common.if_small(found), "doc_id", "left_anti").select(*docs.columns)
+    keyed, _ = common.row_keyed(docs, "doc_id", "text", key=KEY)
+    pairs = decontaminate.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY)
+    found = common.saved(pairs.select(KEY).distinct(), "contaminated")
+    return keyed.join(common.if_small(found), KEY, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
