@@ -2,9 +2,11 @@
 
 A text is its words: lower-cased A-Z, runs of ASCII letters and digits and of
 anything beyond ASCII.  Rules are regular expressions over the words joined by
-blanks.  They come from hand-written names of licences and wordings of notices:
-each wording with each name is one rule.  A rule runs on a document only if all
-its keywords are among the document's words, which numpy tells for a whole batch
+blanks.  They come from hand-written names of licences and wordings of notices
+(each wording with each name is one rule), from SPDX identifiers and from
+sentences of the licences.  Each alternative of a rule has its own keywords, read
+off the expression.  A rule runs on a document only if all keywords of one
+alternative are among the document's words, which numpy tells for a whole batch
 at once, so few documents ever meet a regular expression.
 
 A match is an interval of words.  One that lies inside another of higher
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from re import _parser
 from typing import NamedTuple
 
 import numpy as np
@@ -34,79 +37,165 @@ BASE = (
 )
 
 _LICENSE = "licen[sc]e"
-# label, name as a regular expression over words, keywords that a text with it must have
+# label, name as a regular expression over words
 NAMES = (
-    ("mit", f"(?:mit|expat|x11) {_LICENSE}", "license"),
-    ("apache-2", f"apache (?:software )?{_LICENSE}(?: version)? 2(?: 0)?", "apache"),
-    ("apache-1.1", f"apache (?:software )?{_LICENSE}(?: version)? 1 1", "apache"),
-    ("apache-1.0", f"apache (?:software )?{_LICENSE}(?: version)? 1 0", "apache"),
-    ("gpl-3.0", f"gnu (?:general public {_LICENSE}|gpl)(?: version| v)? ?v?3(?: 0)?", "gnu"),
-    ("gpl-2.0", f"gnu (?:general public {_LICENSE}|gpl)(?: version| v)? ?v?2(?: 0)?", "gnu"),
-    ("gpl-1.0", f"gnu (?:general public {_LICENSE}|gpl)(?: version| v)? ?v?1(?: 0)?", "gnu"),
-    ("gpl", f"gnu general public {_LICENSE}", "gnu"),
-    ("lgpl-3.0", f"gnu (?:lesser|library) general public {_LICENSE}(?: version| v)? ?v?3(?: 0)?", "gnu"),
-    ("lgpl-2.1", f"gnu (?:lesser|library) general public {_LICENSE}(?: version| v)? ?v?2 1", "gnu"),
-    ("lgpl-2.0", f"gnu (?:lesser|library) general public {_LICENSE}(?: version| v)? ?v?2(?: 0)?", "gnu"),
-    ("lgpl", f"gnu (?:lesser|library) general public {_LICENSE}", "gnu"),
-    ("agpl-3.0", f"gnu affero general public {_LICENSE}(?: version| v)? ?v?3(?: 0)?", "affero"),
-    ("agpl", f"(?:gnu )?affero general public {_LICENSE}", "affero"),
-    ("gfdl-1.3", f"gnu free documentation {_LICENSE}(?: version)? 1 3", "documentation"),
-    ("gfdl-1.2", f"gnu free documentation {_LICENSE}(?: version)? 1 2", "documentation"),
-    ("gfdl", f"gnu free documentation {_LICENSE}", "documentation"),
-    ("bsd-2-clause", f"(?:2|two) clause bsd(?: {_LICENSE})?|simplified bsd {_LICENSE}|freebsd {_LICENSE}", "bsd"),
-    ("bsd-3-clause", f"(?:3|three) clause bsd(?: {_LICENSE})?|(?:new|revised|modified) bsd {_LICENSE}", "bsd"),
-    ("bsd-4-clause", f"(?:4|four) clause bsd(?: {_LICENSE})?|original bsd {_LICENSE}", "bsd"),
-    ("bsd", f"bsd(?: style)? {_LICENSE}", "bsd"),
-    ("0bsd", f"(?:0|zero) clause bsd(?: {_LICENSE})?", "bsd"),
-    ("isc", f"isc {_LICENSE}", "isc"),
-    ("mpl-2.0", f"mozilla public {_LICENSE}(?: version| v)? ?2(?: 0)?", "mozilla"),
-    ("mpl-1.1", f"mozilla public {_LICENSE}(?: version| v)? ?1 1", "mozilla"),
-    ("mpl", f"mozilla public {_LICENSE}", "mozilla"),
-    ("epl-2.0", f"eclipse public {_LICENSE}(?: version| v)? ?2(?: 0)?", "eclipse"),
-    ("epl-1.0", f"eclipse public {_LICENSE}(?: version| v)? ?1(?: 0)?", "eclipse"),
-    ("cddl-1.0", f"common development and distribution {_LICENSE}(?: version| v)? ?1(?: 0)?", "distribution"),
-    ("cpl-1.0", f"common public {_LICENSE}(?: version| v)? ?1(?: 0)?", "common"),
-    ("eupl-1.2", f"european union public {_LICENSE}(?: version| v)? ?1 2", "european"),
-    ("eupl-1.1", f"european union public {_LICENSE}(?: version| v)? ?1 1", "european"),
-    ("artistic-2.0", f"artistic {_LICENSE}(?: version)? 2(?: 0)?", "artistic"),
-    ("artistic", f"artistic {_LICENSE}", "artistic"),
-    ("bsl-1.0", f"boost software {_LICENSE}(?: version)? ?1(?: 0)?", "boost"),
-    ("zlib", f"zlib(?: libpng)? {_LICENSE}", "zlib"),
-    ("wtfpl", f"do what the fuck you want to public {_LICENSE}|wtfpl", "public"),
-    ("unlicense", "the unlicense", "unlicense"),
-    ("ofl-1.1", f"(?:sil )?open font {_LICENSE}(?: version)? ?1 1", "font"),
-    ("ms-pl", f"microsoft public {_LICENSE}", "microsoft"),
-    ("ms-rl", f"microsoft reciprocal {_LICENSE}", "microsoft"),
-    ("postgresql", f"postgresql {_LICENSE}", "postgresql"),
-    ("python-2.0", f"python(?: software foundation)? {_LICENSE}(?: version)? ?2", "python"),
-    ("php-3.01", f"php {_LICENSE}(?: version)? ?3 01", "php"),
-    ("ruby", f"ruby(?: s)? {_LICENSE}", "ruby"),
-    ("openssl", f"openssl {_LICENSE}", "openssl"),
-    ("odbl", f"open database {_LICENSE}|odbl", "open"),
-    ("odc-by", f"open data commons attribution {_LICENSE}", "commons"),
-    ("pddl", "public domain dedication and licen[sc]e", "dedication"),
-    ("cc0-1.0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", "cc0"),
-    ("cc-by-nc-nd", "(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s?|cc by nc nd)(?: \\d \\d)?", "nd"),
-    ("cc-by-nc-sa", "(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: \\d \\d)?", "sa"),
-    ("cc-by-nc", "(?:creative commons attribution non ?commercial|cc by nc)(?: \\d \\d)?", "nc"),
-    ("cc-by-nd", "(?:creative commons attribution no ?deriv(?:ative)?s?|cc by nd)(?: \\d \\d)?", "nd"),
-    ("cc-by-sa", "(?:creative commons attribution share ?alike|cc by sa)(?: \\d \\d)?", "sa"),
-    ("cc-by", "(?:creative commons attribution|cc by)(?: \\d \\d)?", "by"),
-    ("public-domain", "(?:in|into|to) the public domain", "domain"),
-    ("proprietary", "all rights reserved", "reserved"),
+    ("mit", f"(?:mit|expat|x11) {_LICENSE}"),
+    ("apache-2", f"apache (?:software )?{_LICENSE}(?: version)? 2(?: 0)?"),
+    ("apache-1.1", f"apache (?:software )?{_LICENSE}(?: version)? 1 1"),
+    ("apache-1.0", f"apache (?:software )?{_LICENSE}(?: version)? 1 0"),
+    ("gpl-3.0", f"gnu (?:general public {_LICENSE}|gpl)(?: version| v)? ?v?3(?: 0)?"),
+    ("gpl-2.0", f"gnu (?:general public {_LICENSE}|gpl)(?: version| v)? ?v?2(?: 0)?"),
+    ("gpl-1.0", f"gnu (?:general public {_LICENSE}|gpl)(?: version| v)? ?v?1(?: 0)?"),
+    ("gpl", f"gnu general public {_LICENSE}"),
+    ("lgpl-3.0", f"gnu (?:lesser|library) general public {_LICENSE}(?: version| v)? ?v?3(?: 0)?"),
+    ("lgpl-2.1", f"gnu (?:lesser|library) general public {_LICENSE}(?: version| v)? ?v?2 1"),
+    ("lgpl-2.0", f"gnu (?:lesser|library) general public {_LICENSE}(?: version| v)? ?v?2(?: 0)?"),
+    ("lgpl", f"gnu (?:lesser|library) general public {_LICENSE}"),
+    ("agpl-3.0", f"gnu affero general public {_LICENSE}(?: version| v)? ?v?3(?: 0)?"),
+    ("agpl", f"(?:gnu )?affero general public {_LICENSE}"),
+    ("gfdl-1.3", f"gnu free documentation {_LICENSE}(?: version)? 1 3"),
+    ("gfdl-1.2", f"gnu free documentation {_LICENSE}(?: version)? 1 2"),
+    ("gfdl", f"gnu free documentation {_LICENSE}"),
+    ("bsd-2-clause", f"(?:2|two) clause bsd(?: {_LICENSE})?|simplified bsd {_LICENSE}|freebsd {_LICENSE}"),
+    ("bsd-3-clause", f"(?:3|three) clause bsd(?: {_LICENSE})?|(?:new|revised|modified) bsd {_LICENSE}"),
+    ("bsd-4-clause", f"(?:4|four) clause bsd(?: {_LICENSE})?|original bsd {_LICENSE}"),
+    ("bsd", f"bsd(?: style)? {_LICENSE}"),
+    ("0bsd", f"(?:0|zero) clause bsd(?: {_LICENSE})?"),
+    ("isc", f"isc {_LICENSE}"),
+    ("mpl-2.0", f"mozilla public {_LICENSE}(?: version| v)? ?2(?: 0)?"),
+    ("mpl-1.1", f"mozilla public {_LICENSE}(?: version| v)? ?1 1"),
+    ("mpl", f"mozilla public {_LICENSE}"),
+    ("epl-2.0", f"eclipse public {_LICENSE}(?: version| v)? ?2(?: 0)?"),
+    ("epl-1.0", f"eclipse public {_LICENSE}(?: version| v)? ?1(?: 0)?"),
+    ("cddl-1.0", f"common development and distribution {_LICENSE}(?: version| v)? ?1(?: 0)?"),
+    ("cpl-1.0", f"common public {_LICENSE}(?: version| v)? ?1(?: 0)?"),
+    ("eupl-1.2", f"european union public {_LICENSE}(?: version| v)? ?1 2"),
+    ("eupl-1.1", f"european union public {_LICENSE}(?: version| v)? ?1 1"),
+    ("artistic-2.0", f"artistic {_LICENSE}(?: version)? 2(?: 0)?"),
+    ("artistic", f"artistic {_LICENSE}"),
+    ("bsl-1.0", f"boost software {_LICENSE}(?: version)? ?1(?: 0)?"),
+    ("zlib", f"zlib(?: libpng)? {_LICENSE}"),
+    ("wtfpl", f"do what the fuck you want to public {_LICENSE}|wtfpl"),
+    ("unlicense", "the unlicense"),
+    ("ofl-1.1", f"(?:sil )?open font {_LICENSE}(?: version)? ?1 1"),
+    ("ms-pl", f"microsoft public {_LICENSE}"),
+    ("ms-rl", f"microsoft reciprocal {_LICENSE}"),
+    ("postgresql", f"postgresql {_LICENSE}"),
+    ("python-2.0", f"python(?: software foundation)? {_LICENSE}(?: version)? ?2"),
+    ("php-3.01", f"php {_LICENSE}(?: version)? ?3 01"),
+    ("ruby", f"ruby(?: s)? {_LICENSE}"),
+    ("openssl", f"openssl {_LICENSE}"),
+    ("odbl", f"open database {_LICENSE}|odbl"),
+    ("odc-by", f"open data commons attribution {_LICENSE}"),
+    ("pddl", "public domain dedication and licen[sc]e"),
+    ("cc0-1.0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?"),
+    ("cc-by-nc-nd", "(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s?|cc by nc nd)(?: \\d \\d)?"),
+    ("cc-by-nc-sa", "(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: \\d \\d)?"),
+    ("cc-by-nc", "(?:creative commons attribution non ?commercial|cc by nc)(?: \\d \\d)?"),
+    ("cc-by-nd", "(?:creative commons attribution no ?deriv(?:ative)?s?|cc by nd)(?: \\d \\d)?"),
+    ("cc-by-sa", "(?:creative commons attribution share ?alike|cc by sa)(?: \\d \\d)?"),
+    ("cc-by", "(?:creative commons attribution|cc by)(?: \\d \\d)?"),
+    ("public-domain", "(?:in|into|to) the public domain"),
+    ("proprietary", "all rights reserved"),
 )
-# a name's spelled-out form has other keywords than its short one
-_SPELLED = {"cc0-1.0", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by"}
-# wording with the place of the name, keyword, priority, score
+# label, short form that stands for the name in any wording and alone
+SHORT = (
+    ("apache-2", "apache v?2(?: 0)?"),
+    ("gpl-3.0", "gpl ?v?3(?: 0)?"),
+    ("gpl-2.0", "gpl ?v?2(?: 0)?"),
+    ("lgpl-3.0", "lgpl ?v?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl ?v?2 1"),
+    ("agpl-3.0", "agpl ?v?3(?: 0)?"),
+    ("mpl-2.0", "mpl ?v?2(?: 0)?"),
+    ("bsd-2-clause", "bsd (?:2|two) clause"),
+    ("bsd-3-clause", "bsd (?:3|three) clause"),
+    ("bsd-4-clause", "bsd (?:4|four) clause"),
+)
+# label, SPDX identifier as words
+SPDX = (
+    ("mit", "mit|x11"),
+    ("apache-2", "apache 2 0"),
+    ("apache-1.1", "apache 1 1"),
+    ("apache-1.0", "apache 1 0"),
+    ("gpl-3.0", "gpl 3 0"),
+    ("gpl-2.0", "gpl 2 0"),
+    ("gpl-1.0", "gpl 1 0"),
+    ("lgpl-3.0", "lgpl 3 0"),
+    ("lgpl-2.1", "lgpl 2 1"),
+    ("lgpl-2.0", "lgpl 2 0"),
+    ("agpl-3.0", "agpl 3 0"),
+    ("gfdl-1.3", "gfdl 1 3"),
+    ("gfdl-1.2", "gfdl 1 2"),
+    ("bsd-2-clause", "bsd 2 clause"),
+    ("bsd-3-clause", "bsd 3 clause"),
+    ("bsd-4-clause", "bsd 4 clause"),
+    ("0bsd", "0bsd"),
+    ("isc", "isc"),
+    ("mpl-2.0", "mpl 2 0"),
+    ("mpl-1.1", "mpl 1 1"),
+    ("epl-2.0", "epl 2 0"),
+    ("epl-1.0", "epl 1 0"),
+    ("cddl-1.0", "cddl 1 0"),
+    ("cpl-1.0", "cpl 1 0"),
+    ("eupl-1.2", "eupl 1 2"),
+    ("eupl-1.1", "eupl 1 1"),
+    ("artistic-2.0", "artistic 2 0"),
+    ("bsl-1.0", "bsl 1 0"),
+    ("zlib", "zlib"),
+    ("wtfpl", "wtfpl"),
+    ("unlicense", "unlicense"),
+    ("ofl-1.1", "ofl 1 1"),
+    ("ms-pl", "ms pl"),
+    ("ms-rl", "ms rl"),
+    ("postgresql", "postgresql"),
+    ("python-2.0", "python 2 0"),
+    ("php-3.01", "php 3 01"),
+    ("ruby", "ruby"),
+    ("openssl", "openssl"),
+    ("odbl", "odbl 1 0"),
+    ("odc-by", "odc by 1 0"),
+    ("pddl", "pddl 1 0"),
+    ("cc0-1.0", "cc0 1 0"),
+    ("cc-by-nc-nd", "cc by nc nd \\d \\d"),
+    ("cc-by-nc-sa", "cc by nc sa \\d \\d"),
+    ("cc-by-nc", "cc by nc \\d \\d"),
+    ("cc-by-nd", "cc by nd \\d \\d"),
+    ("cc-by-sa", "cc by sa \\d \\d"),
+    ("cc-by", "cc by \\d \\d"),
+)
+# label, sentence of the licence or of its notice
+SIGNATURES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache-2", "you may not use this file except in compliance with the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "you just do what the fuck you want to"),
+    ("zlib", "altered source versions must be plainly marked as such"),
+    ("openssl", "this product includes software developed by the openssl project"),
+    ("cc0-1.0", "creativecommons org publicdomain zero"),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd"),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc", "creativecommons org licenses by nc"),
+    ("cc-by-nd", "creativecommons org licenses by nd"),
+    ("cc-by-sa", "creativecommons org licenses by sa"),
+    ("cc-by", "creativecommons org licenses by"),
+    ("apache-2", "apache org licenses license 2 0"),
+)
+# wording with the place of the name, priority, score
 WORDINGS = (
-    ("(?:is |are )?(?:dual )?licen[sc]ed (?:to you )?under (?:the terms of )?(?:the |a |an )?{}", "licensed", 30, 1.0),
-    ("(?:is |are )?released under (?:the terms of )?(?:the |a |an )?{}", "released", 30, 1.0),
-    ("(?:is |are )?distributed under (?:the terms of )?(?:the |a |an )?{}", "distributed", 30, 1.0),
-    ("(?:is |are )?(?:made )?available under (?:the terms of )?(?:the |a |an )?{}", "available", 30, 0.95),
-    ("(?:is |are )?(?:published|covered|governed) (?:under|by) (?:the terms of )?(?:the |a |an )?{}", "terms", 25, 0.9),
-    ("(?:subject to|see) (?:the terms of )?(?:the |a |an )?{}", "see", 20, 0.7),
-    ("spdx licen[sc]e identifier (?:the )?{}", "spdx", 40, 1.0),
-    ("{}", "", 10, 0.6),
+    ("(?:is |are )?(?:dual )?licen[sc]ed (?:to you )?under (?:the terms of )?(?:the |a |an )?{}", 30, 1.0),
+    ("(?:is |are )?released under (?:the terms of )?(?:the |a |an )?{}", 30, 1.0),
+    ("(?:is |are )?distributed under (?:the terms of )?(?:the |a |an )?{}", 30, 1.0),
+    ("(?:is |are )?(?:made )?available under (?:the terms of )?(?:the |a |an )?{}", 30, 0.95),
+    ("(?:is |are )?(?:published|covered|governed) (?:under|by) (?:the terms of )?(?:the |a |an )?{}", 25, 0.9),
+    ("(?:subject to|see) (?:the terms of )?(?:the |a |an )?{}", 20, 0.7),
+    ("spdx licen[sc]e identifier (?:the )?{}", 35, 1.0),
+    ("{}", 10, 0.6),
 )
 
 
@@ -114,24 +203,67 @@ class Rule(NamedTuple):
     name: str
     label: str
     pattern: re.Pattern
-    keywords: tuple[str, ...]
+    keywords: frozenset[frozenset[str]]
     priority: int
     score: float
 
 
+def _strings(parsed) -> set[str]:
+    """Strings of a parsed expression: every alternative and option; what may repeat at will, as often as it must."""
+    out = {""}
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = {chr(arg)}
+        elif kind == "IN":  # the rules have sets of letters and \\d, of which a keyword can't be told
+            more = {chr(x) if str(o) == "LITERAL" else "\0" for o, x in arg}
+        elif kind == "BRANCH":
+            more = set().union(*(_strings(x) for x in arg[1]))
+        elif kind == "SUBPATTERN":
+            more = _strings(arg[3])
+        elif kind == "MAX_REPEAT":
+            low, high, inner = arg
+            more = {""} if low == 0 else _strings(inner)
+            if (low, high) == (0, 1):
+                more |= _strings(inner)
+        else:
+            raise ValueError(f"no keywords of {kind}")
+        out = {a + b for a in out for b in more}
+    return out
+
+
+@cache
+def keyword_sets(expression: str) -> frozenset[frozenset[str]]:
+    """Smallest sets of words of which any match of the expression has one whole set."""
+    sets = {frozenset(w for w in x.split() if "\0" not in w) for x in _strings(_parser.parse(expression))}
+    return frozenset(s for s in sets if not any(t < s for t in sets))
+
+
+def _both(left: frozenset, right: frozenset) -> frozenset[frozenset[str]]:
+    sets = {a | b for a in left for b in right}
+    return frozenset(s for s in sets if not any(t < s for t in sets))
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules; a name that has a spelled-out form gives one more rule a wording."""
+    """Names and short forms in each wording, SPDX identifiers also within expressions, and signatures."""
     out = []
-    for label, name, keyword in NAMES:
-        forms = [(name, (keyword,))]
-        if label in _SPELLED:
-            forms.append((name, ("creative", "commons")))
-        for w, (wording, cue, priority, score) in enumerate(WORDINGS):
-            for k, (form, words) in enumerate(forms):
-                pattern = re.compile(rf"(?:^|(?<= )){wording.format(f'(?:{form})')}(?= |$)")
-                keys = tuple(dict.fromkeys((*words, *([cue] if cue else []))))
-                out.append(Rule(f"{label}/{w}/{k}", label, pattern, keys, priority, score))
+
+    def add(name: str, label: str, wording: str, form: str, priority: int, score: float) -> None:
+        pattern = re.compile(rf"(?:^|(?<= )){wording.format(f'(?:{form})')}(?= |$)")
+        words = _both(keyword_sets(wording.format("")), keyword_sets(form))
+        out.append(Rule(name, label, pattern, words, priority, score))
+
+    for k, forms in enumerate((NAMES, SHORT)):
+        for label, form in forms:
+            for w, (wording, priority, score) in enumerate(WORDINGS):
+                add(f"{label}/{w}/{k}", label, wording, form, priority, score)
+    ids = "|".join(f"(?:{form})" for _, form in SPDX)
+    before = f"(?:(?:{ids})(?: only| or later)? (?:and|or) )*"
+    for label, form in SPDX:
+        add(f"{label}/spdx", label, "spdx licen[sc]e identifier " + before + "(?P<id>{})", form, 40, 1.0)
+    for k, (label, form) in enumerate(SIGNATURES):
+        add(f"{label}/signature/{k}", label, "{}", form, 30, 1.0)
     return tuple(out)
 
 
@@ -163,8 +295,9 @@ def detect(text: str, active: list[Rule]) -> list[tuple[str, int, int, float]]:
     found = []
     for r in active:
         for m in r.pattern.finditer(text):
-            a = text.count(" ", 0, m.start())
-            found.append((r.label, a, a + m[0].count(" ") + 1, r.score, r.priority))
+            start, end = m.span("id" if r.pattern.groups else 0)  # of an SPDX expression each identifier by itself
+            a = text.count(" ", 0, start)
+            found.append((r.label, a, a + text.count(" ", start, end) + 1, r.score, r.priority))
     if not found:
         return []
     gone = suppressed(np.array([f[1:3] for f in found]), np.array([f[4] for f in found]))
@@ -174,16 +307,22 @@ def detect(text: str, active: list[Rule]) -> list[tuple[str, int, int, float]]:
 class _Scanner:
     def __init__(self):
         self.rules = rules()
-        words = sorted({k for r in self.rules for k in r.keywords})
+        words = sorted({k for r in self.rules for s in r.keywords for k in s})
         bit = {w: i for i, w in enumerate(words)}
         hashes = _word_hashes(words)
         order = np.argsort(hashes)
         self.keys, self.bit = hashes[order], order
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(hashes >> np.uint64(48)).astype(np.int64)] = True
-        self.needs = np.zeros((len(self.rules), len(words)), bool)
+        sets = sorted({s for r in self.rules for s in r.keywords}, key=sorted)
+        number = {s: i for i, s in enumerate(sets)}
+        self.needs = np.zeros((len(sets), len(words)), np.float32)
+        for i, s in enumerate(sets):
+            self.needs[i, [bit[k] for k in s]] = 1
+        self.rules_of = [[] for _ in sets]
         for i, r in enumerate(self.rules):
-            self.needs[i, [bit[k] for k in r.keywords]] = True
+            for s in r.keywords:
+                self.rules_of[number[s]].append(i)
         self.base = [(_word_hashes(p.split()), label) for p, label in BASE]
 
     def batch(self, data: np.ndarray, offsets: np.ndarray):
@@ -210,16 +349,17 @@ class _Scanner:
         real = self.keys[at] == h[hit]
         has = np.zeros((n, len(self.keys)), bool)
         has[owner[hit[real]], self.bit[at[real]]] = True
-        ready = (has.astype(np.float32) @ self.needs.T.astype(np.float32)) >= self.needs.sum(1)
+        full = (has.astype(np.float32) @ self.needs.T) >= self.needs.sum(1)
         labels = [set(x) for x in base_labels]
         score = np.where(n_base > 0, 1.0, 0.0)
-        for r in np.flatnonzero(ready.any(1)):
+        for r in np.flatnonzero(full.any(1)):
             a, b = w.first[r], w.first[r + 1]
             raw = w.data[offsets[r] : offsets[r + 1]].copy()
             raw[~kernel.ALNUM[raw]] = 0x20
             text = " ".join(raw.tobytes().decode("utf-8").split(" ")) if b > a else ""
             text = re.sub(" +", " ", text).strip(" ")
-            for label, _, _, s in detect(text, [self.rules[i] for i in np.flatnonzero(ready[r])]):
+            ready = sorted({i for k in np.flatnonzero(full[r]) for i in self.rules_of[k]})
+            for label, _, _, s in detect(text, [self.rules[i] for i in ready]):
                 labels[r].add(label)
                 score[r] = max(score[r], s)
         return w.count, n_base, first, last, base_labels, labels, score

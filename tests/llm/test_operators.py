@@ -131,6 +131,40 @@ def test_licenses(docs, nothing):
     assert license_rules.scan_licenses(nothing).count() == 0
 
 
+LICENSE_TEXTS = [
+    ("Mit Licence", "mit", 0.6),
+    ("WTFPL", "wtfpl", 0.6),
+    ("odbl", "odbl", 0.6),
+    ("the FreeBSD License", "bsd-2-clause", 0.6),
+    ("licenced under the ISC license", "isc", 1.0),
+    ("governed by the zlib license", "zlib", 0.9),
+    ("subject to the zlib licence", "zlib", 0.7),
+    ("SPDX-License-Identifier: MIT", "mit", 1.0),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2", 1.0),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause", 1.0),
+    ("SPDX-License-Identifier: (GPL-2.0-or-later OR MIT)", "gpl-2.0,mit", 1.0),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa", 1.0),
+    ("http://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa", 1.0),
+    ("released under GPLv3", "gpl-3.0", 1.0),
+    ("my mitten is under the table, see the license", "", 0.0),
+]
+
+
+def test_licenses_of_each_wording(spark):
+    rows = [(i, t) for i, (t, _, _) in enumerate(LICENSE_TEXTS)]
+    got = by_id(license_rules.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(t, got[i].labels, got[i].score) for i, (t, _, _) in enumerate(LICENSE_TEXTS)] == LICENSE_TEXTS
+
+
+def test_every_alternative_of_a_rule_passes_its_gate():
+    for r in license_rules.rules():
+        expression = r.pattern.pattern.removeprefix("(?:^|(?<= ))").removesuffix("(?= |$)")
+        texts = {x.replace("\0", "4") for x in license_rules._strings(license_rules._parser.parse(expression))}
+        for x in texts:
+            assert r.pattern.fullmatch(x), (r.name, x)
+            assert any(s <= set(x.split()) for s in r.keywords), (r.name, x)
+
+
 def brute_removed(texts):
     seen, out = set(), {}
     for i, t in texts:
