@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a single machine), a temporary folder
-    is made and set as the session's checkpoint folder.
+    Where a local session names none (tests), a temporary folder is made and set
+    as the session's checkpoint folder; on a cluster that is an error, since
+    executors would not share it.
     """
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="lorewell-")
         sc.setCheckpointDir(given)
     return given.rstrip("/")
@@ -38,6 +41,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(few: DataFrame, column: str) -> DataFrame:
+    """Rows that stand for much work each, such as files, dealt over as many tasks as a shuffle has.
+
+    With a number given, adaptive execution does not merge the small partitions.
+    """
+    return few.repartition(int(few.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
 def crc32_of_id(col) -> F.Column:
     return F.crc32(col.cast("string").cast("binary"))
 

@@ -61,36 +61,41 @@ class BestFit:
         return chosen
 
 
-def cuts(n_tokens: int, size: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces; only the first may be short."""
-    first = n_tokens % size or size
-    return [(0, min(first, n_tokens))] + [(s, size) for s in range(first, n_tokens, size)]
+def cuts(n_tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of one token or more; only the first may be short."""
+    n_pieces = -(-n_tokens // size)
+    doc = np.repeat(np.arange(len(n_tokens)), n_pieces)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+    short = n_tokens - (n_pieces - 1) * size  # length of the first piece
+    start = np.where(piece == 0, 0, short[doc] + (piece - 1) * size)
+    return doc, piece, start, np.where(piece == 0, short[doc], size)
 
 
 _PIECE = "_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _piece_batch(rows: list[tuple], with_ids: bool):
-    cols = list(zip(*rows)) if rows else [[]] * 7
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["_key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-    k = 7 if with_ids else 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], kinds[:k])], names[:k])
-
-
 def _cut(path: str, end_id: int, size: int, with_ids: bool, cache: int):
     def run(batches):
         for batch in batches:
-            keys, ids = batch["_key"].to_pylist(), batch["_id"].to_pylist()
-            rows = []
-            for row, raw in tokens.encoded(batch["_t"], path, end_id, cache):
-                if len(rows) >= 4000:
-                    yield _piece_batch(rows, with_ids)
-                    rows = []
-                for k, (start, n) in enumerate(cuts(len(raw) // 4, size)):
-                    part = raw[4 * start : 4 * (start + n)]
-                    rows.append((keys[row], ids[row], k, start, n, zlib.crc32(part), part if with_ids else None))
-            yield _piece_batch(rows, with_ids)
+            for a, b, ids, offsets in tokens.encoded(batch["_t"], path, end_id, cache):
+                doc, piece, start, length = cuts(np.diff(offsets), size)
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                at = 4 * (offsets[doc] + start)
+                parts = [raw[x:y] for x, y in zip(at.tolist(), (at + 4 * length).tolist())]
+                rows = pa.array(a + doc)
+                cols = [
+                    batch["_key"].take(rows),
+                    batch["_id"].take(rows),
+                    pa.array(piece.astype(np.int32)),
+                    pa.array(start),
+                    pa.array(length),
+                    pa.array(list(map(zlib.crc32, parts)), pa.int64()),
+                ]
+                names = ["_key", "doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    cols.append(pa.array([p.tobytes() for p in parts], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from lorewell.llm import common, tokens
 
-#: Tokens that a writer holds before it appends them to the file.
-FLUSH = 1 << 22
+#: Documents that a reader takes out of a shard at a time.
+READ_DOCS = 2000
 
 
 def _folder(uri: str):
@@ -41,28 +41,20 @@ def _writer(folder: str, path: str, end_id: int, kind: str):
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
         fs, base = _folder(folder)
-        out, held, size = None, [], 0
+        out = None
         ids, ends = [], [np.zeros(1, np.int64)]
         total = 0
         for batch in batches:
             if out is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{base}/{name}.bin")
-            lengths = np.zeros(batch.num_rows, np.int64)
-            for row, raw in tokens.encoded(batch["_t"], path, end_id):
-                x = np.frombuffer(raw, "<u4")
-                lengths[row] = len(x)
-                held.append(x.astype(kind).tobytes())
-                size += len(x)
-                if size >= FLUSH:
-                    out.write(b"".join(held))
-                    held, size = [], 0
+            for _, _, part, offsets in tokens.encoded(batch["_t"], path, end_id):
+                out.write(part.astype(kind).tobytes())
+                ends.append(total + offsets[1:])
+                total += len(part)
             ids.append(batch["_id"].fill_null(np.iinfo(np.int64).min).to_numpy())
-            ends.append(total + np.cumsum(lengths))
-            total += int(lengths.sum())
         if out is None:
             return
-        out.write(b"".join(held))
         out.close()
         doc = np.concatenate(ids).astype("<i8")
         with fs.open_output_stream(f"{base}/{name}.idx") as f:
@@ -120,8 +112,8 @@ def _reader(with_ids: bool):
         for batch in batches:
             for m in batch.to_pylist():
                 ids, doc, offsets = open_shard(m["path"], m["docs"], m["kind"])
-                for a in range(0, len(doc), 2000):
-                    b = min(a + 2000, len(doc))
+                for a in range(0, len(doc), READ_DOCS):
+                    b = min(a + READ_DOCS, len(doc))
                     part = ids[offsets[a] : offsets[b]].astype("<u4")
                     at = offsets[a : b + 1] - offsets[a]
                     crc = [zlib.crc32(part[x:y]) for x, y in zip(at[:-1], at[1:])]
@@ -141,6 +133,10 @@ def _reader(with_ids: bool):
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and the ids, if asked for) of every document in the shards."""
+    """doc_id, start, n_tokens, ids_crc32 (and the ids, if asked for) of every document in the shards.
+
+    The number of read tasks is given, so that the few small rows of a manifest
+    are not merged into one task that would read every file.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return manifest.repartition("shard").mapInArrow(_reader(with_ids), schema)
+    return common.spread(manifest, "shard").mapInArrow(_reader(with_ids), schema)
