@@ -175,6 +175,33 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int, whole: bool) -> tu
     return out, owner
 
 
+def window_seeds(
+    h: np.ndarray, begins: np.ndarray, n_windows: np.ndarray, span: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share the place of the smallest of ``span`` hashes in them: (row, first window, windows, that hash).
+
+    Window k of row r covers ``h[begins[r] + k : begins[r] + k + span]``.
+    """
+    if not n_windows.any():
+        z = np.zeros(0, np.int64)
+        return z, z, z, z.astype(_U)
+    # smallest hash among `span` neighbours, the leftmost if equal: 32 hash bits above, the place below
+    low = (h & ~_U(0xFFFFFFFF)) | np.arange(len(h), dtype=_U)
+    width = 1
+    while width * 2 <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < span:
+        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+    row = np.repeat(np.arange(len(n_windows)), n_windows)
+    at = begins[row] + np.arange(len(row)) - (np.cumsum(n_windows) - n_windows)[row]
+    pick = (low[at] & _U(0xFFFFFFFF)).astype(np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    return row[first], at[first] - begins[row[first]], np.diff(np.append(first, len(at))), h[pick[first]]
+
+
 def distinct_per_owner(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each owner's distinct values, sorted by owner and value."""
     order = np.lexsort((values, owner))

@@ -48,38 +48,11 @@ _U = np.uint64
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(row, first window, number of windows, seed hash, content hash) of a pass of texts."""
-    span = length - SEED + 1
     rolling = kernel.RollingHash(data)
-    h = rolling.windows(SEED)
-    size = np.diff(offsets)
-    n_windows = np.maximum(size - length + 1, 0)
-    if not n_windows.any():
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(_U), z.astype(_U)
-    # smallest hash among `span` neighbours, the leftmost if equal: 32 hash bits above, the place below
-    low = (h & ~_U(0xFFFFFFFF)) | np.arange(len(h), dtype=_U)
-    width = 1
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < span:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    row = np.repeat(np.arange(len(size)), n_windows)
-    begins = np.cumsum(n_windows) - n_windows
-    at = offsets[:-1][row] + np.arange(len(row)) - begins[row]
-    pick = (low[at] & _U(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(at), bool)
-    new[1:] = (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(at)))
-    start = at[first]
-    return (
-        row[first],
-        start - offsets[:-1][row[first]],
-        count,
-        h[pick[first]],
-        rolling.ranges(start, start + count + length - 1),
-    )
+    windows = np.maximum(np.diff(offsets) - length + 1, 0)
+    row, first, count, seed = kernel.window_seeds(rolling.windows(SEED), offsets[:-1], windows, length - SEED + 1)
+    start = offsets[:-1][row] + first
+    return row, first, count, seed, rolling.ranges(start, start + count + length - 1)
 
 
 def _local_firsts(seed, content, doc, start):
