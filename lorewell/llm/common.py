@@ -53,13 +53,26 @@ def crc32_of_id(col) -> F.Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
-#: Rows of a table of ids, at most 16 bytes each, that may be broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def if_small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcasting if a count shows that it is small, else as it is."""
-    return F.broadcast(ids) if ids.count() <= rows else ids
+#: Bytes that a table may have in memory, about, to be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Size of a table in memory, about: rows with their fixed parts, and what strings and arrays hold."""
+    held = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            held = held + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif kind == "array":
+            held = held + 8 * F.greatest(F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0)), F.lit(0))
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    return rows * (16 + 16 * len(df.columns)) + held
+
+
+def if_small(saved_table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table that :func:`saved` wrote, marked for broadcasting if it is small by its bytes, else as it is."""
+    return F.broadcast(saved_table) if bytes_of(saved_table) <= limit else saved_table
 
 
 def row_keyed(df: DataFrame, id_col: str, text_col: str, key: str = "_key") -> tuple[DataFrame, bool]:
