@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm import common, kernel
+from lorewell.llm.line_spread import without_lines  # noqa: F401  the lines that :func:`line_quality` names can be taken out with it
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -166,7 +167,33 @@ def line_quality(
     )
 
 
-def without_lines(text: F.Column, numbers: F.Column) -> F.Column:
-    """The text without the lines of these numbers."""
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(numbers, i))
-    return F.array_join(kept, "\n")
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+grams AS (SELECT doc_id, k, array_to_string(w[k:k+2], ' ') AS g FROM w, unnest(range(1, len(w) - 1)) AS r(k)),
+twice AS (SELECT doc_id, k FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT k + i) AS n FROM twice, unnest([0, 1, 2]) AS r(i) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, host, t, number, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+    translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM (SELECT *, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS number FROM d)),
+filled AS (SELECT * FROM lines WHERE words > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM filled GROUP BY doc_id),
+shared AS (SELECT host, norm FROM filled GROUP BY host, norm HAVING count(DISTINCT t) > {max_docs}),
+gone AS (
+  SELECT doc_id, sum(words) AS n, string_agg(cast(number AS varchar), ',' ORDER BY number) AS numbers
+  FROM filled SEMI JOIN shared USING (host, norm) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone, coalesce(numbers, '') AS numbers
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS word_chars,
+  cast(n_symbols AS bigint) AS n_symbols, cast(n_dup_lines AS bigint) AS n_dup_lines,
+  cast(n_repeat_words AS bigint) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.5 * n_words AS kept,
+  cast(gone AS bigint) AS n_shared_words, numbers AS shared_lines
+FROM counts
+"""

@@ -53,7 +53,7 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100, with_kept=False)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.line_quality(table(spark, sf_dir, "documents"))
+    out = line_quality.line_quality(table(spark, sf_dir, "documents"))
+    return out.withColumn("shared_lines", F.array_join("shared_lines", ","))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +94,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_spread": line_spread.SQL.format(min_sites=12, max_share=0.5),
+    "op7_line_quality": line_quality.SQL.format(max_docs=10),
 }

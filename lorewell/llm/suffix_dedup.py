@@ -325,7 +325,7 @@ def _cut_batch(out):
     )
 
 
-def _keep(length: int):
+def _keep(with_kept: bool):
     def run(batches):
         for batch in batches:
             data, offsets = kernel.utf8(batch["_t"])
@@ -348,18 +348,20 @@ def _keep(length: int):
                     n_spans.append(len(kernel.runs(gone)[0]))
                     raw = text[~gone].tobytes()
                 digest.append(hashlib.sha256(raw).hexdigest())
-                kept.append(raw)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["_id"],
-                    pa.array(np.diff(offsets)),
-                    pa.array(removed, pa.int64()),
-                    pa.array(n_spans, pa.int64()),
-                    pa.array(digest, pa.string()),
-                    pa.array(kept, pa.binary()),
-                ],
-                ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+                if with_kept:
+                    kept.append(raw)
+            cols = [
+                batch["_id"],
+                pa.array(np.diff(offsets)),
+                pa.array(removed, pa.int64()),
+                pa.array(n_spans, pa.int64()),
+                pa.array(digest, pa.string()),
+            ]
+            names = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if with_kept:
+                cols.append(pa.array(kept, pa.binary()))
+                names.append("kept")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -396,8 +398,10 @@ def repeated_ranges(keyed: DataFrame, length: int = 100) -> DataFrame:
     firsts = hot_rows.groupBy("seed").agg(
         F.min(F.struct("_key", "start")).alias("f"), F.count("*").alias("times")
     )
+    # written first: the join then reads both sides from shuffles of its own, and a window of very many rows is split
+    firsts = common.saved(firsts.where("times > 1").select("seed", "f"), "hot-windows")
     hot_windows = (
-        hot_rows.join(firsts.where("times > 1").select("seed", "f"), "seed")
+        hot_rows.join(firsts, "seed")
         .where("_key <> f._key OR start <> f.start")
         .select("_key", "start")
     )
@@ -409,13 +413,13 @@ def repeated_ranges(keyed: DataFrame, length: int = 100) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_kept: bool = True
 ) -> DataFrame:
     """Remove every byte that a repeated string of ``length`` bytes covers.
 
     Returns per row ``id_col``, n_bytes, n_removed, n_spans (maximal removed
-    runs), kept_sha256 and kept (the bytes that are left, as binary since a cut
-    may fall into a character).  Null and empty texts have no bytes; texts
+    runs), kept_sha256 and, if asked for, kept (the bytes that are left, as binary
+    since a cut may fall into a character).  Null and empty texts have no bytes; texts
     shorter than ``length`` lose nothing.  Rows that repeat an id or have none
     are documents of their own, in the order of id (null first), then text.
     ``length`` must be at least ``SEED`` + 1.  Other columns are ignored; an
@@ -431,6 +435,6 @@ def remove_repeats(
     out = keyed.join(spans, "_key", "left").select("_id", "_t", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     return out.mapInArrow(
-        _keep(length),
-        f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
+        _keep(with_kept),
+        f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept,
     ).withColumnRenamed("_id", id_col)
