@@ -12,8 +12,8 @@ link is confirmed on the full sets of 64-bit shingle hashes.
 
 Only connectivity is asked for, so pairs are never written down.  Classes that
 meet in any bucket, directly or over others, form a cluster; a cluster's sets go
-to one task, or if they are more than ``UNIT_GRAMS`` shingles, in parts of that
-size to one task for every two parts.  There, pairs whose sketches agree enough
+to one task, or if they are more than ``UNIT_GRAMS`` shingles or ``UNIT_MEMBERS``
+sets, in parts of that size to one task for every two parts.  There, pairs whose sketches agree enough
 are confirmed on their full sets, the most alike first, and a pair that is
 already connected is skipped; a task returns the links of a spanning forest,
 fewer than it has members.  Nothing is capped.  With 32 bands of four, a pair
@@ -35,8 +35,8 @@ from lorewell.llm import common, kernel
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Shingles of a part of a cluster, about.
-UNIT_GRAMS = 1_500_000
+#: Shingles and members of a part of a cluster, about.
+UNIT_GRAMS, UNIT_MEMBERS = 1_500_000, 8_000
 AGREE = 6.0
 #: Bytes of a bit matrix of members and shingles, beyond which sets are compared by sorting.
 BITS = 96 << 20
@@ -275,6 +275,8 @@ def near_duplicates(
         "sketches",
     )
     classes = s.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("_key").alias("id"))
+    # written first: the join then reads both sides from shuffles of its own, and a class of very many copies is split
+    classes = common.saved(classes, "class-ids")
     own = common.saved(
         s.where("n > 0").select("_key", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("_key", "id", "n"),
         "classes",
@@ -287,7 +289,7 @@ def near_duplicates(
     rows = common.saved(rows, "bands")
     buckets = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     met = common.saved(rows.join(buckets, "band"), "buckets")
-    wanted = met.select(F.col("id").alias("_key")).distinct()
+    wanted = common.saved(met.select(F.col("id").alias("_key")).distinct(), "candidates")
     sets = common.saved(
         keyed.select("_key", "_t")
         .join(common.if_small(wanted), "_key", "left_semi")
@@ -299,7 +301,9 @@ def near_duplicates(
         sets.join(cluster, "id").withColumn("n", F.size("grams")).select("id", "component", "n", "grams", "sketch"),
         "clusters",
     )
-    parts = member.groupBy("component").agg(F.ceil(F.sum("n") / UNIT_GRAMS).cast("int").alias("parts"))
+    parts = member.groupBy("component").agg(
+        F.greatest(F.ceil(F.sum("n") / UNIT_GRAMS), F.ceil(F.count("*") / UNIT_MEMBERS)).cast("int").alias("parts")
+    )
     own_part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     units = (
         member.join(parts, "component")

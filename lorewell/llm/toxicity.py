@@ -184,28 +184,27 @@ def train(
     return Model(words, np.stack(weights, 1), np.array(bias))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column score (0 to 1).
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``out_col`` (0 to 1), which must not be one of its columns.
 
-    Null and empty texts have the score of a text without features.  Repeated
-    rows get equal scores.
+    Null and empty texts have the score of a text without features, by which
+    documents without a known word are ranked alike (ties).  Repeated rows get
+    equal scores.
     """
+    if out_col in docs.columns:
+        raise ValueError(f"documents have a column {out_col}; name another by out_col")
 
     def run(batches):
         for batch in batches:
             out = [
-                model.scores(words, owner, b - a) for a, b, words, owner in _distinct_words(batch["_t"])
+                model.scores(words, owner, b - a) for a, b, words, owner in _distinct_words(batch[text_col])
             ] or [np.zeros(0)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in batch.schema.names[:-1]), pa.array(np.concatenate(out))],
-                [*batch.schema.names[:-1], "score"],
+                [*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, out_col]
             )
 
-    others = [F.col(c) for c in docs.columns if c not in ("score", "_t")]
-    given = docs.select(*others, F.col(text_col).alias("_t"))
-    fields = [f for f in given.schema.fields if f.name != "_t"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return given.mapInArrow(run, schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, `{out_col}` double")
 
 
 def held_out(id_col) -> F.Column:

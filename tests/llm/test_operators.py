@@ -122,6 +122,17 @@ def test_line_spread_takes_all_shared_lines_and_counts_sites_of_copies(spark):
     assert got[0].text == "own 0" and got[5].text == "" and got[10].text == "" and got[20].text == "few"
 
 
+def test_line_spread_keeps_columns_of_any_name_and_every_row(spark):
+    rows = [(i % 5, f"menu\nown {i}", f"s{i}", "g", "k", i) for i in range(7)] + [(None, "menu\nx", "s9", "g", "k", 8)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, gone string, _key string, n_lines int")
+    got = line_spread.remove_shared_lines(df, min_sites=8).collect()
+    assert len(got) == 9 and all((r.gone, r._key, r.n_lines, r.n_removed) == ("g", "k", 2, 1) for r in got)
+    assert sorted(r.text for r in got) == sorted(["own %d" % i for i in range(7)] + ["x", "x"])
+    long = "\n".join(["menu", "y"] * 20_000)
+    got = line_spread.remove_shared_lines(df.unionByName(df.limit(1).withColumn("text", F.lit(long))), min_sites=8)
+    assert [r.text for r in got.collect() if r.n_removed > 1] == ["\n".join(["y"] * 20_000)]
+
+
 def test_licenses(docs, nothing):
     got = by_id(license_rules.scan_licenses(docs))
     assert got[13].base_labels == "cc-by-nc,mit" and got[13].n_base == 2 and got[13].score == 1.0
@@ -262,6 +273,42 @@ def test_decontaminate(spark, nothing):
     assert decontaminate.contaminated(df, bench.where("item_id < 0")).count() == 0
 
 
+def test_short_items_match_exactly(spark):
+    df = spark.createDataFrame([(1, "x Alpha beta y alpha beta"), (2, "beta alpha"), (2, "gamma"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "alpha, BETA"), (8, "gamma"), (9, "alpha beta"), (9, "!"), (10, "")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == [(1, 7, 1.0, 1, 2), (1, 9, 1.0, 1, 2), (2, 8, 1.0, 0, 0)]
+
+
+@pytest.mark.parametrize("rate,least", [(0.1, 1.0), (0.2, 0.99), (0.3, 0.98)])
+def test_edited_copies_are_found_as_by_aligning_all(rate, least):
+    """Of copies with words replaced, dropped or added, those that align by half or more, by every pair's alignment."""
+    rng = np.random.default_rng(8)
+    items = [sentence(400 + i, 16 + 2 * i) for i in range(20)]
+
+    def edited(text):
+        out = []
+        for w in text.split():
+            kind = rng.integers(3) if rng.random() < rate else 3
+            out += {0: ["new%d" % rng.integers(999)], 1: [], 2: [w, "more"], 3: [w]}[int(kind)]
+        return " ".join(out)
+
+    texts = [f"{sentence(9000 + i, 20)} {edited(items[i % 20])}" for i in range(200)]
+    all_ = decontaminate.Items(list(range(20)), items, 3)
+    seeds = all_.seeds(np.ones(len(all_.keys), np.int64), 2)
+    column = decontaminate.pa.array(texts)
+    ((_, _, w, words, grams, owner),) = decontaminate.grams_of(column, 3)
+    found = {(int(r), int(i)) for r, i in decontaminate.matches(seeds, words, w.first, grams, owner, 0.5)[:, :2]}
+    want = set()
+    for i in range(20):
+        begin, end = np.full(200, all_.first[i]), np.full(200, all_.first[i + 1])
+        best = decontaminate.align(
+            decontaminate._padded(all_.words, begin, end, 0), decontaminate._padded(words, w.first[:-1], w.first[1:], 1)
+        )[0]
+        want |= {(int(r), i) for r in np.flatnonzero(best / (2 * (end - begin)) >= 0.5)}
+    assert found <= want and len(want) > 100 and len(found) >= least * len(want)
+
+
 def test_packing(docs, nothing):
     path = tokens.default_vocabulary("byte_bpe_50k.json")
     placed = packing.pack_documents(docs, path, 2, size=64, with_ids=True)
@@ -292,6 +339,39 @@ def test_near_duplicates(spark, nothing):
     assert near_dups.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("members,grams", [(8000, 1_500_000), (7, 1_500_000), (8000, 600)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, members, grams):
+    """Groups of copies at many similarities, ties at the limit, short texts, repeated rows; all pairs compared by sets."""
+    monkeypatch.setattr(near_dups, "UNIT_MEMBERS", members)
+    monkeypatch.setattr(near_dups, "UNIT_GRAMS", grams)
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(12):
+        base = sentence(700 + g, 40 + 5 * g).split()
+        for _ in range(8):
+            copy = list(base)
+            for k in rng.integers(0, len(copy), rng.integers(0, 4)):
+                copy[k] = f"z{rng.integers(99)}"
+            rows.append(" ".join(copy))
+    rows += ["a b", "A b", "a", "", None, " \n", "a b c", "a b c d", rows[0], rows[0] + " end", "a  b"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    sets = []
+    for t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", w)
+        sets.append(set(zip(w, w[1:], w[2:])) if len(w) > 2 else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if x == b else x for x in group]
+    got = by_id(near_dups.near_duplicates(df, words=3, percent=85))
+    assert [got[i].component_id for i in range(len(rows))] == group
+    assert [(got[i].n_shingles, got[i].kept) for i in range(len(rows))] == [(len(s), g == i) for i, (s, g) in enumerate(zip(sets, group))]
+    assert len(set(group)) < 80  # many rows are linked
+
+
 def test_spanning_links_by_sorting_equals_bits(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 100)
