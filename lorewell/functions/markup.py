@@ -18,7 +18,7 @@ DATE_IDS = ("publish_time", "activity-name")
 INLINE_CODE_MARKS = ("def ", "class ", "return", "import ", "=", "(", ")", "[", "]", "{", "}", ":", ".", ",")
 
 PAGE_TYPE = (
-    "title string, account string, published string, main_content string, "
+    "container string, title string, account string, published string, main_content string, "
     "code array<struct<attrs: string, content: string, pre: boolean>>, images array<string>"
 )
 
@@ -101,6 +101,7 @@ def read_page(html: str, url: str) -> dict:
     images = [_filled(values) for holding, values in r.images if kind in holding]
     images = ["https:" + v if v.startswith("//") else urljoin(url, v) for v in images if v]
     return {
+        "container": kind or "",
         "title": _filled([*(r.metas.get(m) for m in TITLE_METAS), r.title]),
         "account": _filled([r.metas.get(("name", "author")), *(" ".join(r.named.get(n, [])) for n in ACCOUNT_IDS)]).strip(),
         "published": _filled([r.metas.get(("property", "article:published_time")), *(" ".join(r.named.get(n, [])) for n in DATE_IDS)]),
@@ -112,7 +113,7 @@ def read_page(html: str, url: str) -> dict:
 
 def _parts(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     rows = [read_page(h or "", u or "") for h, u in zip(html, url, strict=True)]
-    return pd.DataFrame(rows, columns=["title", "account", "published", "main_content", "code", "images"])
+    return pd.DataFrame(rows, columns=["container", "title", "account", "published", "main_content", "code", "images"])
 
 
 def page_parts(html: Column, url: Column) -> Column:
@@ -150,3 +151,10 @@ def _fenced(texts: pd.Series) -> pd.Series:
 def fence_code_runs(text: Column) -> Column:
     """Fences around the longest tail of each run of indented lines that is code: 3 lines filled, four fifths of them code-like."""
     return F.pandas_udf(_fenced, "string")(text)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references of markup decoded that code is written with; ``&amp;`` last."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
