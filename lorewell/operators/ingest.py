@@ -74,7 +74,8 @@ def ingest_state(candidates: DataFrame, articles: DataFrame, force: bool = False
 
 def ingest_job(pages: DataFrame, articles: DataFrame, rejected: DataFrame, today: str, force: bool = False) -> DataFrame:
     """Pages ``(url, html)`` through extraction and gate; rows of state success are the new articles, with status raw."""
-    salted = pages.withColumn("_salt", F.monotonically_increasing_id() % PARTS)
+    # rows of one key are parted by what they hold, so a task that runs again marks the same row; equal rows share a part
+    salted = pages.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in pages.columns]), F.lit(PARTS)))
     found = flag_rejected(E.extract_articles(salted, today), rejected, force)
     return ingest_state(found.withColumn("status", F.lit("raw")), articles, force)
 
@@ -105,15 +106,15 @@ def classify_error(error: Column) -> Column:
 
 
 def set_article_status(notes: DataFrame, updates: DataFrame, rejected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(notes, rejected, unknown): notes with the status of ``updates(article_key, status, reason)``.
+    """(notes, rejected, unknown): notes with the status of ``updates(place, article_key, status, reason)``.
 
-    Of several updates of a key the greatest status by name counts; statuses that are
-    not allowed are ignored.  Rejected notes are appended to ``rejected`` unless their
+    Of several updates of a key the last by place counts; statuses that are not
+    allowed are ignored.  Rejected notes are appended to ``rejected`` unless their
     address or title is there; a blank reason becomes the note's value.  ``unknown``
     holds updates of keys that are not notes.
     """
     valid = updates.where(F.col("status").isin(*ALLOWED_STATUS))
-    one = valid.groupBy("article_key").agg(F.max(F.struct(F.col("status").alias("new_status"), "reason")).alias("_u"))
+    one = valid.groupBy("article_key").agg(F.max(F.struct("place", F.col("status").alias("new_status"), "reason")).alias("_u"))
     out = notes.join(one, "article_key", "left")
     gone = out.where("_u.new_status = 'rejected'").select(
         F.col("url").alias("source_url"),

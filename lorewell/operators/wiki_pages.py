@@ -106,12 +106,28 @@ def _field(head: Column, name: str) -> Column:
     return F.regexp_replace(T.strip(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1)), "^([\"'])(.*)\\1\\z", "$2")
 
 
+def _leading(lines: Column, wanted) -> Column:
+    """The lines before the first that is not wanted."""
+    end = F.array_position(F.transform(lines, wanted), False).cast("int")
+    return F.when(end > 0, F.slice(lines, 1, F.greatest(end - 1, F.lit(0)))).otherwise(lines)
+
+
+def _after(lines: Column, found) -> Column:
+    """The lines behind the first that is found; none without it."""
+    at = F.array_position(F.transform(lines, found), True).cast("int")
+    return F.when(at > 0, F.slice(lines, at + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+
+
+def _is_item(line: Column) -> Column:
+    return F.ltrim(line).startswith("- ")
+
+
 def _field_list(head: Column, name: str) -> Column:
     """Items of ``[a, b]``, of indented lines that begin with a hyphen, or a single text."""
     inline = _field(head, name)
-    lines = F.regexp_extract(head, rf"(?m)^{name}:[ \t]*\n((?:[ \t]*- .*(?:\n|\z))+)", 1)
+    lines = _leading(_after(F.split(head, "\n"), lambda x: F.rtrim(x) == f"{name}:"), _is_item)
     items = (
-        F.when(lines != "", F.regexp_extract_all(lines, F.lit(r"(?m)^[ \t]*- (.*)$"), 1))
+        F.when(F.size(lines) > 0, F.transform(lines, lambda x: F.substr(F.ltrim(x), F.lit(3))))
         .when(inline.startswith("["), F.split(F.regexp_replace(inline, r"^\[|\]\z", ""), ","))
         .otherwise(F.array(inline))
     )
@@ -157,8 +173,8 @@ def parse_source_pages(pages: DataFrame) -> DataFrame:
     for name, mark in (("takeaway", "One-line takeaway"), ("why_in_kb", "Why it's in the KB")):
         value = T.strip(F.regexp_extract(body, rf"\*\*{mark}:\*\* (.*)", 1))
         fields[name] = F.when(value == "_none_", "").otherwise(value)
-    shown = F.regexp_extract(body, r"\*\*Idea Blocks \(top 3\):\*\*\s*\n\s*\n((?:- .+\n?)+)", 1)
-    fields["top_idea_blocks"] = _items(shown)
+    behind = F.filter(_after(F.split(body, "\n"), lambda x: F.rtrim(x) == "**Idea Blocks (top 3):**"), lambda x, i: (i > 0) | (x != ""))
+    fields["top_idea_blocks"] = _items(F.array_join(_leading(behind, lambda x: x.startswith("- ")), "\n"))
     fields["error"] = F.when(head == "", "no header")
     split = pages.select("page_path", content.alias("content"), _head(content).alias("_h"), _body(content).alias("_b"))
     return split.select("page_path", "content", *[c.alias(n) for n, c in fields.items()])
