@@ -1,7 +1,10 @@
-"""Many queries at once against blocks: keyword overlap, exact vector neighbours, fusion, top-k."""
+"""Many queries at once against blocks and concepts: keyword overlap, exact vector neighbours, fusion, contexts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,10 +23,11 @@ TYPE_BONUS = {
 }
 RANK_BONUS = {"idea_blocks": 0.04, "combination_hooks": 0.03, "transfer_targets": 0.03, "failure_modes": 0.02}
 RRF_K = 60
-#: Query vectors that one pass over the index holds in a task.
-VECTOR_BLOCK = 20_000
-#: Query tokens that may be broadcast.
-BROADCAST_TOKENS = 1_000_000
+TOP_K, CONCEPT_TOP_K, FETCH_CONCEPTS, FETCH_BLOCKS, PER_ARTICLE = 8, 3, 4, 3, 3
+#: Queries that one pass over the index holds in a task, and those that are scored together.
+QUERY_BLOCK, QUERY_TILE = 20_000, 500
+#: Vectors of the index that are multiplied together.
+VECTOR_TILE = 1024
 
 
 def _by_type(values: dict[str, float]) -> Column:
@@ -33,26 +37,126 @@ def _by_type(values: dict[str, float]) -> Column:
     return out
 
 
-def keyword_scores(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, article_key, ordinal, block_type, text, score) of each block that shares a token with a query."""
-    q = queries.select("query_id", T.tokenize(F.col("text")).alias("t"))
-    asked = q.select("query_id", F.size("t").alias("n"), F.explode("t").alias("token")).cache()
-    small = asked.count() <= BROADCAST_TOKENS
-    b = blocks.select("article_key", "ordinal", "block_type", F.explode(T.tokenize(F.col("text"))).alias("token"))
-    hits = b.join(F.broadcast(asked) if small else asked, "token")
-    counted = hits.groupBy("query_id", "article_key", "ordinal", "block_type").agg(
-        F.count("*").alias("overlap"), F.first("n").alias("n")
-    )
-    return counted.select(
-        "query_id",
-        "article_key",
-        "ordinal",
-        "block_type",
-        F.round(F.col("overlap") / F.col("n") + _by_type(TYPE_BONUS), 6).alias("score"),
+def _query_blocks(queries: DataFrame) -> Iterator[list]:
+    """Rows of queries, at most about ``QUERY_BLOCK`` at a time."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    for k in range(n):
+        yield (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else queries).collect()
+
+
+def _rounded(value: float) -> int:
+    """Millionths, halves up, as Spark rounds."""
+    return int(Decimal(repr(value)).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6))
+
+
+class _Asked:
+    """Tokens of some queries as a table from a token's hash to the queries that have it."""
+
+    def __init__(self, ids: np.ndarray, tokens: list[list[int]]):
+        self.ids = ids
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        flat = np.concatenate([np.array(t, np.int64) for t in tokens] or [np.zeros(0, np.int64)])
+        owner = np.repeat(np.arange(len(tokens)), self.size)
+        order = np.lexsort((owner, flat))
+        self.keys, self.begin = np.unique(flat[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(flat))
+        self.owner = owner[order]
+        # a query's score depends on its size, the overlap and the type alone: rank keys are looked up
+        self.types = [*TYPE_BONUS, ""]
+        longest = int(self.size.max(initial=0))
+        self.rank = np.zeros((longest + 1, longest + 1, len(self.types)), np.int64)
+        for n in np.unique(self.size).tolist():
+            for overlap in range(1, n + 1):
+                for t, name in enumerate(self.types):
+                    score = _rounded(overlap / n + TYPE_BONUS.get(name, 0.0)) / 1e6
+                    self.rank[n, overlap, t] = _rounded(score + RANK_BONUS.get(name, 0.0))
+
+
+def _matching(asked, keep: int, per_article: int | None):
+    """Blocks of each batch that can be among a query's best ``keep``, by overlap and type."""
+
+    def best(a: _Asked, block: np.ndarray, token: np.ndarray, n: int, kind: np.ndarray, article: np.ndarray, tie: np.ndarray):
+        at = np.minimum(np.searchsorted(a.keys, token), max(len(a.keys) - 1, 0))
+        real = a.keys[at] == token if len(a.keys) else np.zeros(len(token), bool)
+        block, at = block[real], at[real]
+        times = a.end[at] - a.begin[at]
+        rows = np.repeat(block, times)
+        query = a.owner[np.repeat(a.begin[at] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        for q0 in range(0, len(a.ids), QUERY_TILE):
+            q1 = min(q0 + QUERY_TILE, len(a.ids))
+            mine = (query >= q0) & (query < q1)
+            overlap = np.bincount((query[mine] - q0) * n + rows[mine], minlength=(q1 - q0) * n).reshape(q1 - q0, n)
+            for q in range(q1 - q0):
+                hit = np.flatnonzero(overlap[q])
+                key = a.rank[a.size[q0 + q], overlap[q, hit], kind[hit]]
+                order = np.lexsort((tie[hit], -key))
+                hit = hit[order]
+                if per_article:  # a block's place among those of its article, best first
+                    by = np.argsort(article[hit], kind="stable")
+                    group = article[hit][by]
+                    place = np.empty(len(hit), np.int64)
+                    place[by] = np.arange(len(hit)) - np.searchsorted(group, group)
+                    hit = hit[place < per_article]
+                # each article that goes before a block has one block at least in the final list before it
+                hit = hit[: keep * (per_article or 1)]
+                yield q0 + q, hit, overlap[q, hit]
+
+    def run(batches):
+        a = asked.value
+        code = {name: t for t, name in enumerate(a.types)}
+        for batch in batches:
+            n = batch.num_rows
+            if not n or not len(a.ids):
+                continue
+            tokens = batch["tokens"]
+            places = tokens.offsets.to_numpy()
+            token = tokens.values.to_numpy()[places[0] : places[-1]]
+            kind = np.array([code.get(x, len(a.types) - 1) for x in batch["block_type"].to_pylist()])
+            article = np.unique(np.array(batch["article_key"].to_pylist(), object), return_inverse=True)[1]
+            tie = np.empty(n, np.int64)
+            tie[np.lexsort((batch["ordinal"].to_numpy(), article))] = np.arange(n)
+            found = list(best(a, np.repeat(np.arange(n), np.diff(places)), token, n, kind, article, tie))
+            rows = pa.array(np.concatenate([f[1] for f in found]))
+            query = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(a.ids[query]),
+                    *(batch[c].take(rows) for c in ("article_key", "ordinal", "block_type")),
+                    pa.array(np.concatenate([f[2] for f in found]).astype(np.int64)),
+                    pa.array(a.size[query]),
+                ],
+                ["query_id", "article_key", "ordinal", "block_type", "overlap", "n"],
+            )
+
+    return run
+
+
+def keyword_top(blocks: DataFrame, queries: DataFrame, limit: int, per_article: int | None = PER_ARTICLE) -> DataFrame:
+    """The best ``limit`` blocks of each query by shared tokens, at most ``per_article`` of one article; with ``rank`` from 1.
+
+    A block's score is the share of the query's tokens that it has, and its
+    type's bonus.  Tasks compare token hashes of their blocks with all queries
+    and pass on only blocks that can be among a query's best, so the pairs of
+    queries and blocks that share a word are never written or shuffled.
+    """
+    hashes = lambda c: F.transform(T.tokenize(c), lambda t: F.xxhash64(t))
+    given = blocks.select(
+        F.col("article_key"), F.col("ordinal").cast("int").alias("ordinal"), F.col("block_type"), hashes(F.col("text")).alias("tokens")
     )
+    out = None
+    for rows in _query_blocks(queries.select("query_id", hashes(F.col("text")).alias("tokens"))):
+        asked = _Asked(np.array([r["query_id"] for r in rows], np.int64), [r["tokens"] for r in rows])
+        shared = blocks.sparkSession.sparkContext.broadcast(asked)  # at most QUERY_BLOCK queries
+        found = given.mapInArrow(
+            _matching(shared, limit, per_article),
+            "query_id long, article_key string, ordinal int, block_type string, overlap long, n long",
+        )
+        out = found if out is None else out.unionByName(found)
+    score = F.round(F.col("overlap") / F.col("n") + _by_type(TYPE_BONUS), 6)
+    return top_blocks(out.select("query_id", "article_key", "ordinal", "block_type", score.alias("score")), limit, per_article)
 
 
-def top_blocks(scored: DataFrame, limit: int, per_article: int | None = 3) -> DataFrame:
+def top_blocks(scored: DataFrame, limit: int, per_article: int | None = PER_ARTICLE) -> DataFrame:
     """The best ``limit`` blocks of each query, at most ``per_article`` of one article; with ``rank`` from 1."""
     order = [F.desc(F.round(F.col("score") + _by_type(RANK_BONUS), 6)), F.asc("article_key"), F.asc("ordinal")]
     if per_article:
@@ -63,49 +167,61 @@ def top_blocks(scored: DataFrame, limit: int, per_article: int | None = 3) -> Da
 
 
 def vector_scores(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """(query_id, id, score): the ``n`` nearest of ``index(id, embedding)`` by cosine similarity, exactly.
+    """(query_id, id, score, rank): the ``n`` nearest of ``index(id, embedding)`` by cosine similarity, exactly.
 
     Each task keeps the best n of its batches; the rest is a ranking of few rows
-    a task.  Queries are taken in blocks, which bounds what a task holds.
+    a task.  Queries are taken in blocks and vectors in tiles, which bounds what
+    a task holds.  Rows without a vector, or with one of another length than the
+    queries', match nothing.
     """
-    total = queries.count()
     out = None
-    for k in range(max(1, -(-total // VECTOR_BLOCK))):
-        blocks = max(1, -(-total // VECTOR_BLOCK))
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
-        ids = np.array([r["query_id"] for r in part], np.int64)
-        matrix = np.array([r["embedding"] for r in part], np.float64).reshape(len(part), -1)
-        found = index.select("id", "embedding").mapInArrow(_nearest(ids, matrix, n), "query_id long, id long, score double")
+    for rows in _query_blocks(queries.where("embedding IS NOT NULL").select("query_id", "embedding")):
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        matrix = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        unit = np.divide(matrix, np.where(norms == 0, 1, norms))
+        shared = index.sparkSession.sparkContext.broadcast((ids, unit))  # at most QUERY_BLOCK vectors
+        fits = index.where(F.size("embedding") == matrix.shape[1]) if len(rows) else index.limit(0)
+        found = fits.select("id", "embedding").mapInArrow(_nearest(shared, n), "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _nearest(ids: np.ndarray, matrix: np.ndarray, n: int):
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(ids) else matrix
-    unit = matrix / np.where(norms == 0, 1, norms) if len(ids) else matrix
-
+def _nearest(shared, n: int):
     def run(batches):
+        ids, unit = shared.value
         for batch in batches:
-            if not len(ids) or not batch.num_rows:
-                continue
-            v = batch["embedding"]
-            x = v.values.to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(x, axis=1, keepdims=True)
-            sim = np.round(np.maximum(unit @ (x / np.where(size == 0, 1, size)).T, 0), 6)
-            at = batch["id"].to_numpy()
-            for a in range(0, len(ids), 256):
-                s = sim[a : a + 256]
-                order = np.lexsort((np.broadcast_to(at, s.shape), -s), axis=1)[:, :n]
-                q = np.repeat(ids[a : a + 256], order.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q), pa.array(at[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())],
-                    ["query_id", "id", "score"],
-                )
+            for begin in range(0, batch.num_rows, VECTOR_TILE):
+                part = batch.slice(begin, VECTOR_TILE)
+                x = part["embedding"].flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                x = (x / np.where(size == 0, 1, size)).T
+                at = part["id"].to_numpy()
+                for a in range(0, len(ids), QUERY_TILE):
+                    s = np.round(np.maximum(unit[a : a + QUERY_TILE] @ x, 0), 6)
+                    order = np.lexsort((np.broadcast_to(at, s.shape), -s), axis=1)[:, :n]
+                    q = np.repeat(ids[a : a + QUERY_TILE], order.shape[1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q), pa.array(at[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())],
+                        ["query_id", "id", "score"],
+                    )
 
     return run
 
 
+def vector_top(near: DataFrame, index: DataFrame, allowed: DataFrame, limit: int, per_article: int | None = PER_ARTICLE) -> DataFrame:
+    """Neighbours ``near(query_id, id, score)`` of the whole index that are blocks of ``allowed(article_key)``, ranked as blocks.
+
+    The index names each id's article, ordinal and type; wiki blocks among the
+    neighbours fall out here, after the fetch.
+    """
+    named = near.join(index.select("id", "article_key", "ordinal", "block_type"), "id").join(
+        allowed.select("article_key").distinct(), "article_key", "left_semi"
+    )
+    return top_blocks(named.select("query_id", "article_key", "ordinal", "block_type", "score"), limit, per_article)
+
+
 def rrf_fusion(*ranked: DataFrame, limit: int) -> DataFrame:
     """Reciprocal-rank fusion of lists (query_id, article_key, ordinal, block_type, rank)."""
     keys = ["query_id", "article_key", "ordinal", "block_type"]
@@ -114,3 +230,143 @@ def rrf_fusion(*ranked: DataFrame, limit: int) -> DataFrame:
         all_ = all_.unionByName(r.select(*keys, "rank"))
     fused = all_.groupBy(*keys).agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("score"))
     return top_blocks(fused, limit, per_article=None)
+
+
+def _memory(state: DataFrame) -> DataFrame:
+    """(slug, memory, hints) of ``state``; conflicts may be a number or a list."""
+    conflicts = F.col("conflicts")
+    if state.schema["conflicts"].dataType.typeName() == "array":
+        conflicts = F.size(conflicts)
+    score = T.memory_score(F.col("confidence"), F.col("importance"), F.col("freshness"), F.col("source_count"), conflicts)
+    return state.select("slug", score.alias("memory"), F.col("retrieval_hints").alias("hints"))
+
+
+def _top_concepts(scored: DataFrame, k: int) -> DataFrame:
+    """The best k concepts of each query, each once; of equal scores the first slug."""
+    once = Window.partitionBy("query_id", "slug").orderBy(F.desc("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "slug")
+    first = scored.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k")
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def concepts_by_vector(near: DataFrame, index: DataFrame, concepts: DataFrame, state: DataFrame, k: int = CONCEPT_TOP_K) -> DataFrame:
+    """(query_id, slug, score, rank): half similarity and half memory, over stable concepts' blocks.
+
+    ``near(query_id, id, score)`` holds the ``FETCH_CONCEPTS * k`` nearest of the
+    index's stable concept blocks, see :func:`stable_concept_blocks`; a concept
+    without state has no memory, and one that is gone is left out.
+    """
+    found = near.join(index.select("id", "slug"), "id").join(concepts.select("slug").distinct(), "slug", "left_semi")
+    scored = found.join(_memory(state), "slug", "left").select(
+        "query_id", "slug", F.round(0.5 * F.col("score") + 0.5 * F.coalesce("memory", F.lit(0.0)), 6).alias("score")
+    )
+    return _top_concepts(scored, k)
+
+
+def stable_concept_blocks(index: DataFrame) -> DataFrame:
+    return index.where("kb_layer = 'wiki_concept' AND status = 'stable'")
+
+
+def concepts_by_words(concepts: DataFrame, queries: DataFrame, state: DataFrame, k: int = CONCEPT_TOP_K) -> DataFrame:
+    """(query_id, slug, score, rank): shared tokens and twice the memory, over stable concepts that share a token.
+
+    A concept's words are its title, its state's hints (without state its
+    aliases and title), and 200 characters of its definition.
+    """
+    stable = concepts.where("status = 'stable'").join(_memory(state), "slug", "left")
+    own = F.concat(F.col("aliases"), F.array("title"))
+    text = F.concat_ws(" ", "title", F.coalesce("hints", own), F.substring(F.coalesce("definition", F.lit("")), 1, 200))
+    words = stable.select("slug", F.coalesce("memory", F.lit(0.0)).alias("memory"), F.explode(T.tokenize(text)).alias("token"))
+    asked = queries.select("query_id", F.explode(T.tokenize(F.col("text"))).alias("token"))
+    counted = words.join(asked, "token").groupBy("query_id", "slug").agg(F.count("*").alias("n"), F.first("memory").alias("memory"))
+    return _top_concepts(counted.select("query_id", "slug", F.round(F.col("n") + 2.0 * F.col("memory"), 6).alias("score")), k)
+
+
+def concepts_first(by_vector: DataFrame | None, by_words: DataFrame) -> DataFrame:
+    """Concepts by vector where a query has some, else by words."""
+    if by_vector is None:
+        return by_words
+    return by_vector.unionByName(by_words.join(by_vector.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def exclude_cited(candidates: DataFrame, hits: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Candidates without articles that are sources of a query's surfaced concepts."""
+    cited = hits.join(concepts.select("slug", F.explode("sources").alias("article_key")), "slug").select("query_id", "article_key").distinct()
+    return candidates.join(cited, ["query_id", "article_key"], "left_anti")
+
+
+def retrieve(
+    queries: DataFrame,
+    keyword: DataFrame,
+    vector: DataFrame | None,
+    hits: DataFrame | None,
+    concepts: DataFrame,
+    mode: str = "hybrid",
+    top_k: int = TOP_K,
+    strict_exclude: bool = False,
+) -> DataFrame:
+    """What each query gets: its concepts first, then article blocks to fill ``top_k``.
+
+    ``keyword`` and ``vector`` are ranked block lists, ``hits`` the ranked
+    concepts (None where the wiki is not healthy).  Modes: keyword leaves out
+    sources of the concepts, as every mode does without a vector list; vector
+    too, and a query without vector results gets its keyword list; hybrid fuses the keyword list with the vector list
+    that leaves them out.  Keyword lists of fallback and fusion leave sources
+    out only with ``strict_exclude``.  Leaving out comes after the lists were cut,
+    so places may stay empty.  Returns query_id, place, layer, name (slug or
+    article_key), ordinal, block_type, mode (as resolved) and warning.
+    """
+    if mode not in ("keyword", "vector", "hybrid"):
+        raise ValueError(f"no mode {mode}")
+    without = lambda df: exclude_cited(df, hits, concepts) if hits is not None else df
+    keyword_used = without(keyword) if strict_exclude else keyword
+    if mode == "keyword" or vector is None:
+        blocks = without(keyword).withColumn("mode", F.lit("keyword"))
+    else:
+        near = without(vector)
+        served = near.select("query_id").distinct()
+        main = near if mode == "vector" else rrf_fusion(keyword_used.join(served, "query_id", "left_semi"), near, limit=top_k)
+        rest = keyword_used.join(served, "query_id", "left_anti")
+        keys = ["query_id", "article_key", "ordinal", "block_type", "rank"]
+        blocks = main.select(*keys).withColumn("mode", F.lit(mode)).unionByName(rest.select(*keys).withColumn("mode", F.lit("keyword")))
+    columns = "query_id", "layer", "name", "ordinal", "block_type", "mode", "rank"
+    rows = blocks.select(
+        "query_id", F.lit(1).alias("layer"), F.col("article_key").alias("name"), "ordinal", "block_type", "mode", "rank"
+    ).select(*columns)
+    if hits is not None:
+        first = hits.select(
+            "query_id", F.lit(0).alias("layer"), F.col("slug").alias("name"), F.lit(0).alias("ordinal"),
+            F.lit("wiki_concept").alias("block_type"), F.lit(None).cast("string").alias("mode"), "rank",
+        )
+        rows = first.select(*columns).unionByName(rows)
+    w = Window.partitionBy("query_id")
+    place = F.row_number().over(w.orderBy("layer", "rank"))
+    rows = rows.withColumn("place", place).withColumn("mode", F.coalesce(F.max("mode").over(w), F.lit("keyword"))).where(F.col("place") <= top_k)
+    fell = F.when((F.col("mode") != mode), F.lit(f"{mode} retrieval returned no results; fell back to keyword"))
+    return rows.join(queries.select("query_id"), "query_id", "left_semi").select(
+        "query_id", "place", F.when(F.col("layer") == 0, "concept").otherwise("article").alias("layer"), "name", "ordinal", "block_type",
+        "mode", fell.alias("warning"),
+    )
+
+
+# How blocks of the wiki are named in a context.
+CONTEXT_LABELS = {"wiki_concept": "Wiki Concept", "wiki_source": "Wiki Source Summary"}
+
+
+def format_context(retrieved: DataFrame) -> DataFrame:
+    """(query_id, context) of ``retrieved(query_id, place, title, path, content_type, block_type, text)``: numbered blocks."""
+    label = F.lit("Article")
+    for kind, name in CONTEXT_LABELS.items():
+        label = F.when(F.col("block_type") == kind, name).otherwise(label)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    chunk = F.concat_ws(
+        "\n",
+        F.format_string("[Context %d] [%s]", "place", label),
+        F.concat(F.lit("Title: "), text("title")),
+        F.concat(F.lit("Path: "), text("path")),
+        F.concat(F.lit("Content Type: "), text("content_type")),
+        F.concat(F.lit("Block Type: "), text("block_type")),
+        F.concat(F.lit("Content: "), text("text")),
+    )
+    parts = F.array_sort(F.collect_list(F.struct("place", chunk.alias("chunk"))))  # at most top_k a query
+    return retrieved.groupBy("query_id").agg(F.array_join(parts["chunk"], "\n\n").alias("context"))

@@ -27,7 +27,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_blocks(R.keyword_scores(_blocks(spark, sf_dir), V.queries(spark, sf_dir)), limit=16)
+    return R.keyword_top(_blocks(spark, sf_dir), V.queries(spark, sf_dir), limit=16)
 
 
 def _vector_top(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
