@@ -53,6 +53,21 @@ def slugify(text: Column, size: int = 60) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(t, r"^-+|-+\z", ""), 1, size), r"-+\z", "")
 
 
+def query_slug(query: Column, size: int = 60) -> Column:
+    """A question's short name in the log: letters, digits, _ and CJK in lower case, all else one underscore; ``query`` if nothing is left."""
+    t = F.regexp_replace(F.lower(strip(F.coalesce(query, F.lit("")))), r"(?U)[^\w\x{4E00}-\x{9FFF}]+", "_")
+    t = F.substring(F.regexp_replace(t, r"^_+|_+\z", ""), 1, size)
+    return F.when(t == "", "query").otherwise(t)
+
+
+def output_slug(query: Column) -> Column:
+    """A question's name in an output file, of at most 80 characters; ``result`` if nothing is left."""
+    t = F.regexp_replace(F.lower(F.coalesce(query, F.lit(""))), r'[\\/:*?"<>|：？“”‘’《》【】｜]+', "_")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", "_"), "_+", "_")
+    t = F.substring(F.regexp_replace(t, r"^[ ._]+|[ ._]+\z", ""), 1, 80)
+    return F.when(t == "", "result").otherwise(t)
+
+
 def normalize_date(text: Column) -> Column:
     """The first date with year, month and day as ISO text, or an empty one."""
     p = r"(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
@@ -60,20 +60,101 @@ def with_block_id(blocks: DataFrame) -> DataFrame:
     )
 
 
-def changed_articles(current: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
-    """``current(article_key, hash)`` with state: new, changed or same."""
-    old = manifest.select("article_key", F.col("hash").alias("old_hash"))
-    state = (
-        F.when(F.col("old_hash").isNull(), "new")
-        .when(F.lit(force) | (F.col("hash") != F.col("old_hash")), "changed")
-        .otherwise("same")
+# Sections of a concept whose bullets are part of its block.
+CONCEPT_BLOCK_SECTIONS = ("key_idea_blocks", "variants", "common_combinations", "transfer_targets", "failure_modes")
+#: Version of the index's layout; part of every article's hash, so a new one indexes all again.
+INDEX_VERSION = "1"
+SCORES = ("confidence", "importance", "freshness")
+
+
+def article_blocks(notes: DataFrame) -> DataFrame:
+    """Blocks of notes with ids, the layer ``article`` and what the index says about their note."""
+    of_note = ["article_key", *[c for c in ("content_type", "brainstorm_value", "status") if c in notes.columns]]
+    return with_block_id(build_blocks(notes)).join(notes.select(*of_note).dropDuplicates(["article_key"]), "article_key").withColumn(
+        "kb_layer", F.lit("article")
+    )
+
+
+def build_wiki_blocks(concepts: DataFrame, summaries: DataFrame, state: DataFrame) -> DataFrame:
+    """A block for each concept and each source summary that has text, as rows of the index.
+
+    A concept's text is its synthesis, its definition and its bullets but open
+    questions; its scores come from ``state``, 0 without one.  A summary's text is
+    its takeaway and top ideas.
+    """
+    empty = F.array().cast("array<string>")
+    sections = [F.array_join(F.coalesce(F.col(c), empty), "\n") for c in CONCEPT_BLOCK_SECTIONS if c in concepts.columns]
+    parts = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("synthesis", "definition") if c in concepts.columns], *sections)
+    filled = lambda x: x != ""
+    known = state.select("slug", *[F.col(c).alias(f"_{c}") for c in (*SCORES, "source_count")])
+    kind = F.coalesce(F.get("content_types", F.lit(0)), F.lit("")) if "content_types" in concepts.columns else F.lit("")
+    of_concepts = concepts.join(known, "slug", "left").select(
+        F.concat(F.lit("wiki/concepts/"), "slug", F.lit(".md")).alias("article_key"),
+        F.lit("wiki_concept").alias("block_type"),
+        F.array_join(F.filter(parts, filled), "\n\n").alias("text"),
+        kind.alias("content_type"),
+        F.lit("high").alias("brainstorm_value"),
+        "status",
+        "slug",
+        *[F.coalesce(F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in SCORES],
+        F.coalesce("_source_count", F.size("sources")).alias("source_count"),
+    )
+    ideas = F.concat(F.array(F.coalesce("takeaway", F.lit(""))), F.coalesce("top_idea_blocks", empty))
+    value = F.coalesce("brainstorm_value", F.lit("")) if "brainstorm_value" in summaries.columns else F.lit("")
+    name = F.substring_index("article_key", "/", -1)
+    of_summaries = summaries.select(
+        F.concat(F.lit("wiki/sources/"), name, F.lit(".md")).alias("article_key"),
+        F.lit("wiki_source").alias("block_type"),
+        F.array_join(F.filter(ideas, filled), " · ").alias("text"),
+        "content_type",
+        value.alias("brainstorm_value"),
+        F.lit("stable").alias("status"),
     )
-    return current.join(old, "article_key", "left").withColumn("state", state).drop("old_hash")
+    both = of_concepts.unionByName(of_summaries, allowMissingColumns=True).where(T.strip(F.col("text")) != "")
+    return with_block_id(both.withColumn("ordinal", F.lit(0))).withColumn("kb_layer", F.col("block_type"))
 
 
-def upsert_blocks(index: DataFrame, new_blocks: DataFrame, changed: DataFrame) -> DataFrame:
-    """All blocks of changed articles are replaced; the others stay."""
-    kept = index.join(changed.select("article_key").distinct(), "article_key", "left_anti")
+def all_blocks(articles: DataFrame, wiki: DataFrame) -> DataFrame:
+    """One table of article and wiki blocks; ``kb_layer`` tells them apart, columns of one kind are null in the other."""
+    return articles.unionByName(wiki, allowMissingColumns=True)
+
+
+def index_hash(content: Column) -> Column:
+    """The hash that decides whether an article is indexed again: of the index's version and the article's text."""
+    return F.sha2(F.concat(F.lit(INDEX_VERSION), F.coalesce(content, F.lit(""))), 256)
+
+
+def changed_articles(
+    current: DataFrame, manifest: DataFrame, force: bool = False, summaries: DataFrame | None = None
+) -> DataFrame:
+    """``current(article_key, hash)`` with state: new, changed or same.
+
+    With ``summaries`` (compilation) an article of the same hash counts as
+    changed if its summary is missing.
+    """
+    old = manifest.select("article_key", F.col("hash").alias("old_hash"))
+    differs = F.lit(force) | (F.col("hash") != F.col("old_hash"))
+    out = current.join(old, "article_key", "left")
+    if summaries is not None:
+        out = out.join(summaries.select("article_key").distinct().withColumn("_has", F.lit(True)), "article_key", "left")
+        differs = differs | F.col("_has").isNull()
+    state = F.when(F.col("old_hash").isNull(), "new").when(differs, "changed").otherwise("same")
+    return out.withColumn("state", state).select(*current.columns, "state")
+
+
+def upsert_blocks(
+    index: DataFrame, new_blocks: DataFrame, changed: DataFrame, present: DataFrame | None = None
+) -> DataFrame:
+    """All blocks of changed articles and of wiki pages that come anew are replaced; the others stay.
+
+    A changed wiki page's old block has another id, so pages are replaced by
+    name.  With ``present`` blocks of articles and pages not in it go too.
+    """
+    pages = new_blocks.where("kb_layer <> 'article'").select("article_key") if "kb_layer" in new_blocks.columns else None
+    replaced = changed.select("article_key") if pages is None else changed.select("article_key").unionByName(pages)
+    kept = index.join(replaced.distinct(), "article_key", "left_anti")
+    if present is not None:
+        kept = kept.join(present.select("article_key").distinct(), "article_key", "left_semi")
     return kept.unionByName(new_blocks, allowMissingColumns=True)
 
 

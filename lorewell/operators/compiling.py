@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.operators import blocks
+from lorewell.operators import concepts as scoring
+from lorewell.operators import seeds as seeding
 
 # The fields of a model's assignment.
 ASSIGNMENT = (
@@ -117,14 +123,17 @@ def proposed_concepts(assignments: DataFrame, concepts: DataFrame) -> DataFrame:
     )
 
 
-def concept_sources(concepts: DataFrame, fed: DataFrame, changed: DataFrame) -> DataFrame:
+def concept_sources(concepts: DataFrame, fed: DataFrame, changed: DataFrame, hit: DataFrame | None = None) -> DataFrame:
     """(slug, article_key, current): sources of each concept that a changed article feeds, old and new ones, once.
 
-    ``current`` says that the article feeds the concept now.  Rows and not
+    ``current`` says that the article feeds the concept now.  ``hit(slug)`` names
+    the concepts where not all that changed articles feed count.  Rows and not
     lists, since one concept may have a third of all articles.
     """
     known = concepts.select("slug").distinct()
-    hit = fed.join(changed.select("article_key").distinct(), "article_key", "left_semi").select("slug").distinct()
+    if hit is None:
+        hit = fed.join(changed.select("article_key").distinct(), "article_key", "left_semi")
+    hit = hit.select("slug").distinct()
     hit = hit.join(known, "slug", "left_semi")
     old = concepts.select("slug", F.explode("sources").alias("article_key")).withColumn("current", F.lit(False))
     every = old.unionByName(fed.select("slug", "article_key").withColumn("current", F.lit(True)))
@@ -137,18 +146,39 @@ def prompt_sources(sources: DataFrame, cap: int = PROMPT_SOURCES) -> DataFrame:
     return sources.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
 
 
-def recompile_merge(concepts: DataFrame, results: DataFrame) -> DataFrame:
+def source_sets(sources: DataFrame) -> DataFrame:
+    """(slug, sources, source_basenames) of ``concept_sources``: each concept's articles in order, as its page lists them."""
+    listed = sources.groupBy("slug").agg(F.array_sort(F.collect_set("article_key")).alias("sources"))
+    return listed.withColumn("source_basenames", F.transform("sources", lambda k: F.substring_index(k, "/", -1)))
+
+
+def recompile_merge(
+    concepts: DataFrame, results: DataFrame, sets: DataFrame | None = None, today: str | None = None
+) -> DataFrame:
     """``concepts`` with ``results(slug, synthesis, definition, error)`` taken over.
 
     Concepts without a result or with an error stay; the others become stable
-    in a new version, and keep their definition if the new one is blank.
+    in a new version, and keep their definition if the new one is blank.  With
+    ``sets`` (see :func:`source_sets`) they also take over their sources, with
+    ``today`` the date.
     """
     r = results.select(
         "slug", F.col("synthesis").alias("_synthesis"), F.col("definition").alias("_definition"), F.col("error").isNull().alias("_ok")
     )
     ok = F.coalesce("_ok", F.lit(False))
+    given = concepts
+    if sets is not None:
+        new = sets.select("slug", F.col("sources").alias("_sources"), F.col("source_basenames").alias("_names"))
+        new = new.join(r.where("_ok").select("slug"), "slug", "left_semi")
+        given = given.join(new, "slug", "left").withColumn("sources", F.coalesce("_sources", "sources"))
+        if "source_basenames" in concepts.columns:
+            given = given.withColumn("source_basenames", F.coalesce("_names", "source_basenames"))
+        given = given.drop("_sources", "_names")
+    if today is not None:
+        done = r.where("_ok").select("slug", F.lit(today).alias("_today"))
+        given = given.join(done, "slug", "left").withColumn("last_compiled", F.coalesce("_today", "last_compiled")).drop("_today")
     return (
-        concepts.join(r, "slug", "left")
+        given.join(r, "slug", "left")
         .withColumn("status", F.when(ok, "stable").otherwise(F.col("status")))
         .withColumn("compile_version", F.col("compile_version") + ok.cast("int"))
         .withColumn("synthesis", F.when(ok, F.col("_synthesis")).otherwise(F.col("synthesis")))
@@ -177,4 +207,122 @@ def concept_state(concepts: DataFrame, state: DataFrame, today: str) -> DataFram
         T.freshness(F.col("last_compiled"), F.lit(today).cast("date")).alias("freshness"),
         retrieval_hints(F.col("aliases"), F.col("title")).alias("retrieval_hints"),
         F.coalesce("_conflicts", F.lit(0)).alias("conflicts"),
+        *([F.col("confidence")] if "confidence" in concepts.columns else []),
+    )
+
+
+def compile_report(
+    judged: DataFrame, assignments: DataFrame, results: DataFrame
+) -> DataFrame:
+    """One row of counts: articles skipped and assigned, summaries written, failures, proposals and recompiled concepts.
+
+    ``judged`` are all articles with their state, ``assignments`` those of the
+    changed ones, ``results(slug, error)`` the recompilations.
+    """
+    skipped = judged.agg(F.count_if(F.col("state") == "same").alias("skipped"))
+    assigned = assignments.agg(
+        F.count("*").alias("sources_written"),
+        F.count("*").alias("concepts_assigned"),
+        F.coalesce(F.sum(F.size("proposed").cast("long")), F.lit(0)).alias("concepts_proposed"),
+        F.count_if(F.col("error").isNotNull()).alias("assign_failed"),
+    )
+    compiled = results.agg(
+        F.count_if(F.col("error").isNull()).alias("concepts_recompiled"), F.count_if(F.col("error").isNotNull()).alias("recompile_failed")
+    )
+    row = assigned.crossJoin(compiled).crossJoin(skipped)  # one row each
+    return row.withColumn("errors", F.col("assign_failed") + F.col("recompile_failed"))
+
+
+def index_groups(concepts: DataFrame) -> DataFrame:
+    """(section, content_type, slug, source_count): the overview page's lines, stable concepts by type and proposed ones.
+
+    Write it after ``orderBy`` of these columns; deprecated concepts are left out.
+    """
+    kind = F.coalesce(F.get("content_types", F.lit(0)), F.lit("uncategorized"))
+    stable = F.col("status") == "stable"
+    return concepts.where(F.col("status").isin("stable", "proposed")).select(
+        F.when(stable, "stable").otherwise("proposed").alias("section"),
+        F.when(stable, kind).otherwise("").alias("content_type"),
+        "slug",
+        F.size("sources").alias("source_count"),
+    )
+
+
+def index_header(concepts: DataFrame, summaries: DataFrame) -> DataFrame:
+    """One row: stable and proposed concepts, and source summaries."""
+    of_concepts = concepts.agg(
+        F.count_if(F.col("status") == "stable").alias("stable"), F.count_if(F.col("status") == "proposed").alias("proposed")
+    )
+    return of_concepts.crossJoin(summaries.agg(F.count("*").alias("sources")))  # one row each
+
+
+class Compiled(NamedTuple):
+    """What a compilation gives."""
+
+    concepts: DataFrame
+    summaries: DataFrame
+    source_state: DataFrame
+    concept_state: DataFrame
+    report: DataFrame
+
+
+def compile_job(
+    notes: DataFrame,
+    concepts: DataFrame,
+    summaries: DataFrame,
+    source_state: DataFrame,
+    state: DataFrame,
+    seeds: DataFrame,
+    assign: Callable[[DataFrame], DataFrame],
+    recompile: Callable[[DataFrame], DataFrame],
+    keep: Callable[[DataFrame], DataFrame],
+    today: str,
+    mode: str = "incremental",
+) -> Compiled:
+    """Articles to concepts: assignments of changed articles, proposals, recompiled concepts, summaries and states.
+
+    All notes ``(article_key, hash, ...)`` take part, whatever their status.
+    ``assign(notes)`` gives model answers ``(article_key, raw)``, ``recompile(prompts)``
+    answers ``(slug, synthesis, definition, error)`` for rows
+    ``(slug, article_key, place)``; ``keep`` writes a table and reads it again, so
+    that no model is asked twice.  A rebuild begins with the seeds alone and takes
+    every article as new.  An article whose assignment failed gets a summary but no
+    state, so the next run takes it again.
+    """
+    if mode not in ("incremental", "rebuild"):
+        raise ValueError(f"no mode {mode}")
+    if mode == "rebuild":
+        concepts, summaries, source_state, state = (df.limit(0) for df in (concepts, summaries, source_state, state))
+    concepts = seeding.bootstrap(concepts, seeds)
+    known = source_state.select(F.col("path").alias("article_key"), F.col("content_hash").alias("hash"))
+    judged = blocks.changed_articles(notes.select("article_key", "hash"), known, summaries=summaries)
+    todo = judged.where("state <> 'same'").select("article_key")
+    changed = notes.join(todo, "article_key", "left_semi")
+    assigned = keep(parse_assignments(assign(changed)))
+    new = proposed_concepts(assigned, concepts)
+    every = keep(concepts.unionByName(new, allowMissingColumns=True))
+    done = assigned.where("error IS NULL")
+    skipped = judged.where("state = 'same'").select("article_key")
+    fed = feeds(done).unionByName(
+        source_state.select(F.col("path").alias("article_key"), F.explode("feeds_concepts").alias("slug")).join(skipped, "article_key", "left_semi")
+    )
+    existing = done.select("article_key", F.explode("existing").alias("slug"))
+    sources = keep(concept_sources(every, fed, done, hit=existing))
+    results = keep(recompile(prompt_sources(sources)))
+    merged = keep(recompile_merge(every, results, source_sets(sources), today))
+    written = keep(source_summaries(changed, assigned, today))
+    old_summaries = summaries.join(written.select("article_key"), "article_key", "left_anti")
+    entries = done.join(notes.select("article_key", "hash"), "article_key").select(
+        F.col("article_key").alias("path"),
+        F.col("hash").alias("content_hash"),
+        F.lit(today).alias("last_seen"),
+        F.concat("existing", F.transform("proposed", lambda p: p["slug"])).alias("feeds_concepts"),
+    )
+    old_entries = source_state.join(entries.select("path"), "path", "left_anti")
+    return Compiled(
+        merged,
+        old_summaries.unionByName(written, allowMissingColumns=True),
+        old_entries.unionByName(entries, allowMissingColumns=True),
+        concept_state(scoring.confidence(merged), state, today),
+        compile_report(judged, assigned, results),
     )

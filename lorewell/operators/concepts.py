@@ -9,6 +9,8 @@ from lorewell.functions import text as T
 
 # Sections whose bullets count for confidence, and those that lint reads.
 CONFIDENCE_SECTIONS = ("key_idea_blocks", "variants", "failure_modes", "transfer_targets")
+#: Hints that a concept keeps.
+KEPT_HINTS = 12
 LINT_SECTIONS = ("key_idea_blocks", "variants", "common_combinations", "transfer_targets", "failure_modes", "open_questions")
 
 
@@ -84,6 +86,44 @@ def apply_importance(log: DataFrame, state: DataFrame) -> DataFrame:
     return both.select("slug", F.round(F.least(total, F.lit(1.0)), 4).alias("importance"))
 
 
+def with_hints(state: DataFrame, hints: DataFrame, keep: int = KEPT_HINTS) -> DataFrame:
+    """``state`` with ``hints(slug, place, hint)`` appended in order, those it has already left out; the last ``keep`` stay.
+
+    Of each concept only its last ``keep`` different new hints are gathered, so
+    one that every query cites makes no large group.
+    """
+    once = hints.groupBy("slug", "hint").agg(F.min("place").alias("place"))
+    fresh = once.join(state.select("slug", F.explode("retrieval_hints").alias("hint")), ["slug", "hint"], "left_anti")
+    w = Window.partitionBy("slug").orderBy(F.desc("place"), F.desc("hint"))
+    last = fresh.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= keep)
+    new = last.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("place", "hint"))).alias("_h"))
+    all_ = F.concat(F.coalesce("retrieval_hints", F.array().cast("array<string>")), F.coalesce(F.col("_h.hint"), F.array().cast("array<string>")))
+    kept = F.slice(all_, F.greatest(F.size(all_) - keep + 1, F.lit(1)), keep)
+    out = state.join(new, "slug", "left")
+    return out.withColumn("retrieval_hints", F.when(F.col("_h").isNull(), F.col("retrieval_hints")).otherwise(kept)).drop("_h")
+
+
+def apply_feedback(log: DataFrame, state: DataFrame) -> DataFrame:
+    """The state after ``log(log_id, query, cited_concepts)``: importance and hints; cited concepts without state come in as proposed.
+
+    Rows that repeat a ``log_id`` count once.
+    """
+    rows = log.dropDuplicates(["log_id"])
+    cited = rows.select("log_id", "query", F.explode(F.array_distinct("cited_concepts")).alias("slug"))
+    known = state.select("slug")
+    new = cited.select("slug").distinct().join(known, "slug", "left_anti").select(
+        "slug", F.lit("proposed").alias("status"), F.lit(0.0).alias("importance"), F.array().cast("array<string>").alias("retrieval_hints")
+    )
+    filled = {"confidence": F.lit(0.0), "freshness": F.lit(0.0), "source_count": F.lit(0), "conflicts": F.lit(None)}
+    for name, value in filled.items():
+        if name in state.columns:
+            new = new.withColumn(name, value.cast(state.schema[name].dataType))
+    both = state.unionByName(new, allowMissingColumns=True)
+    raised = apply_importance(rows.select(F.array_distinct("cited_concepts").alias("cited_concepts")), both.select("slug", "importance"))
+    both = both.drop("importance").join(raised, "slug")
+    return with_hints(both, cited.select("slug", F.col("log_id").alias("place"), T.query_slug(F.col("query")).alias("hint")))
+
+
 def last_queries(log: DataFrame, n: int = 5) -> DataFrame:
     """(slug, query_id, place): each cited concept's last ``n`` queries, the newest first."""
     cited = log.select("query_id", F.explode("cited_concepts").alias("slug"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.operators import ingest
 
 TEXTS = (
     "research_question", "core_hypothesis", "signal_framework", "application_scope", "holding_period", "summary",
@@ -170,3 +174,44 @@ def merge_enrichment(notes: DataFrame, enriched: DataFrame, model: str, now: str
         "llm_error": F.coalesce(F.col("_e.error"), F.lit("")),
     }
     return out.withColumns(new).drop("_e")
+
+
+class Enriched(NamedTuple):
+    """Notes after an enrichment, failures by article, and one row of counts."""
+
+    notes: DataFrame
+    failures: DataFrame
+    summary: DataFrame
+
+
+def enrich_job(
+    notes: DataFrame,
+    ask: Callable[[DataFrame], DataFrame],
+    keep: Callable[[DataFrame], DataFrame],
+    model: str,
+    now: str,
+    status: str = "raw",
+    force: bool = False,
+    limit: int | None = None,
+) -> Enriched:
+    """Notes of a status that are not enriched yet are put to a model, and what it answers is merged into them.
+
+    ``ask(prompts)`` gives ``(article_key, raw, error)``, as ``call_model`` does;
+    ``keep`` writes a table and reads it again, so that no article is asked about
+    twice.  Notes that were not asked about stay as they are.
+    """
+    chosen = select_for_enrichment(notes, status, force, limit)
+    asked = keep(ask(enrichment_prompts(chosen)))
+    kinds = notes.select("article_key", "content_type")
+    parsed = parse_enrichment(asked.join(kinds, "article_key").select("article_key", "content_type", "raw"))
+    called = asked.select("article_key", F.col("error").alias("_call"))
+    parsed = keep(parsed.join(called, "article_key").withColumn("error", F.coalesce("_call", "error")).drop("_call"))
+    mine = notes.join(parsed.select("article_key"), "article_key", "left_semi")
+    rest = notes.join(parsed.select("article_key"), "article_key", "left_anti")
+    merged = merge_enrichment(mine, parsed, model, now).unionByName(rest, allowMissingColumns=True)
+    failed = parsed.where("error IS NOT NULL")
+    failures = failed.select(F.col("article_key").alias("key"), ingest.classify_error(F.col("error")).alias("error_class"), "error")
+    total = notes.agg(F.count("*").alias("total"))
+    done = parsed.agg(F.count_if(F.col("error").isNull()).alias("success"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    counts = total.crossJoin(done)  # one row each
+    return Enriched(merged, failures, counts.withColumn("skipped", F.col("total") - F.col("success") - F.col("failed")))

@@ -29,6 +29,16 @@ def novelty(ideas: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def closest(ideas: DataFrame, matches: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
+    """(idea_id, matches): the ``n`` closest of ``matches(idea_id, id, score)``, best first, scores to three places; empty without any."""
+    w = Window.partitionBy("idea_id").orderBy(F.desc("score"), "id")
+    top = matches.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    rows = F.array_sort(F.collect_list(F.struct("_k", "id", F.round("score", 3).alias("score"))))  # n at most
+    listed = top.groupBy("idea_id").agg(F.transform(rows, lambda r: F.struct(r["id"].alias("id"), r["score"].alias("score"))).alias("matches"))
+    out = ideas.select("idea_id").join(listed, "idea_id", "left")
+    return out.withColumn("matches", F.coalesce("matches", F.filter(F.array(F.struct(F.lit(None).cast(matches.schema["id"].dataType).alias("id"), F.lit(0.0).alias("score"))), lambda x: F.lit(False))))
+
+
 def traceability(ideas: DataFrame, retrieved: DataFrame) -> DataFrame:
     """(idea_id, traceability) from ``ideas(idea_id, query_id, inspired_by, core_logic)`` and retrieved titles.
 

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 
+# Fields of an article's header.
+HEADER_TEXTS = (
+    "content_type", "brainstorm_value", "summary", "core_hypothesis", "research_question", "signal_framework", "source_url", "ingested", "tldr",
+)
+FACETS = ("market", "asset_type", "strategy_type")
+HEADER_LISTS = ("idea_blocks", "combination_hooks", "transfer_targets", "failure_modes")
 SYNCABLE = ("reviewed", "high_value")
 
 
@@ -34,9 +40,45 @@ def parse_frontmatter(content: Column) -> tuple[Column, Column]:
 
 def effective_status(status: Column, stage: Column) -> Column:
     s = F.coalesce(T.strip(status), F.lit(""))
-    return F.when(s.isin("", "raw"), F.regexp_replace(F.coalesce(stage, F.lit("raw")), "-", "_")).otherwise(
-        F.regexp_replace(s, "-", "_")
-    )
+    return F.when(s.isin("", "raw"), F.regexp_replace(F.coalesce(stage, F.lit("raw")), "-", "_")).otherwise(s)
+
+
+def header_text(header: Column, name: str) -> Column:
+    """A header value as text: JSON text without its quotes, anything else as it is written; missing ones are empty."""
+    raw = F.coalesce(header[name], F.lit(""))
+    quoted = F.try_variant_get(F.try_parse_json(raw), "$", "string")
+    return F.when(raw.startswith('"') & quoted.isNotNull(), quoted).otherwise(raw)
+
+
+def header_list(header: Column, name: str) -> Column:
+    """The items of a header value that is a JSON list, else null; a list that is no JSON stays a text."""
+    raw = F.coalesce(header[name], F.lit(""))
+    items = F.try_variant_get(F.when(raw.startswith("["), F.try_parse_json(raw)), "$", "array<string>")
+    return F.filter(items, lambda x: x.isNotNull())
+
+
+def to_notes(articles: DataFrame) -> DataFrame:
+    """Typed notes of ``articles(article_key, content)``; other columns stay.
+
+    A title falls back to the key.  Facets hold the items of a list or the one
+    text; idea blocks, hooks, targets and failure modes must be lists.  The
+    main content is the body's section of that name.
+    """
+    header, body = parse_frontmatter(F.coalesce("content", F.lit("")))
+    h = F.col("_h")
+    given = articles.drop("header", "body").withColumn("_h", header).withColumn("body", body)
+    facet = lambda n: F.coalesce(header_list(h, n), F.filter(F.array(header_text(h, n)), lambda x: x != ""))
+    stage = header_text(h, "status")
+    fields = {
+        "title": F.coalesce(F.nullif(T.strip(header_text(h, "title")), F.lit("")), F.col("article_key")),
+        "status": effective_status(stage, F.when(T.strip(stage) == "", "raw").otherwise(T.strip(stage))),
+        **{n: header_text(h, n) for n in HEADER_TEXTS},
+        **{n: facet(n) for n in FACETS},
+        **{n: header_list(h, n) for n in HEADER_LISTS},
+        "main_content": T.extract_section(F.col("body"), "Main Content"),
+    }
+    kept = [F.col(f"`{c}`") for c in given.columns if c not in (*fields, "_h")]
+    return given.select(*kept, *[c.alias(n) for n, c in fields.items()])
 
 
 def filter_status(notes: DataFrame, stages: list[str]) -> DataFrame:
@@ -74,3 +116,8 @@ def sync_plan(notes: DataFrame) -> DataFrame:
 
 def stage_listing(notes: DataFrame) -> DataFrame:
     return notes.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def stage_rows(notes: DataFrame, status: str) -> DataFrame:
+    """(article_key, content_type, title, brainstorm_value) of a stage's notes, as a listing shows them."""
+    return notes.where(F.col("status") == status).select("article_key", "content_type", "title", "brainstorm_value")

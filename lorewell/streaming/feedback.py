@@ -6,17 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lorewell.operators import concepts
+from lorewell.sources import files
+
+LOG = "log_id long, query string, cited_concepts array<string>"
+
 
 def stream_feedback(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write per batch the citations of ``log(log_id, slug)`` to ``out``; a batch that runs again overwrites itself.
+    """Write the rows of ``log(log_id, query, cited_concepts)`` that are new to ``out``, a folder a batch.
 
-    The importance of a concept is 0.05 a citation, as the batch job has it:
-    read ``out`` and sum.
+    A batch leaves out log ids that other batches have written, so a row that
+    comes in two batches is there once; it overwrites its own folder, so running
+    it again gives the same rows.  :func:`feedback_state` merges them into a state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.dropDuplicates(["log_id"]).groupBy("slug").agg(F.count("*").alias("citations"))
-        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        known = files.read_or_empty(spark, lambda: spark.read.parquet(out), f"{LOG}, batch int")
+        known = known.where(f"batch <> {batch_id}").select("log_id")
+        fresh = batch.select("log_id", "query", "cited_concepts").dropDuplicates(["log_id"]).join(known, "log_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         log.writeStream.foreachBatch(write)
@@ -24,3 +33,8 @@ def stream_feedback(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery
         .trigger(availableNow=True)
         .start()
     )
+
+
+def feedback_state(out: DataFrame, state: DataFrame) -> DataFrame:
+    """The state after all rows that :func:`stream_feedback` wrote, from the state before the stream began."""
+    return concepts.apply_feedback(out.select(F.col("log_id"), "query", "cited_concepts"), state)
