@@ -173,3 +173,127 @@ def concept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = F.when(F.col("content").contains("compile_version: 0"), F.regexp_replace("content", "## Failure Modes", "## Other"))
     lost = lost.otherwise(F.col("content"))
     return pages.withColumn("content", F.when(F.col("page_path").endswith("3.md"), F.substring(lost, 5, 1_000_000)).otherwise(lost))
+
+
+#: Documents of one topic.
+TOPIC = 25
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concept for every ``TOPIC`` neighbouring documents: bullets, sources and texts come from them, so concepts grow with the table."""
+    d = table(spark, sf_dir, "documents")
+    first = F.array_join(F.slice(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), 1, 5), " ")
+    anchor = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ["), F.col("doc_id").cast("string"), F.lit(", "), "source", F.lit("]")))
+        .when(F.col("doc_id") % 3 == 1, " []")
+        .otherwise("")
+    )
+    row = F.struct("doc_id", first.alias("words"), F.concat(first, anchor).alias("bullet"), "lang")
+    k = F.floor(F.col("doc_id") / TOPIC).cast("long")
+    g = d.groupBy(k.alias("k")).agg(F.array_sort(F.collect_list(row)).alias("d"))  # TOPIC rows a group
+
+    def bullets(cond):
+        return F.transform(F.filter("d", cond), lambda x: x["bullet"])
+
+    n = F.col("k")
+    none = F.array().cast("array<string>")
+    low, high = F.get("d", F.lit(0)), F.element_at("d", -1)
+    return g.select(
+        F.concat(F.lit("topic-"), n.cast("string")).alias("slug"),
+        F.concat(F.lit("Topic "), n.cast("string"), F.lit(" "), F.get(F.split(low["words"], " "), F.lit(0))).alias("title"),
+        F.array(F.concat(F.lit("Alias "), (n % 9).cast("string")), F.concat(F.lit(" "), F.upper(low["lang"]))).alias("aliases"),
+        F.when(n % 8 == 5, "proposed").when(n % 8 == 6, "deprecated").otherwise("stable").alias("status"),
+        none.alias("related_concepts"),
+        F.transform(
+            F.filter("d", lambda x: x["doc_id"] % TOPIC < n % 7), lambda x: F.concat(F.lit("raw/"), x["doc_id"].cast("string"))
+        ).alias("sources"),
+        F.when(n % 6 == 0, none).otherwise(F.array(low["lang"])).alias("content_types"),
+        F.when(n % 10 == 9, "")
+        .otherwise(F.date_format(F.date_add(F.lit("2025-06-01").cast("date"), (n % 200).cast("int")), "yyyy-MM-dd"))
+        .alias("last_compiled"),
+        (n % 3).cast("int").alias("compile_version"),
+        F.when(n % 4 == 3, "_pending_").when(n % 4 == 2, "").otherwise(low["words"]).alias("synthesis"),
+        F.when(n % 5 == 4, "").otherwise(high["words"]).alias("definition"),
+        bullets(lambda x: x["doc_id"] % 5 < 2).alias("key_idea_blocks"),
+        bullets(lambda x: x["doc_id"] % 5 == 2).alias("variants"),
+        bullets(lambda x: x["doc_id"] % TOPIC == 4).alias("common_combinations"),
+        none.alias("transfer_targets"),
+        bullets(lambda x: (x["doc_id"] % 5 == 3) & (n % 2 == 0)).alias("failure_modes"),
+        bullets(lambda x: x["doc_id"] % TOPIC == 9).alias("open_questions"),
+        none.alias("source_basenames"),
+    )
+
+
+def topic_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source summary a document; every third feeds no topic, every thirteenth has a value that is none."""
+    d = table(spark, sf_dir, "documents")
+    words = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ")
+    topic = F.concat(F.lit("topic-"), F.floor(F.col("doc_id") / TOPIC).cast("string"))
+    return d.select(
+        F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("article_key"),
+        F.col("doc_id").cast("string").alias("name"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
+        F.col("lang").alias("content_type"),
+        F.when(F.col("doc_id") % 13 == 0, "best").when(F.col("doc_id") % 2 == 0, "high").otherwise("").alias("brainstorm_value"),
+        F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(topic)).alias("feeds_concepts"),
+        F.concat(F.lit("take "), F.array_join(F.slice(words, 1, 4), " ")).alias("takeaway"),
+        F.array(F.col("source"), F.lit("")).alias("top_idea_blocks"),
+        F.lit("").alias("why_in_kb"),
+        F.lit("raw").alias("source_path"),
+        F.lit("2026-01-01").alias("ingested"),
+        F.lit("2026-01-01").alias("last_compiled"),
+    )
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last compilation saw: some documents unseen, some changed since, some gone."""
+    d = table(spark, sf_dir, "documents")
+    k = F.floor(F.col("doc_id") / TOPIC).cast("long")
+    topic = lambda c: F.concat(F.lit("topic-"), c.cast("string"))
+    key = F.concat(F.lit("raw/"), F.col("doc_id").cast("string"))
+    seen = d.where("doc_id % 9 <> 0").select(
+        key.alias("path"),
+        F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("content_hash"),
+        F.lit("2025-12-31").alias("last_seen"),
+        F.array(topic(k), topic(k + 1)).alias("feeds_concepts"),
+    )
+    gone = d.where("doc_id % 50 = 0").select(
+        F.concat(F.lit("raw/gone-"), F.col("doc_id").cast("string")).alias("path"),
+        F.lit("x").alias("content_hash"),
+        F.lit("2025-12-31").alias("last_seen"),
+        F.array(topic(k)).alias("feeds_concepts"),
+    )
+    return seen.unionByName(gone)
+
+
+def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles as files hold them: a header of JSON and plain values, then sections; every eleventh has no header."""
+    d = table(spark, sf_dir, "documents")
+    tick = F.col("doc_id")
+    status = F.when(tick % 4 == 0, "reviewed").when(tick % 4 == 1, '"high_value"').when(tick % 4 == 2, "raw").otherwise("")
+    market = F.when(tick % 3 == 0, F.concat(F.lit('["'), "lang", F.lit('", "fx"]'))).when(tick % 3 == 1, F.col("lang")).otherwise("[a, b]")
+    ideas = F.when(tick % 5 == 0, "[one idea, no json]").otherwise(F.concat(F.lit('["i'), tick.cast("string"), F.lit('", "two: b"]')))
+    header = F.concat(
+        F.lit("---\ntitle: "), F.when(tick % 6 == 0, "").otherwise(F.concat(F.lit('"Doc '), tick.cast("string"), F.lit('"'))),
+        F.lit("\nstatus: "), status, F.lit("\nmarket: "), market, F.lit("\nidea_blocks: "), ideas,
+        F.lit("\nsummary: sum: "), "source", F.lit("\nno colon here\n---\n"),
+    )
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))
+    body = F.concat(F.lit("# T\n\n## Main Content\n\nx"), line, F.lit("x\n\n## Next\n\nend\n"))
+    return d.select(
+        F.concat(F.lit("raw/"), tick.cast("string")).alias("article_key"),
+        F.when(tick % 11 == 0, body).otherwise(F.concat(header, body)).alias("content"),
+    )
+
+
+def asked_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' user turns as a log of questions; each cites two topics, and every third row comes twice."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    n = table(spark, sf_dir, "documents").agg((F.floor(F.max("doc_id") / TOPIC) + 3).alias("n"))
+    cite = lambda a: F.concat(F.lit("topic-"), ((F.col("conv_id") * a + F.col("turn")) % F.col("n")).cast("string"))
+    log = c.crossJoin(F.broadcast(n)).select(  # one row
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("log_id"),
+        F.concat(F.lit("Q "), F.col("conv_id").cast("string"), F.lit(" - t"), F.col("turn").cast("string"), F.lit("?")).alias("query"),
+        F.array_distinct(F.array(cite(1), cite(7))).alias("cited_concepts"),
+    )
+    return log.unionByName(log.where("log_id % 3 = 0"))

@@ -7,8 +7,10 @@ from html import unescape
 import duckdb
 import pytest
 
-from lorewell.plans import registry
+from lorewell.plans import registry, wiki, wiki_sql
 
+QUERIES = registry.QUERIES | wiki.QUERIES
+ORACLE_SQL = registry.ORACLE_SQL | wiki_sql.ORACLE_SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -25,10 +27,10 @@ def rows(frame):
     return sorted(map(repr, frame.astype(object).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
-    got = registry.QUERIES[name](spark, SF).toPandas()
-    want = duck.execute(registry.ORACLE_SQL[name]).fetchdf()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(ORACLE_SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got)
     assert rows(got) == rows(want)
@@ -37,7 +39,7 @@ def test_query(spark, duck, name):
 def test_page_articles_hold_the_words_of_their_article(spark, duck):
     """Brute force: the article element cut from the markup, tags and code removed, references decoded."""
     html = {i: h for i, h in duck.execute("SELECT page_id, html FROM pages").fetchall()}
-    got = registry.QUERIES["page_articles"](spark, SF).collect()
+    got = QUERIES["page_articles"](spark, SF).collect()
     assert len(got) == len(html)
     for r in got:
         inside = re.search(r"(?s)<article[^>]*>(.*?)</article>", html[r.page_id]).group(1)
