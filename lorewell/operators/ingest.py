@@ -106,14 +106,15 @@ def classify_error(error: Column) -> Column:
 
 
 def set_article_status(notes: DataFrame, updates: DataFrame, rejected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(notes, rejected, unknown): notes with the status of ``updates(place, article_key, status, reason)``.
+    """(notes, rejected, unknown): notes with the status of ``updates(article_key, status, reason)``.
 
-    Of several updates of a key the last by place counts; statuses that are not
-    allowed are ignored.  Rejected notes are appended to ``rejected`` unless their
+    Of several updates of a key the last by a column ``place`` counts (without
+    one, the greatest status by name); statuses that are not allowed are ignored.  Rejected notes are appended to ``rejected`` unless their
     address or title is there; a blank reason becomes the note's value.  ``unknown``
     holds updates of keys that are not notes.
     """
-    valid = updates.where(F.col("status").isin(*ALLOWED_STATUS))
+    placed = updates if "place" in updates.columns else updates.withColumn("place", F.lit(0))
+    valid = placed.where(F.col("status").isin(*ALLOWED_STATUS))
     one = valid.groupBy("article_key").agg(F.max(F.struct("place", F.col("status").alias("new_status"), "reason")).alias("_u"))
     out = notes.join(one, "article_key", "left")
     gone = out.where("_u.new_status = 'rejected'").select(

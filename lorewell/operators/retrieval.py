@@ -177,7 +177,7 @@ def vector_scores(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     out = None
     for rows in _query_blocks(queries.where("embedding IS NOT NULL").select("query_id", "embedding")):
         ids = np.array([r["query_id"] for r in rows], np.int64)
-        matrix = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
+        matrix = np.array([r["embedding"] for r in rows], np.float64) if rows else np.zeros((0, 1))
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         unit = np.divide(matrix, np.where(norms == 0, 1, norms))
         shared = index.sparkSession.sparkContext.broadcast((ids, unit))  # at most QUERY_BLOCK vectors
