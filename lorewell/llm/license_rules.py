@@ -2,12 +2,12 @@
 
 A text is its words: lower-cased A-Z, runs of ASCII letters and digits and of
 anything beyond ASCII.  Rules are regular expressions over the words joined by
-blanks.  They come from hand-written names of licences and wordings of notices
-(each wording with each name is one rule), from SPDX identifiers and from
-sentences of the licences.  Each alternative of a rule has its own keywords, read
+blanks, written by hand: names of licences, short forms, SPDX identifiers, and
+sentences of licences and of their notices.  Names and short forms are looked for
+alone and in wordings of notices (each wording with each name is one rule).  Each alternative of a rule has its own keywords, read
 off the expression.  A rule runs on a document only if all keywords of one
-alternative are among the document's words, which numpy tells for a whole batch
-at once, so few documents ever meet a regular expression.
+alternative are among the document's words, which numpy tells for a whole batch at once, first
+by one rare word of each set, so few documents ever meet a regular expression.
 
 A match is an interval of words.  One that lies inside another of higher
 priority, or of equal priority and greater length, is suppressed: "gnu lesser
@@ -185,6 +185,137 @@ SIGNATURES = (
     ("cc-by-sa", "creativecommons org licenses by sa"),
     ("cc-by", "creativecommons org licenses by"),
     ("apache-2", "apache org licenses license 2 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute"),
+    ("mit-0", "mit no attribution"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "this software is provided by the (?:copyright holders and contributors|regents and contributors|author and contributors|author) as is"),
+    ("bsd-3-clause", "neither the names? of (?:the )?(?:copyright holders?|university|author|organization|company) nor the names of (?:its|their|any) contributors may be used to endorse or promote"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-clause-patent", "bsd 2 clause plus patent license"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and (?:the author|isc|internet systems consortium) disclaims all warranties with regard to this software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation"),
+    ("apache-1.0", "this product includes software developed by the apache group for use in the apache http server project"),
+    ("gpl-1.0", "gnu general public license version 1 february 1989"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007"),
+    ("gpl-2.0", "general public license as published by the free software foundation either version 2 of the license or (?:at your option )?any later version"),
+    ("gpl-3.0", "general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version"),
+    ("gpl-2.0", "general public license version 2 as published by the free software foundation"),
+    ("gpl-3.0", "general public license version 3 as published by the free software foundation"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this (?:program|library|package|software)"),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl", "www gnu org licenses gpl(?: html)?"),
+    ("gpl-2.0", "www gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3.0", "www gnu org licenses gpl 3 0"),
+    ("gpl-exception", "as a special exception the copyright holders? of this (?:library|program) give you permission to link this (?:library|program)"),
+    ("classpath-exception", "linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("lgpl-2.0", "gnu library general public license version 2 june 1991"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-2.1", "lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3.0", "lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.0", "library general public license as published by the free software foundation either version 2 of the license"),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:program|library|package|software)"),
+    ("lgpl", "www gnu org licenses lgpl(?: html)?"),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3.0", "affero general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("agpl", "www gnu org licenses agpl(?: html)?"),
+    ("agpl-1.0", "affero general public license version 1 march 2002"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("mpl-2.0", "you can obtain one at https? (?:www )?mozilla org mpl 2 0"),
+    ("mpl", "if a copy of the mpl was not distributed with this file"),
+    ("npl-1.1", "the contents of this file are subject to the netscape public license version 1 1"),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0"),
+    ("epl-1.0", "made available under the terms of the eclipse public license v1 0"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("cpl-1.0", "the accompanying program is provided under the terms of this common public license"),
+    ("ipl-1.0", "the accompanying program is provided under the terms of this ibm public license"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl-1.1", "common development and distribution license(?: cddl)? version 1 1"),
+    ("eupl-1.2", "licen[sc]ed under the eupl(?: version)? 1 2"),
+    ("eupl-1.1", "licen[sc]ed under the eupl(?: version)? 1 1"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", "this (?:library|program|module|package) is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("bsl-1.0", "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer"),
+    ("bsl-1.0", "www boost org license 1 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("libpng", "the png reference library is supplied as is"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "for more information please refer to https? unlicense org"),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "the fonts and derivatives however cannot be released under any other type of license"),
+    ("ms-pl", "if you use the software you accept this license if you do not accept the license do not use the software"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("python-2.0", "this license agreement is between the python software foundation psf and the individual or organization"),
+    ("python-2.0", "psf hereby grants licensee a nonexclusive royalty free world ?wide license"),
+    ("php-3.01", "this product includes php software freely available from"),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("openssl", "this product includes cryptographic software written by eric young"),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("hpnd", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("json", "the software shall be used for good not evil"),
+    ("unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("ncsa", "university of illinois ncsa open source license"),
+    ("w3c", "w3c software (?:notice and license|and document notice and license)"),
+    ("w3c", "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply"),
+    ("zpl-2.1", "zope public license zpl version 2 1"),
+    ("afl-3.0", "licensed under the academic free license version 3 0"),
+    ("osl-3.0", "licensed under the open software license version 3 0"),
+    ("qpl-1.0", "the q public license version 1 0"),
+    ("apsl-2.0", "apple public source license version 2 0"),
+    ("lppl-1.3c", "latex project public license either version 1 3c? of this license"),
+    ("lppl", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("cecill-2.1", "cecill free software license agreement version 2 1"),
+    ("cecill", "this software is governed by the cecill(?: b| c)? license under french law"),
+    ("sspl-1.0", "server side public license version 1"),
+    ("busl-1.1", "business source license 1 1"),
+    ("elastic-2.0", "elastic license (?:version )?2 0"),
+    ("commons-clause", "the software is provided to you by the licensor under the license as defined below subject to the following condition"),
+    ("polyform-nc", "polyform noncommercial license 1 0 0"),
+    ("parity", "the parity public license"),
+    ("blueoak-1.0", "blue oak model license"),
+    ("mulan-psl-2", "mulan psl v2"),
+    ("vim", "vim license"),
+    ("openrail", "(?:creative ml|bigscience|responsible ai) open ?rail m?"),
+    ("llama", "llama (?:2|3|3 1|3 2|3 3) community license agreement"),
+    ("odbl", "you are free to share to create and to adapt the database as long as you"),
+    ("odbl", "opendatacommons org licenses odbl"),
+    ("odc-by", "opendatacommons org licenses by"),
+    ("pddl", "opendatacommons org licenses pddl"),
+    ("cdla-permissive", "community data license agreement permissive"),
+    ("cdla-sharing", "community data license agreement sharing"),
+    ("ogl-uk", "contains public sector information licensed under the open government licence"),
+    ("ogl-uk", "open government licence v3 0"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0-1.0", "no copyright waived all of his or her rights to the work worldwide under copyright law"),
+    ("public-domain", "creativecommons org publicdomain mark"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution share ?alike \\d \\d (?:international|unported|generic) license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution non ?commercial share ?alike \\d \\d (?:international|unported|generic) license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution non ?commercial no ?derivatives \\d \\d (?:international|unported|generic) license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution non ?commercial \\d \\d (?:international|unported|generic) license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution no ?derivatives \\d \\d (?:international|unported|generic) license"),
+    ("cc-by", "this work is licensed under a creative commons attribution \\d \\d (?:international|unported|generic) license"),
+    ("proprietary", "this (?:software|document|file) is confidential and proprietary"),
+    ("proprietary", "unauthorized (?:copying|reproduction|use) of this (?:file|software|document) (?:via any medium )?is strictly prohibited"),
+    ("proprietary", "no part of this (?:publication|document|work|book) may be reproduced"),
+    ("proprietary", "may not be (?:reproduced|copied|redistributed|used) without (?:the )?(?:prior )?(?:written|express) permission"),
 )
 # wording with the place of the name, priority, score
 WORDINGS = (
@@ -312,10 +443,12 @@ class _Scanner:
         hashes = _word_hashes(words)
         order = np.argsort(hashes)
         self.keys, self.bit = hashes[order], order
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(hashes >> np.uint64(48)).astype(np.int64)] = True
         sets = sorted({s for r in self.rules for s in r.keywords}, key=sorted)
         number = {s: i for i, s in enumerate(sets)}
+        # most sets hold everyday words too; a text matters only if it has some set's longest word
+        self.anchors = np.unique(_word_hashes(sorted({max(s, key=lambda w: (len(w), w)) for s in sets})))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.anchors >> np.uint64(44)).astype(np.int64)] = True
         self.needs = np.zeros((len(sets), len(words)), np.float32)
         for i, s in enumerate(sets):
             self.needs[i, [bit[k] for k in s]] = 1
@@ -344,21 +477,25 @@ class _Scanner:
                 base_labels[r].add(label)
                 first[r] = p if first[r] < 0 else min(first[r], p)
                 last[r] = max(last[r], p)
-        hit = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
-        real = self.keys[at] == h[hit]
-        has = np.zeros((n, len(self.keys)), bool)
-        has[owner[hit[real]], self.bit[at[real]]] = True
-        full = (has.astype(np.float32) @ self.needs.T) >= self.needs.sum(1)
+        anchored = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.anchors, h[anchored]), len(self.anchors) - 1)
+        rows = np.unique(owner[anchored[self.anchors[at] == h[anchored]]])
+        mine = np.flatnonzero(np.isin(owner, rows))
+        at = np.minimum(np.searchsorted(self.keys, h[mine]), len(self.keys) - 1)
+        real = self.keys[at] == h[mine]
+        has = np.zeros((len(rows), len(self.keys)), np.float32)
+        has[np.searchsorted(rows, owner[mine[real]]), self.bit[at[real]]] = 1
+        full = (has @ self.needs.T) >= self.needs.sum(1)
         labels = [set(x) for x in base_labels]
         score = np.where(n_base > 0, 1.0, 0.0)
-        for r in np.flatnonzero(full.any(1)):
+        for k in np.flatnonzero(full.any(1)):
+            r = rows[k]
             a, b = w.first[r], w.first[r + 1]
             raw = w.data[offsets[r] : offsets[r + 1]].copy()
             raw[~kernel.ALNUM[raw]] = 0x20
             text = " ".join(raw.tobytes().decode("utf-8").split(" ")) if b > a else ""
             text = re.sub(" +", " ", text).strip(" ")
-            ready = sorted({i for k in np.flatnonzero(full[r]) for i in self.rules_of[k]})
+            ready = sorted({i for n_set in np.flatnonzero(full[k]) for i in self.rules_of[n_set]})
             for label, _, _, s in detect(text, [self.rules[i] for i in ready]):
                 labels[r].add(label)
                 score[r] = max(score[r], s)

@@ -176,6 +176,40 @@ def test_every_alternative_of_a_rule_passes_its_gate():
             assert any(s <= set(x.split()) for s in r.keywords), (r.name, x)
 
 
+def test_every_rule_finds_a_text_of_its_own():
+    """A text of each rule, through the whole scan: it has the rule's label, or another's that contains its match."""
+    scanner = license_rules._Scanner()
+    texts, rules = [], license_rules.rules()
+    for r in rules:
+        expression = r.pattern.pattern.removeprefix("(?:^|(?<= ))").removesuffix("(?= |$)")
+        every = license_rules._strings(license_rules._parser.parse(expression))
+        texts.append("Some words, " + max(every, key=len).replace("\0", "4").replace(" ", "-") + ". More")
+    data, offsets = license_rules.kernel.utf8(license_rules.pa.array(texts))
+    *_, labels, score = scanner.batch(data, offsets)
+    own = [r.label in got for r, got in zip(rules, labels)]
+    assert all(labels) and (score > 0).all() and np.mean(own) > 0.97
+    assert len({r.pattern.pattern for r in rules}) == len(rules) and len(license_rules.SIGNATURES) > 140
+
+
+def test_base_places_against_words(spark):
+    rng = np.random.default_rng(12)
+    parts = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "under the mit license", "CC-BY-NC", "é", "x"]
+    texts = [" ,.-\n"[rng.integers(5)].join(rng.choice(parts, rng.integers(0, 60))) for _ in range(300)] + [None, "", "apache license, version 2"]
+    got = by_id(license_rules.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places, labels = [], set()
+        for phrase, label in license_rules.BASE:
+            p = phrase.split()
+            at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+            places += at
+            labels |= {label} if at else set()
+        want = (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want
+        assert labels <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
+
+
 def brute_removed(texts):
     seen, out = set(), {}
     for i, t in texts:
