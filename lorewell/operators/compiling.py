@@ -18,6 +18,10 @@ ASSIGNMENT = (
     "existing_concepts array<string>, proposed_new_concepts array<struct<"
     "slug: string, title: string, aliases: array<string>, rationale: string, draft_synthesis: string>>"
 )
+# Lists that a recompilation may give anew.
+RESULT_LISTS = (
+    "related_concepts", "key_idea_blocks", "variants", "common_combinations", "transfer_targets", "failure_modes", "open_questions",
+)
 #: Sources that one recompilation reads.
 PROMPT_SOURCES = 8
 
@@ -158,13 +162,16 @@ def recompile_merge(
     """``concepts`` with ``results(slug, synthesis, definition, error)`` taken over.
 
     Concepts without a result or with an error stay; the others become stable
-    in a new version, and keep their definition if the new one is blank.  With
+    in a new version, and keep their definition if the new one is blank.  Lists
+    of :data:`RESULT_LISTS` that the results have are taken over too.  With
     ``sets`` (see :func:`source_sets`) they also take over their sources, with
     ``today`` the date.
     """
+    lists = [c for c in RESULT_LISTS if c in results.columns and c in concepts.columns]
     r = results.select(
-        "slug", F.col("synthesis").alias("_synthesis"), F.col("definition").alias("_definition"), F.col("error").isNull().alias("_ok")
-    )
+        "slug", F.col("synthesis").alias("_synthesis"), F.col("definition").alias("_definition"), F.col("error").isNull().alias("_ok"),
+        *[F.col(c).alias(f"_new_{c}") for c in lists],
+    )
     ok = F.coalesce("_ok", F.lit(False))
     given = concepts
     if sets is not None:
@@ -183,7 +190,8 @@ def recompile_merge(
         .withColumn("compile_version", F.col("compile_version") + ok.cast("int"))
         .withColumn("synthesis", F.when(ok, F.col("_synthesis")).otherwise(F.col("synthesis")))
         .withColumn("definition", F.when(ok, F.coalesce(_given(F.col("_definition")), "definition")).otherwise(F.col("definition")))
-        .drop("_synthesis", "_definition", "_ok")
+        .withColumns({c: F.when(ok & F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in lists})
+        .drop("_synthesis", "_definition", "_ok", *[f"_new_{c}" for c in lists])
     )
 
 

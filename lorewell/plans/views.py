@@ -49,7 +49,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A concept for each source of documents: its longest documents' first lines are its bullets."""
+    """A concept for each source of documents, with two fixed bullets; :func:`topics` has concepts with contents that grow with the table."""
     d = table(spark, sf_dir, "documents")
     return (
         d.groupBy("source")

@@ -262,3 +262,14 @@ def test_latest_output_and_hints(spark):
     hints = spark.createDataFrame([("a", i, f"h{i}") for i in range(20)] + [("a", 30, "x"), ("b", 1, "y"), ("gone", 1, "z")], "slug string, place long, hint string")
     got = {r.slug: r.retrieval_hints for r in C.with_hints(state, hints).collect()}
     assert got == {"a": [f"h{i}" for i in range(8, 20)], "b": ["y"]}
+
+
+def test_recompiled_lists_and_sources_are_taken_over(spark):
+    from lorewell.operators import compiling as K
+
+    cols = "slug string, status string, compile_version int, synthesis string, definition string, sources array<string>, variants array<string>, last_compiled string"
+    concepts = spark.createDataFrame([("a", "proposed", 0, "s", "d", ["x"], ["v"], ""), ("b", "stable", 1, "s", "d", ["x"], ["v"], "")], cols)
+    results = spark.createDataFrame([("a", "n", " ", ["w"], None), ("b", "n", "n", ["w"], "failed")], "slug string, synthesis string, definition string, variants array<string>, error string")
+    sets = K.source_sets(spark.createDataFrame([("a", "raw/y"), ("a", "raw/x"), ("b", "raw/z")], "slug string, article_key string"))
+    got = {r.slug: tuple(r[c] for c in concepts.columns[1:]) for r in K.recompile_merge(concepts, results, sets, "2026-01-01").collect()}
+    assert got == {"a": ("stable", 1, "n", "d", ["raw/x", "raw/y"], ["w"], "2026-01-01"), "b": ("stable", 1, "s", "d", ["x"], ["v"], "")}
