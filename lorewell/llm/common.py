@@ -114,7 +114,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest neighbour it knows, which needs about log(n) joins-free rounds of
     grouping.  Every round is written to the shared folder.  Stars are built
     by windows' minima and not by collecting neighbours, so a vertex with very
-    many links does not have to fit into memory.  Returns (id, component).
+    many links does not have to fit into memory, nor into one task.  Returns (id, component).
     """
     spark = edges.sparkSession
     e = saved(
@@ -128,6 +128,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         else:
             both = links
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # written first: the join then reads both sides from shuffles of its own, and a hub's links are split
+        least = saved(least, "least")
         joined = both.join(least, "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
