@@ -17,11 +17,12 @@ def _typed(name: str):
     return lambda x: F.struct(F.lit(name).alias("block_type"), x.alias("text"))
 
 
-def build_blocks(notes: DataFrame, max_paragraphs: int = 6, cut: int = 400) -> DataFrame:
+def build_blocks(notes: DataFrame, max_paragraphs: int = 6, cut: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
     """(article_key, ordinal, block_type, text): text fields, list items, then the first lines of the main content.
 
     Blank texts and placeholders are dropped before blocks are numbered.  Fields
-    that the notes lack, and null ones, give nothing.
+    that the notes lack, and null ones, give nothing.  Columns named by ``keep``
+    go with each block.
     """
     parts = []
     for name in TEXT_FIELDS:
@@ -40,8 +41,8 @@ def build_blocks(notes: DataFrame, max_paragraphs: int = 6, cut: int = 400) -> D
     )
     stripped = F.transform(F.concat(*parts), lambda b: F.struct(b["block_type"], T.strip(b["text"]).alias("text")))
     kept = F.filter(stripped, lambda b: b["text"].isNotNull() & (b["text"] != "") & ~b["text"].isin(*PLACEHOLDERS))
-    return notes.select("article_key", F.posexplode(kept).alias("ordinal", "b")).select(
-        "article_key", "ordinal", "b.block_type", "b.text"
+    return notes.select("article_key", *keep, F.posexplode(kept).alias("ordinal", "b")).select(
+        "article_key", "ordinal", "b.block_type", "b.text", *keep
     )
 
 
@@ -69,10 +70,8 @@ SCORES = ("confidence", "importance", "freshness")
 
 def article_blocks(notes: DataFrame) -> DataFrame:
     """Blocks of notes with ids, the layer ``article`` and what the index says about their note."""
-    of_note = ["article_key", *[c for c in ("content_type", "brainstorm_value", "status") if c in notes.columns]]
-    return with_block_id(build_blocks(notes)).join(notes.select(*of_note).dropDuplicates(["article_key"]), "article_key").withColumn(
-        "kb_layer", F.lit("article")
-    )
+    said = tuple(c for c in ("content_type", "brainstorm_value", "status") if c in notes.columns)
+    return with_block_id(build_blocks(notes, keep=said)).withColumn("kb_layer", F.lit("article"))
 
 
 def build_wiki_blocks(concepts: DataFrame, summaries: DataFrame, state: DataFrame) -> DataFrame:

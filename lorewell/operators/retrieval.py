@@ -44,6 +44,10 @@ def _query_blocks(queries: DataFrame) -> Iterator[list]:
         yield (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else queries).collect()
 
 
+def _hashes(text: Column) -> Column:
+    return F.transform(T.tokenize(text), lambda t: F.xxhash64(t))
+
+
 def _rounded(value: float) -> int:
     """Millionths, halves up, as Spark rounds."""
     return int(Decimal(repr(value)).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6))
@@ -72,34 +76,35 @@ class _Asked:
                     self.rank[n, overlap, t] = _rounded(score + RANK_BONUS.get(name, 0.0))
 
 
-def _matching(asked, keep: int, per_article: int | None):
-    """Blocks of each batch that can be among a query's best ``keep``, by overlap and type."""
-
-    def best(a: _Asked, block: np.ndarray, token: np.ndarray, n: int, kind: np.ndarray, article: np.ndarray, tie: np.ndarray):
-        at = np.minimum(np.searchsorted(a.keys, token), max(len(a.keys) - 1, 0))
-        real = a.keys[at] == token if len(a.keys) else np.zeros(len(token), bool)
-        block, at = block[real], at[real]
-        times = a.end[at] - a.begin[at]
-        rows = np.repeat(block, times)
-        query = a.owner[np.repeat(a.begin[at] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-        for q0 in range(0, len(a.ids), QUERY_TILE):
-            q1 = min(q0 + QUERY_TILE, len(a.ids))
+    def overlaps(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, rows that share a token with it, how many) over a batch with a list column ``tokens``."""
+        n, places = batch.num_rows, batch["tokens"].offsets.to_numpy()
+        token = batch["tokens"].values.to_numpy()[places[0] : places[-1]]
+        row = np.repeat(np.arange(n), np.diff(places))
+        at = np.minimum(np.searchsorted(self.keys, token), max(len(self.keys) - 1, 0))
+        real = self.keys[at] == token if len(self.keys) else np.zeros(len(token), bool)
+        row, at = row[real], at[real]
+        times = self.end[at] - self.begin[at]
+        row = np.repeat(row, times)
+        query = self.owner[np.repeat(self.begin[at] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        for q0 in range(0, len(self.ids), QUERY_TILE):
+            q1 = min(q0 + QUERY_TILE, len(self.ids))
             mine = (query >= q0) & (query < q1)
-            overlap = np.bincount((query[mine] - q0) * n + rows[mine], minlength=(q1 - q0) * n).reshape(q1 - q0, n)
+            shared = np.bincount((query[mine] - q0) * n + row[mine], minlength=(q1 - q0) * n).reshape(q1 - q0, n)
             for q in range(q1 - q0):
-                hit = np.flatnonzero(overlap[q])
-                key = a.rank[a.size[q0 + q], overlap[q, hit], kind[hit]]
-                order = np.lexsort((tie[hit], -key))
-                hit = hit[order]
-                if per_article:  # a block's place among those of its article, best first
-                    by = np.argsort(article[hit], kind="stable")
-                    group = article[hit][by]
-                    place = np.empty(len(hit), np.int64)
-                    place[by] = np.arange(len(hit)) - np.searchsorted(group, group)
-                    hit = hit[place < per_article]
-                # each article that goes before a block has one block at least in the final list before it
-                hit = hit[: keep * (per_article or 1)]
-                yield q0 + q, hit, overlap[q, hit]
+                hit = np.flatnonzero(shared[q])
+                yield q0 + q, hit, shared[q, hit]
+
+
+def _asked_blocks(queries: DataFrame):
+    """Broadcast tables of the queries' tokens, at most about ``QUERY_BLOCK`` queries each."""
+    for rows in _query_blocks(queries.select("query_id", _hashes(F.col("text")).alias("tokens"))):
+        asked = _Asked(np.array([r["query_id"] for r in rows], np.int64), [r["tokens"] for r in rows])
+        yield queries.sparkSession.sparkContext.broadcast(asked)
+
+
+def _matching(asked, keep: int, per_article: int | None):
+    """Blocks of each batch that can be among a query's best ``keep``, by overlap and type."""
 
     def run(batches):
         a = asked.value
@@ -108,14 +113,22 @@ def _matching(asked, keep: int, per_article: int | None):
             n = batch.num_rows
             if not n or not len(a.ids):
                 continue
-            tokens = batch["tokens"]
-            places = tokens.offsets.to_numpy()
-            token = tokens.values.to_numpy()[places[0] : places[-1]]
             kind = np.array([code.get(x, len(a.types) - 1) for x in batch["block_type"].to_pylist()])
             article = np.unique(np.array(batch["article_key"].to_pylist(), object), return_inverse=True)[1]
             tie = np.empty(n, np.int64)
             tie[np.lexsort((batch["ordinal"].to_numpy(), article))] = np.arange(n)
-            found = list(best(a, np.repeat(np.arange(n), np.diff(places)), token, n, kind, article, tie))
+            found = []
+            for q, hit, shared in a.overlaps(batch):
+                order = np.lexsort((tie[hit], -a.rank[a.size[q], shared, kind[hit]]))
+                if per_article:  # a block's place among those of its article, best first
+                    of = article[hit][order]
+                    by = np.argsort(of, kind="stable")
+                    place = np.empty(len(hit), np.int64)
+                    place[by] = np.arange(len(hit)) - np.searchsorted(of[by], of[by])
+                    order = order[place < per_article]
+                # each article that goes before a block has one block at least in the final list before it
+                order = order[: keep * (per_article or 1)]
+                found.append((q, hit[order], shared[order]))
             rows = pa.array(np.concatenate([f[1] for f in found]))
             query = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
             yield pa.RecordBatch.from_arrays(
@@ -131,6 +144,43 @@ def _matching(asked, keep: int, per_article: int | None):
     return run
 
 
+def _matching_concepts(asked, keep: int):
+    """Concepts of each batch that can be among a query's best ``keep``, by overlap and memory."""
+
+    def run(batches):
+        a = asked.value
+        for batch in batches:
+            if not batch.num_rows or not len(a.ids):
+                continue
+            memory = batch["memory"].to_numpy()
+            tie = np.unique(np.array(batch["slug"].to_pylist(), object), return_inverse=True)[1]
+            found = []
+            for q, hit, shared in a.overlaps(batch):
+                score = shared + 2.0 * memory[hit]
+                # scores are rounded later: what could then equal the last place stays, the first slugs of it
+                order = np.lexsort((tie[hit], -score))
+                least = score[order[keep - 1]] - 2e-6 if len(order) > keep else -np.inf
+                sure = order[score[order] > least + 4e-6]
+                near = order[(score[order] <= least + 4e-6) & (score[order] >= least)]
+                different = np.unique(score[near])[::-1]
+                parts = [sure, *(near[score[near] == v][:keep] for v in different)]
+                order = np.concatenate(parts)
+                found.append((q, hit[order], shared[order]))
+            rows = pa.array(np.concatenate([f[1] for f in found]))
+            query = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(a.ids[query]),
+                    batch["slug"].take(rows),
+                    pa.array(np.concatenate([f[2] for f in found]).astype(np.int64)),
+                    batch["memory"].take(rows),
+                ],
+                ["query_id", "slug", "n", "memory"],
+            )
+
+    return run
+
+
 def keyword_top(blocks: DataFrame, queries: DataFrame, limit: int, per_article: int | None = PER_ARTICLE) -> DataFrame:
     """The best ``limit`` blocks of each query by shared tokens, at most ``per_article`` of one article; with ``rank`` from 1.
 
@@ -139,16 +189,11 @@ def keyword_top(blocks: DataFrame, queries: DataFrame, limit: int, per_article:
     and pass on only blocks that can be among a query's best, so the pairs of
     queries and blocks that share a word are never written or shuffled.
     """
-    hashes = lambda c: F.transform(T.tokenize(c), lambda t: F.xxhash64(t))
-    given = blocks.select(
-        F.col("article_key"), F.col("ordinal").cast("int").alias("ordinal"), F.col("block_type"), hashes(F.col("text")).alias("tokens")
-    )
+    given = blocks.select("article_key", F.col("ordinal").cast("int").alias("ordinal"), "block_type", _hashes(F.col("text")).alias("tokens"))
     out = None
-    for rows in _query_blocks(queries.select("query_id", hashes(F.col("text")).alias("tokens"))):
-        asked = _Asked(np.array([r["query_id"] for r in rows], np.int64), [r["tokens"] for r in rows])
-        shared = blocks.sparkSession.sparkContext.broadcast(asked)  # at most QUERY_BLOCK queries
+    for asked in _asked_blocks(queries):
         found = given.mapInArrow(
-            _matching(shared, limit, per_article),
+            _matching(asked, limit, per_article),
             "query_id long, article_key string, ordinal int, block_type string, overlap long, n long",
         )
         out = found if out is None else out.unionByName(found)
@@ -271,15 +316,18 @@ def concepts_by_words(concepts: DataFrame, queries: DataFrame, state: DataFrame,
     """(query_id, slug, score, rank): shared tokens and twice the memory, over stable concepts that share a token.
 
     A concept's words are its title, its state's hints (without state its
-    aliases and title), and 200 characters of its definition.
+    aliases and title), and 200 characters of its definition.  As in
+    :func:`keyword_top`, tasks pass on only concepts that can be among a query's best.
     """
     stable = concepts.where("status = 'stable'").join(_memory(state), "slug", "left")
     own = F.concat(F.col("aliases"), F.array("title"))
     text = F.concat_ws(" ", "title", F.coalesce("hints", own), F.substring(F.coalesce("definition", F.lit("")), 1, 200))
-    words = stable.select("slug", F.coalesce("memory", F.lit(0.0)).alias("memory"), F.explode(T.tokenize(text)).alias("token"))
-    asked = queries.select("query_id", F.explode(T.tokenize(F.col("text"))).alias("token"))
-    counted = words.join(asked, "token").groupBy("query_id", "slug").agg(F.count("*").alias("n"), F.first("memory").alias("memory"))
-    return _top_concepts(counted.select("query_id", "slug", F.round(F.col("n") + 2.0 * F.col("memory"), 6).alias("score")), k)
+    given = stable.select("slug", F.coalesce("memory", F.lit(0.0)).alias("memory"), _hashes(text).alias("tokens"))
+    out = None
+    for asked in _asked_blocks(queries):
+        found = given.mapInArrow(_matching_concepts(asked, k), "query_id long, slug string, n long, memory double")
+        out = found if out is None else out.unionByName(found)
+    return _top_concepts(out.select("query_id", "slug", F.round(F.col("n") + 2.0 * F.col("memory"), 6).alias("score")), k)
 
 
 def concepts_first(by_vector: DataFrame | None, by_words: DataFrame) -> DataFrame:

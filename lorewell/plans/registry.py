@@ -515,10 +515,10 @@ ORACLE_SQL = {
         0 AS failed, count(*) FILTER (WHERE bad) AS rejected FROM gate""",
     "note_fields": f"""WITH {_NOTES}, p AS (SELECT doc_id, lower(concat_ws(chr(10), title, text)) AS t,
           coalesce(list_filter(list_transform(l, lambda x: {_STRIP.format("x")}), lambda x: length(x) >= 8), []) AS p FROM notes)
-        SELECT doc_id, CASE WHEN regexp_matches(t, '{"|".join(E.KEYWORDS["allocation"])}') THEN 'allocation'
-          WHEN regexp_matches(t, '{"|".join(E.KEYWORDS["risk_control"])}') THEN 'risk_control'
-          WHEN regexp_matches(t, '{"|".join(E.KEYWORDS["strategy"])}') THEN 'strategy'
-          WHEN regexp_matches(t, '{"|".join(E.KEYWORDS["market_review"])}') THEN 'market_review'
+        SELECT doc_id, CASE WHEN regexp_matches(t, '行业轮动|主题轮动|资产配置|组合配置|etf|权重|再平衡|allocation|rotation') THEN 'allocation'
+          WHEN regexp_matches(t, '风控|风险控制|风险预算|仓位控制|头寸管理|波动率目标|volatility targeting|回撤控制|最大回撤|止损机制|风险平价|risk parity|hedging|对冲|regime filter') THEN 'risk_control'
+          WHEN regexp_matches(t, '开仓|平仓|止损|买入|卖出|信号|调仓|回测|strategy|sharpe') THEN 'strategy'
+          WHEN regexp_matches(t, '复盘|点评|周报|月报|观察|市场回顾|盘面') THEN 'market_review'
           ELSE 'methodology' END AS content_type,
         substr(array_to_string(p[1:2], chr(10) || chr(10)), 1, 400) AS summary, substr(coalesce(p[1], ''), 1, 200) AS core_hypothesis
         FROM p""",
@@ -538,7 +538,7 @@ ORACLE_SQL = {
         UNION ALL SELECT output_id, 1, 'other', '', role FROM o WHERE conv_id % 3 = 0""",
     "seeded_concepts": f"""WITH {_CONCEPTS} SELECT slug, CASE WHEN compile_version = 1 THEN 'deprecated' ELSE status END AS status,
         cast(sourced AS int) AS source_count FROM concepts
-        UNION ALL SELECT slug, 'stable', 0 FROM (SELECT unnest({[x[0] for x in S.SEEDS]}) AS slug)""",
+        UNION ALL SELECT slug, 'stable', 0 FROM (SELECT unnest(['factor-models', 'factor-timing', 'regime-detection', 'momentum-strategies', 'etf-rotation', 'risk-parity', 'volatility-targeting']) AS slug)""",
     "token_counts": f"SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens FROM documents",
     "slugs": f"""WITH {_NOTES} SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(title),
         '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug FROM notes""",

@@ -273,3 +273,65 @@ def test_recompiled_lists_and_sources_are_taken_over(spark):
     sets = K.source_sets(spark.createDataFrame([("a", "raw/y"), ("a", "raw/x"), ("b", "raw/z")], "slug string, article_key string"))
     got = {r.slug: tuple(r[c] for c in concepts.columns[1:]) for r in K.recompile_merge(concepts, results, sets, "2026-01-01").collect()}
     assert got == {"a": ("stable", 1, "n", "d", ["raw/x", "raw/y"], ["w"], "2026-01-01"), "b": ("stable", 1, "s", "d", ["x"], ["v"], "")}
+
+
+def test_concepts_by_words_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(15)]
+    concepts = [(f"c{i}", " ".join(rng.choices(words, k=3)), "stable" if i % 5 else "proposed", [rng.choice(words)], "Def " + rng.choice(words)) for i in range(90)]
+    state = [(f"c{i}", rng.choice([0.0, 0.5, 1.0]), 0.5, 0.1, i % 4, i % 2, [rng.choice(words)]) for i in range(60)]
+    queries = [(i, " ".join(rng.choices(words, k=rng.choice([1, 4])))) for i in range(20)] + [(50, None)]
+    c = spark.createDataFrame(concepts, "slug string, title string, status string, aliases array<string>, definition string").repartition(4)
+    st = "slug string, confidence double, importance double, freshness double, source_count int, conflicts int, retrieval_hints array<string>"
+    s = spark.createDataFrame(state, st)
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    monkeypatch.setattr(R, "QUERY_TILE", 3)
+    memory = {r.slug: (r.memory, r.hints) for r in R._memory(s).collect()}
+    got = {}
+    for r in R.concepts_by_words(c, q, s).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.slug, r.score)
+    for i, text in queries:
+        asked, scored = set((text or "").split()), []
+        for slug, title, status, aliases, definition in concepts:
+            m, hints = memory.get(slug, (0.0, [*aliases, title]))
+            n = len(asked & {w for t in (title, *hints, definition.lower()) for w in t.split()})
+            if status == "stable" and n:
+                scored.append((-round(n + 2 * m, 6), slug))
+        assert [got.get(i, {}).get(k + 1) for k in range(3)] == [*[(s_, -x) for x, s_ in sorted(scored)[:3]], None, None, None][:3]
+
+
+def test_a_second_compilation_asks_no_model(spark):
+    from lorewell.operators import compiling as K
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    notes = spark.createDataFrame([("raw/a", "h1", ["i"]), ("raw/b", "h2", None)], "article_key string, hash string, idea_blocks array<string>")
+    concepts = "slug string, title string, status string, aliases array<string>, sources array<string>, definition string, synthesis string, compile_version int, last_compiled string, key_idea_blocks array<string>"
+    seeds = spark.createDataFrame([("s", "S", "stable", ["al"], [], "d", "", 0, "", [])], concepts)
+    asked = []
+
+    def assign(changed):
+        rows = [r.article_key for r in changed.collect()]
+        asked.append(sorted(rows))
+        answers = {"raw/a": '{"existing_concepts": ["s"]}', "raw/b": '{"proposed_new_concepts": [{"slug": "p"}]}'}
+        return spark.createDataFrame([(k, answers[k]) for k in rows], "article_key string, raw string")
+
+    def recompile(prompts):
+        rows = sorted((r.slug, r.article_key) for r in prompts.collect())
+        asked.append(rows)
+        return spark.createDataFrame([(x, "syn", "", None) for x, _ in rows], "slug string, synthesis string, definition string, error string")
+
+    def run(c, summaries, sources, state, mode="incremental"):
+        return K.compile_job(notes, c, summaries, sources, state, seeds, assign, recompile, scratch.kept, "2026-01-01", mode)
+
+    empty = none(concepts), none("article_key string"), none("path string, content_hash string, feeds_concepts array<string>"), none("slug string, conflicts int")
+    first = run(*empty)
+    assert asked == [["raw/a", "raw/b"], [("s", "raw/a")]]
+    assert sorted((r.slug, r.status, r.compile_version, r.sources) for r in first.concepts.collect()) == [("p", "proposed", 0, ["raw/b"]), ("s", "stable", 1, ["raw/a"])]
+    assert {r.path: r.feeds_concepts for r in first.source_state.collect()} == {"raw/a": ["s"], "raw/b": ["p"]}
+    asked.clear()
+    again = run(first.concepts, first.summaries, first.source_state, first.concept_state)
+    assert asked == [[], []] and again.report.first().skipped == 2
+    assert sorted(map(tuple, again.concepts.collect())) == sorted(map(tuple, first.concepts.select(*again.concepts.columns).collect()))
+    asked.clear()
+    rebuilt = run(first.concepts, first.summaries, first.source_state, first.concept_state, "rebuild")
+    assert asked[0] == ["raw/a", "raw/b"] and rebuilt.report.first().skipped == 0
