@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,10 +147,24 @@ def list_concepts(concepts: DataFrame, status: str | None = None) -> DataFrame:
 
 
 def review_queue(notes: DataFrame, stage: str = "raw") -> DataFrame:
-    """(article_key, title, summary) of a stage; summaries over 150 characters are cut.
-
-    Number rows where they are shown, after ``orderBy(article_key)``: a number over all notes would be made in one task.
-    """
+    """(article_key, title, summary) of a stage; summaries over 150 characters are cut."""
     s = F.coalesce("summary", F.lit(""))
     short = F.when(F.length(s) > 150, F.concat(F.substring(s, 1, 150), F.lit("..."))).otherwise(s)
     return notes.where(F.col("status") == stage).select("article_key", "title", short.alias("summary"))
+
+
+def numbered(rows: DataFrame, key: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with ``number`` from 1 in the order of ``key``, without sorting them in one task.
+
+    Rows are sorted in ranges; a range's first number is the number of rows in
+    the ranges before it, from one count a range.  ``keep`` writes a table and
+    reads it again, so that both steps see the same ranges.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    parted = rows.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_at", at)
+    parted = keep(parted)
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+    return parted.join(F.broadcast(base), "_part").select(*rows.columns, (F.col("_base") + F.col("_at") + 1).alias("number"))

@@ -275,7 +275,7 @@ def enrichment_prompts(spark, sf_dir):
 
 
 def review_queue(spark, sf_dir):
-    return G.review_queue(V.notes(spark, sf_dir).withColumn("summary", F.col("main_content")))
+    return G.numbered(G.review_queue(V.notes(spark, sf_dir).withColumn("summary", F.col("main_content"))), "article_key", scratch.kept)
 
 
 def idea_neighbours(spark, sf_dir):

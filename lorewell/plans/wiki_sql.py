@@ -223,7 +223,7 @@ ORACLE_SQL = {
     "enrichment_prompts": f"""WITH {base._NOTES} SELECT article_key, 'title: ' || title || chr(10) || chr(10) || 'main_content:' || chr(10)
         || substr(text, 1, 8000) || chr(10) || chr(10) || 'code_blocks:' || chr(10) AS prompt FROM notes WHERE status = 'raw'""",
     "review_queue": f"""WITH {base._NOTES} SELECT article_key, title, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END
-        AS summary FROM notes WHERE status = 'raw'""",
+        AS summary, row_number() OVER (ORDER BY article_key) AS number FROM notes WHERE status = 'raw'""",
     "idea_neighbours": f"""WITH near AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_MATH} AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
         few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM near QUALIFY r <= 5)
         SELECT query_id AS idea_id, cast(count(*) AS int) AS n, string_agg(cast(id AS varchar), ',' ORDER BY r) AS ids FROM few GROUP BY query_id""",

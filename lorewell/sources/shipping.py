@@ -12,10 +12,11 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession, root: str) -> None:
-    """Add the package as a zip to the application, once, unless workers find it on their path."""
-    app = spark.sparkContext.applicationId
-    on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if app in _shipped or root in on_path:
+    """Add the package as a zip to the application, once; local workers may find it on the driver's path instead."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    on_path = sc.master.startswith("local") and root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if app in _shipped or on_path:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="lorewell-zip-"), "lorewell_package.zip")
     with zipfile.ZipFile(path, "w") as z:
@@ -24,5 +25,5 @@ def ship_package(spark: SparkSession, root: str) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(path)
+    sc.addPyFile(path)
     _shipped.add(app)
