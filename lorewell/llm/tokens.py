@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -25,7 +26,7 @@ from lorewell.llm import kernel
 CACHE = 1_000_000
 #: Longer pieces (in bytes) are encoded each time, so that the cache is bounded in bytes too.
 LONGEST_KEPT = 64
-#: Bytes of text that are cut and put together at a time; a longer text is a pass of its own.
+#: Bytes of text that are cut and put together at a time; a longer text is parted at token boundaries.
 PASS_BYTES = 1 << 21
 #: Bytes of new pieces that go to the library in one call.
 CALL_BYTES = 1 << 16
@@ -213,6 +214,25 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         return data, np.flatnonzero(cut)
 
+    def parts(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Byte ranges of a text, of about ``PASS_BYTES``, that end where a piece does."""
+        begin, n, margin = 0, len(text), 8
+        while n - begin > 2 * PASS_BYTES and self.kind != "other":
+            low, width, places = begin + PASS_BYTES, 1 << 12, []
+            while not len(places) and low < n:
+                window = text[low : low + width]
+                places = self._cut(window, np.array([0, len(window)]))[1]
+                # what stands near the ends of the window is not all in it
+                places = places[(places > margin) & (places < len(window) - margin)]
+                width *= 4
+                if low + len(window) == n:
+                    break
+            if not len(places):
+                break
+            yield begin, low + int(places[0])
+            begin = low + int(places[0])
+        yield begin, n
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, cache: int = CACHE) -> tuple[np.ndarray, np.ndarray]:
         """(ids, n+1 offsets into them) of the texts of a pass; ``cache`` bounds the pieces remembered."""
         n = len(offsets) - 1
@@ -260,7 +280,13 @@ def encoded(column, path: str, end_id: int, cache: int = CACHE):
     e = encoder(path)
     data, offsets = kernel.utf8(column)
     for a, b in kernel.passes(offsets, PASS_BYTES):
-        ids, at = e.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cache)
+        part = data[offsets[a] : offsets[b]]
+        if b - a == 1 and len(part) > 2 * PASS_BYTES:
+            each = [e.encode(part[x:y], np.array([0, y - x]), cache)[0] for x, y in e.parts(part)]
+            ids = np.concatenate(each)
+            at = np.array([0, len(ids)])
+        else:
+            ids, at = e.encode(part, offsets[a : b + 1] - offsets[a], cache)
         n = b - a
         out = np.full(len(ids) + n, end_id, np.uint32)
         inside = np.ones(len(out), bool)

@@ -33,6 +33,18 @@ def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
     assert ids_of(texts[:40][::-1], path) == want[:40][::-1]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_texts_are_parted_at_boundaries(name, monkeypatch):
+    rng = random.Random(9)
+    path = tokens.default_vocabulary(name)
+    texts = ["".join(rng.choices(ALPHABET, k=9000)), "x" * 9000, "ab " * 4000, "  \n" * 3000, "short"]
+    want = [e.ids + [2] for e in tokens.encoder(path).tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "PASS_BYTES", 700)
+    assert ids_of(texts, path) == want
+    parts = list(tokens.encoder(path).parts(np.frombuffer(texts[2].encode(), np.uint8)))
+    assert len(parts) > 9 and parts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and parts[-1][1] == 12_000
+
+
 def test_other_vocabularies_get_whole_texts(monkeypatch):
     path = tokens.default_vocabulary("byte_bpe_50k.json")
     want = ids_of(FIXED, path)
