@@ -93,6 +93,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_line_spread": line_spread.SQL.format(min_sites=12, max_share=0.5),
+    "op3_line_spread": line_spread.SQL.format(min_sites=12),
     "op7_line_quality": line_quality.SQL.format(max_docs=10),
 }
