@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import (
+    binary_packing,
     common,
     decontaminate,
     html_text,
     license_rules,
     line_quality,
     line_spread,
+    merkle,
     near_dups,
     packing,
     suffix_dedup,
     token_files,
     tokens,
     toxicity,
+    whitening,
 )
 
 
@@ -79,6 +82,20 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_packing.pack_powers(
+        table(spark, sf_dir, "documents"), tokens.default_vocabulary("byte_bpe_50k.json"), end_id=1, size=2048
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_html_text": op2_html_text,
@@ -90,9 +107,13 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_best_fit": op9_best_fit,
     "op10_near_dups": op10_near_dups,
+    "op11_whitening": op11_whitening,
+    "op12_binary_packing": op12_binary_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_spread": line_spread.SQL.format(min_sites=12),
     "op7_line_quality": line_quality.SQL.format(max_docs=10),
+    "op13_merkle_manifest": merkle.SQL,
 }
