@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 from lorewell.operators import concepts
+from lorewell.sources import scratch
+from lorewell.sources.store import Change, Store
 
 # When a concept has too few sources, or is stale.
 FEW_SOURCES = 2
@@ -76,7 +78,41 @@ def suggestions(state: DataFrame) -> DataFrame:
 
 def query_improvements(log: DataFrame, n: int = 5) -> DataFrame:
     """(slug, queries): the last ``n`` questions that cite each concept, in the log's order."""
-    last = concepts.last_queries(log, n).join(log.select("query_id", "query"), "query_id")
+    return questions(concepts.last_queries(log, n).join(log.select("query_id", "query"), "query_id"))
+
+
+def merged_last(last: DataFrame, log: DataFrame, n: int = 5) -> DataFrame:
+    """(slug, query_id, query): of each concept the last ``n`` of ``last``, rows of this kind, and of what ``log`` brings.
+
+    The last n of two parts of a log are among the last n of each, so the
+    result is the same however a log is split, and in whatever order its parts
+    come; a row that comes twice counts once.
+    """
+    cited = log.select(F.explode(F.array_distinct("cited_concepts")).alias("slug"), "query_id", "query")
+    rows = last.select("slug", "query_id", "query").unionByName(cited).distinct()
+    w = Window.partitionBy("slug").orderBy(F.desc("query_id"), "query")
+    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+#: The table of a store of last questions, and its key.
+STORED = {"last": "slug"}
+
+
+def keep_last(store: Store, log: DataFrame, n: int = 5) -> DataFrame:
+    """Merge a part of the log into the stored last questions, reading only the buckets it cites; the stored table is returned."""
+    log = scratch.kept(log.select("query_id", "query", "cited_concepts"))
+    cited = scratch.kept(log.select(F.explode("cited_concepts").alias("slug")).distinct())
+    buckets = [r.b for r in cited.select(store.bucket(F.col("slug")).alias("b")).distinct().collect()]
+    last = store.read("last", only=buckets)
+    if last is None:
+        last = log.sparkSession.createDataFrame([], "slug string, query_id long, query string")
+    if buckets:
+        store.commit({"last": Change(merged_last(last.join(cited, "slug", "left_semi"), log, n), cited)})
+    return store.read("last") if buckets or store.read("last") is not None else last
+
+
+def questions(last: DataFrame) -> DataFrame:
+    """(slug, queries) of rows of :func:`merged_last`, in the log's order."""
     pairs = F.array_sort(F.collect_list(F.struct("query_id", "query")))  # at most n a concept
     return last.groupBy("slug").agg(pairs["query"].alias("queries"))
 

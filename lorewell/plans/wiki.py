@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from lorewell.operators import retrieval as R
 from lorewell.operators import wiki_pages as W
 from lorewell.plans import views as V
 from lorewell.sources import scratch
+from lorewell.sources.store import Change, Store
+from lorewell.streaming import feedback as S
 
 TODAY = "2026-01-01"
 
@@ -66,7 +70,8 @@ def wiki_blocks(spark, sf_dir):
     )
 
 
-def _index_run(spark, sf_dir) -> X.Indexed:
+def _index_inputs(spark, sf_dir) -> tuple:
+    """Notes, concepts, summaries and state; and the index and manifest of an earlier run."""
     files = V.article_files(spark, sf_dir)
     notes = N.filter_notes(N.to_notes(files))
     id_ = F.substring_index("article_key", "/", -1).try_cast("long")
@@ -74,18 +79,45 @@ def _index_run(spark, sf_dir) -> X.Indexed:
     right = F.when(id_ % 7 == 0, "stale").otherwise(B.index_hash(F.col("content")))
     manifest = old.select("article_key", right.alias("hash"), F.lit(1).alias("block_count"), F.lit("reviewed").alias("source_dir"))
     index = old.select("article_key", F.concat(F.lit("old-"), "article_key").alias("block_id"), F.lit("article").alias("kb_layer"))
-    return X.index_job(
-        notes, V.topics(spark, sf_dir), V.topic_summaries(spark, sf_dir), _state(spark, sf_dir), index, manifest,
-        lambda texts: [[float(len(t))] for t in texts], scratch.kept,
-    )
+    topics = scratch.kept(V.topics(spark, sf_dir))
+    state = K.concept_state(C.confidence(topics), _no_state(spark), TODAY)
+    return notes, topics, V.topic_summaries(spark, sf_dir), state, index, manifest
+
+
+def _lengths(texts):
+    return [[float(len(t))] for t in texts]
+
+
+def _index_run(spark, sf_dir) -> X.Indexed:
+    return X.index_job(*_index_inputs(spark, sf_dir), _lengths, scratch.kept)
+
+
+def _stored_index(spark, sf_dir) -> X.Indexed:
+    """The same run on an index that is stored: the earlier one is committed, then what changed."""
+    *made, index, manifest = _index_inputs(spark, sf_dir)
+    store = Store(spark, f"{scratch.folder(spark)}/lorewell-index/{uuid.uuid4().hex}", X.STORED)
+    index = index.withColumn("embedding", F.lit(None).cast("array<float>"))
+    store.commit({"blocks": Change(index), "manifest": Change(manifest)})
+    return X.index_into(store, *made, _lengths)
 
 
 def index_run(spark, sf_dir):
-    out = _index_run(spark, sf_dir).index
+    return _index_rows(_index_run(spark, sf_dir).index)
+
+
+def _index_rows(out):
     size = F.coalesce(F.get("embedding", F.lit(0)).cast("long"), F.lit(-1))
     return out.select("article_key", "kb_layer", F.when(size < 0, F.col("block_id")).otherwise("").alias("old"), size.alias("size"))
 
 
+def stored_index(spark, sf_dir):
+    return _index_rows(_stored_index(spark, sf_dir).index)
+
+
+def stored_manifest(spark, sf_dir):
+    return _stored_index(spark, sf_dir).manifest.select("article_key", "hash", "block_count", "source_dir")
+
+
 def index_manifest(spark, sf_dir):
     return _index_run(spark, sf_dir).manifest.select("article_key", "hash", "block_count", "source_dir")
 
@@ -234,6 +266,39 @@ def feedback(spark, sf_dir):
     return out.select("slug", "status", F.round("importance", 4).alias("importance"), F.array_join("retrieval_hints", "|").alias("hints"))
 
 
+def _log_parts(spark, sf_dir) -> list[DataFrame]:
+    """The log in three parts, by conversation; the second has rows of the first again."""
+    log = scratch.kept(V.asked_log(spark, sf_dir))
+    edges = log.agg(F.expr("percentile_approx(log_id, array(0.4, 0.6))")).first()[0] or [0, 0]
+    low, high = edges
+    at = F.col("log_id")
+    return [log.where(at <= low), log.where((at <= high) & ((at > low) | (at % 2 == 0))), log.where(at > high)]
+
+
+def _new_store(spark, keys) -> Store:
+    return Store(spark, f"{scratch.folder(spark)}/lorewell-store/{uuid.uuid4().hex}", keys)
+
+
+def feedback_stream(spark, sf_dir):
+    """The feedback as a stream of three batches into a stored state."""
+    store = _new_store(spark, S.STORED)
+    S.begin(store, _state(spark, sf_dir))
+    for part in _log_parts(spark, sf_dir):
+        part.coalesce(1).write.mode("append").parquet(f"{store.root}-log")
+    log = spark.readStream.schema(S.LOG).option("maxFilesPerTrigger", 1).parquet(f"{store.root}-log")
+    S.stream_feedback(log, store.root, f"{store.root}-checkpoint").awaitTermination()
+    out = store.read("state")
+    return out.select("slug", "status", F.round("importance", 4).alias("importance"), F.array_join("retrieval_hints", "|").alias("hints"))
+
+
+def last_questions(spark, sf_dir):
+    """The last questions of each concept, kept from the log's parts."""
+    store = _new_store(spark, M.STORED)
+    for part in _log_parts(spark, sf_dir):
+        out = M.keep_last(store, part.withColumnRenamed("log_id", "query_id"))
+    return M.questions(out).select("slug", F.array_join("queries", "|").alias("queries"))
+
+
 def _maintained(spark, sf_dir) -> M.Maintained:
     log = V.asked_log(spark, sf_dir).dropDuplicates(["log_id"]).withColumnRenamed("log_id", "query_id")
     return M.maintain_job(log, V.topic_summaries(spark, sf_dir), _state(spark, sf_dir), apply=True)
@@ -302,9 +367,9 @@ def text_functions(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_state, article_notes, article_note_blocks, wiki_blocks, index_run, index_manifest, index_summary, concepts_by_words,
+        topic_state, article_notes, article_note_blocks, wiki_blocks, index_run, index_manifest, index_summary, stored_index, stored_manifest, concepts_by_words,
         concepts_by_vector, retrieve_wiki_first, contexts, lint_all, lint_sample, fix_worklist, topic_pages_again, index_groups,
-        index_header, compiled_concepts, compile_report, latest_output, feedback, maintain_counts, maintain_suggestions,
+        index_header, compiled_concepts, compile_report, latest_output, feedback, feedback_stream, last_questions, maintain_counts, maintain_suggestions,
         query_improvements, enrich_run, enrich_summary, enrichment_prompts, review_queue, idea_neighbours, text_functions,
     )
 }

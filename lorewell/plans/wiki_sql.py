@@ -231,3 +231,10 @@ ORACLE_SQL = {
         || '-' || lpad(cast(doc_id % 28 + 1 AS varchar), 2, '0') END AS day, source || chr(10) || chr(10) || ' a: ' || lang AS clean,
         lower(source || '_a_' || lang) AS query_slug, lower(source || '_a_' || lang) AS output_slug FROM documents""",
 }
+# the same results by stores that are written in several runs
+ORACLE_SQL |= {
+    "stored_index": ORACLE_SQL["index_run"],
+    "stored_manifest": ORACLE_SQL["index_manifest"],
+    "feedback_stream": ORACLE_SQL["feedback"],
+    "last_questions": ORACLE_SQL["query_improvements"],
+}

@@ -7,34 +7,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lorewell.operators import concepts
-from lorewell.sources import files
+from lorewell.sources import scratch
+from lorewell.sources.store import Change, Store
 
 LOG = "log_id long, query string, cited_concepts array<string>"
+#: The table of a feedback store, and its key.
+STORED = {"state": "slug"}
 
 
-def stream_feedback(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the rows of ``log(log_id, query, cited_concepts)`` that are new to ``out``, a folder a batch.
+def begin(store: Store, state: DataFrame) -> None:
+    """Put the state of concepts as it is before the stream into a new store."""
+    store.commit({"state": Change(state)})
 
-    A batch leaves out log ids that other batches have written, so a row that
-    comes in two batches is there once; it overwrites its own folder, so running
-    it again gives the same rows.  :func:`feedback_state` merges them into a state.
+
+def apply_batch(store: Store, rows: DataFrame, tag: str) -> None:
+    """Merge ``rows(log_id, query, cited_concepts)`` into the stored state; a batch whose tag was committed is passed over.
+
+    Only the buckets of concepts that the rows cite are read and written, so a
+    batch costs what it brings, whatever came before it.
     """
+    source, _, number = tag.rpartition("#")
+    last_source, _, last = store.tag().rpartition("#")
+    if last and source == last_source and int(number) <= int(last):
+        return
+    rows = scratch.kept(rows.select("log_id", "query", "cited_concepts"))
+    cited = scratch.kept(rows.select(F.explode("cited_concepts").alias("slug")).distinct())
+    buckets = [r.b for r in cited.select(store.bucket(F.col("slug")).alias("b")).distinct().collect()]
+    known = store.read("state", only=buckets)
+    if known is None:
+        raise ValueError("the store has no state to begin with")
+    after = concepts.apply_feedback(rows, known.join(cited, "slug", "left_semi"))
+    store.commit({"state": Change(after.select(*known.columns))}, tag=tag)
+
+
+def stream_feedback(
+    log: DataFrame, store_root: str, checkpoint: str, time_col: str | None = None, late: str = "7 days"
+) -> StreamingQuery:
+    """Merge the stream ``log(log_id, query, cited_concepts)`` into the state in the store at ``store_root``.
+
+    Log ids that came before are kept in the stream's own state, so a row that
+    comes again, in any later batch, counts once; with ``time_col`` an id is
+    forgotten once the watermark has passed it by ``late``, which bounds that
+    state.  A batch that runs again after a failure finds its tag in the store.
+    Rows of a batch are taken in the order of their ids, batches as they come:
+    a late row is taken when it comes.
+    """
+    if time_col:
+        once = log.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["log_id"])
+    else:
+        once = log.dropDuplicates(["log_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = files.read_or_empty(spark, lambda: spark.read.parquet(out), f"{LOG}, batch int")
-        known = known.where(f"batch <> {batch_id}").select("log_id")
-        fresh = batch.select("log_id", "query", "cited_concepts").dropDuplicates(["log_id"]).join(known, "log_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return (
-        log.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def feedback_state(out: DataFrame, state: DataFrame) -> DataFrame:
-    """The state after all rows that :func:`stream_feedback` wrote, from the state before the stream began."""
-    return concepts.apply_feedback(out.select(F.col("log_id"), "query", "cited_concepts"), state)
+        apply_batch(Store(batch.sparkSession, store_root, STORED), batch, f"{checkpoint}#{batch_id}")
+
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

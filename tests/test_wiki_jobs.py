@@ -17,7 +17,6 @@ from lorewell.operators import outputs as O
 from lorewell.operators import retrieval as R
 from lorewell.operators import wiki_pages as W
 from lorewell.sources import scratch
-from lorewell.streaming import feedback
 
 
 def test_notes_of_awkward_headers(spark):
@@ -222,20 +221,6 @@ def test_last_status_counts_and_summaries_decide(spark):
     assert {r.article_key: r.state for r in got.collect()} == {"a": "same", "b": "changed"}
 
 
-def test_feedback_counts_each_row_once_over_batches(spark, tmp_path):
-    rows = [(1, "Q one", ["c", "new"]), (2, "Q two", ["c"]), (1, "Q one", ["c", "new"])]
-    for part in (rows[:1], rows[1:], rows[:2]):
-        spark.createDataFrame(part, feedback.LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
-        stream = spark.readStream.schema(feedback.LOG).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
-        feedback.stream_feedback(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    out = spark.read.parquet(f"{tmp_path}/out")
-    assert sorted(r.log_id for r in out.collect()) == [1, 2]
-    state = spark.createDataFrame([("c", "stable", 0.98, ["q_one", *[f"h{i}" for i in range(11)]])], "slug string, status string, importance double, retrieval_hints array<string>")
-    got = {r.slug: r for r in feedback.feedback_state(out, state).collect()}
-    assert got["c"].importance == 1.0 and got["c"].retrieval_hints == [*[f"h{i}" for i in range(11)], "q_two"]
-    assert (got["new"].status, got["new"].importance, got["new"].retrieval_hints) == ("proposed", 0.05, ["q_one"])
-
-
 def test_lint_follow_ups(spark):
     issues = spark.createDataFrame([("warning", "k", f"p{i:02d}", "m") for i in range(15)] + [("error", "k", "p", "m")], "severity string, kind string, path string, message string")
     assert sorted((r.severity, r.place) for r in L.issue_sample(issues).collect()) == [("error", 1)] + [("warning", i) for i in range(1, 11)]
