@@ -427,10 +427,13 @@ def detect(text: str, active: list[Rule]) -> list[tuple[str, int, int, float]]:
     for r in active:
         for m in r.pattern.finditer(text):
             start, end = m.span("id" if r.pattern.groups else 0)  # of an SPDX expression each identifier by itself
-            a = text.count(" ", 0, start)
-            found.append((r.label, a, a + text.count(" ", start, end) + 1, r.score, r.priority))
+            found.append((r.label, start, end, r.score, r.priority))
     if not found:
         return []
+    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 0x20)
+    first = np.searchsorted(blanks, [f[1] for f in found]).tolist()
+    last = np.searchsorted(blanks, [f[2] for f in found]).tolist()
+    found = [(f[0], a, b + 1, *f[3:]) for f, a, b in zip(found, first, last)]
     gone = suppressed(np.array([f[1:3] for f in found]), np.array([f[4] for f in found]))
     return [f[:4] for f, g in zip(found, gone) if not g]
 
