@@ -107,7 +107,7 @@ def line_quality(
     text_col: str = "text",
     host_col: str = "source",
     max_docs: int = 10,
-    min_left: float = 0.5,
+    min_left: float = 0.7,
     min_words: int = 50,
     max_repeat_percent: int = 50,
 ) -> DataFrame:
@@ -193,7 +193,7 @@ SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS
   cast(n_symbols AS bigint) AS n_symbols, cast(n_dup_lines AS bigint) AS n_dup_lines,
   cast(n_repeat_words AS bigint) AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.5 * n_words AS kept,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= {min_left} * n_words AS kept,
   cast(gone AS bigint) AS n_shared_words, numbers AS shared_lines
 FROM counts
 """

@@ -114,6 +114,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_spread": line_spread.SQL.format(min_sites=12),
-    "op7_line_quality": line_quality.SQL.format(max_docs=10),
+    "op7_line_quality": line_quality.SQL.format(max_docs=10, min_left=0.7),
     "op13_merkle_manifest": merkle.SQL,
 }
