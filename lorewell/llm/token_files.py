@@ -82,7 +82,8 @@ def write_token_files(
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     order = [F.col("_id").asc_nulls_first(), F.col("_t").asc_nulls_first()]
     written = (
-        rows.repartitionByRange(F.col("_id").asc_nulls_first())
+        # by the text's beginning too, in the same order, so that rows of one id or of none are many ranges
+        rows.repartitionByRange(order[0], F.substring("_t", 1, 64).asc_nulls_first())
         .sortWithinPartitions(*order)
         .mapInArrow(
             _writer(folder, vocabulary, end_id, kind), "shard int, docs long, tokens long, kind string, path string"
