@@ -273,7 +273,8 @@ def contaminated(
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, item_id long, score double, first_word long, last_word long"
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    size = bench.agg(F.sum(F.length("text") - F.length(F.translate("text", " \n\t", "")) + 1)).first()[0] or 0
+    words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))  # by the rule that cuts them
+    size = bench.agg(F.sum(words + 1)).first()[0] or 0
     blocks = -(-int(size) // BLOCK_WORDS)
     out = spark.createDataFrame([], schema)
     for k in range(blocks):

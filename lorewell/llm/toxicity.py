@@ -138,7 +138,8 @@ def train(
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
         .join(F.broadcast(sample), "_id")  # at most max_positive + max_unlabelled ids
-        .select("_id", "positive", "_t")
+        .groupBy("_id", "positive")
+        .agg(F.min("_t").alias("_t"))  # of rows of one id one, so that rows are bounded too
     )
     kind = docs.schema[id_col].dataType.simpleString()
     rows = common.saved(
