@@ -108,3 +108,28 @@ def route_url(url: Column) -> Column:
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     path = F.lower(F.element_at(F.split(F.coalesce(url, F.lit("")), "[?]"), 1))
     return F.when(host.endswith("mp.weixin.qq.com"), "wechat").when(path.endswith(".pdf"), "pdf").otherwise("web")
+
+
+def unfenced(raw: Column) -> Column:
+    """Without the fence that models put around JSON."""
+    return F.regexp_replace(strip(raw), r"^```[a-zA-Z]*\s*|\s*```\z", "")
+
+
+def hundredths(x: Column) -> Column:
+    """A number to two places by its exact binary value, halves to the even one, as Python rounds.
+
+    ``x * 100`` is added up from products with powers of two, which are exact,
+    and what the additions lose decides where the sum looks like a half.
+    """
+
+    def lost(a: Column, b: Column) -> Column:
+        total = a + b
+        part = total - a
+        return (a - (total - part)) + (b - part)
+
+    a, b, c = x * 64.0, x * 32.0, x * 4.0
+    total, rest = a + b + c, lost(a, b) + lost(a + b, c)
+    low = F.floor(total).cast("double")
+    half = total - low == 0.5
+    nearest = F.when(half & (rest > 0), low + 1).when(half & (rest < 0), low).otherwise(F.rint(total))
+    return nearest / 100.0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as T
 from lorewell.operators import blocks
 from lorewell.operators import concepts as scoring
+from lorewell.operators import edges as edge_table
 from lorewell.operators import seeds as seeding
 
 # The fields of a model's assignment.
@@ -26,11 +27,6 @@ RESULT_LISTS = (
 PROMPT_SOURCES = 8
 
 
-def unfenced(raw: Column) -> Column:
-    """Without the fence that models put around JSON."""
-    return F.regexp_replace(T.strip(raw), r"^```[a-zA-Z]*\s*|\s*```\z", "")
-
-
 def _given(c: Column) -> Column:
     """Stripped, or null if nothing is left."""
     return F.nullif(T.strip(c), F.lit(""))
@@ -46,7 +42,7 @@ def parse_assignments(raw: DataFrame) -> DataFrame:
     Unreadable or missing answers give empty lists and an error.  Blank slugs
     are dropped; a proposal without title is called by its slug.
     """
-    got = F.from_json(unfenced(F.col("raw")), f"{ASSIGNMENT}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    got = F.from_json(T.unfenced(F.col("raw")), f"{ASSIGNMENT}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     a = raw.select("article_key", got.alias("a"))
     failed = F.col("a").isNull() | F.col("a._bad").isNotNull()
     kept = F.filter("a.proposed_new_concepts", lambda p: _given(p["slug"]).isNotNull())
@@ -127,19 +123,25 @@ def proposed_concepts(assignments: DataFrame, concepts: DataFrame) -> DataFrame:
     )
 
 
-def concept_sources(concepts: DataFrame, fed: DataFrame, changed: DataFrame, hit: DataFrame | None = None) -> DataFrame:
+def concept_sources(
+    concepts: DataFrame, fed: DataFrame, changed: DataFrame, hit: DataFrame | None = None, edges: DataFrame | None = None
+) -> DataFrame:
     """(slug, article_key, current): sources of each concept that a changed article feeds, old and new ones, once.
 
     ``current`` says that the article feeds the concept now.  ``hit(slug)`` names
     the concepts where not all that changed articles feed count.  Rows and not
-    lists, since one concept may have a third of all articles.
+    lists, since one concept may have a third of all articles; with ``edges``
+    (see :mod:`lorewell.operators.edges`) the old ones come from there too.
     """
     known = concepts.select("slug").distinct()
     if hit is None:
         hit = fed.join(changed.select("article_key").distinct(), "article_key", "left_semi")
     hit = hit.select("slug").distinct()
     hit = hit.join(known, "slug", "left_semi")
-    old = concepts.select("slug", F.explode("sources").alias("article_key")).withColumn("current", F.lit(False))
+    old = concepts.select("slug", F.explode("sources").alias("article_key"))
+    if edges is not None:  # proposals list the one source they have
+        old = old.unionByName(edge_table.rows_of(edges))
+    old = old.withColumn("current", F.lit(False))
     every = old.unionByName(fed.select("slug", "article_key").withColumn("current", F.lit(True)))
     return every.join(hit, "slug", "left_semi").groupBy("slug", "article_key").agg(F.max("current").alias("current"))
 
@@ -180,6 +182,9 @@ def recompile_merge(
         given = given.join(new, "slug", "left").withColumn("sources", F.coalesce("_sources", "sources"))
         if "source_basenames" in concepts.columns:
             given = given.withColumn("source_basenames", F.coalesce("_names", "source_basenames"))
+        if "source_count" in sets.columns and "source_count" in concepts.columns:
+            counts = sets.select("slug", F.col("source_count").alias("_count")).join(r.where("_ok").select("slug"), "slug", "left_semi")
+            given = given.join(counts, "slug", "left").withColumn("source_count", F.coalesce("_count", "source_count")).drop("_count")
         given = given.drop("_sources", "_names")
     if today is not None:
         done = r.where("_ok").select("slug", F.lit(today).alias("_today"))
@@ -205,7 +210,8 @@ def retrieval_hints(aliases: Column, title: Column) -> Column:
 def concept_state(concepts: DataFrame, state: DataFrame, today: str) -> DataFrame:
     """State of each concept after a compilation; only conflicts come from the ``state`` before."""
     old = state.select("slug", F.col("conflicts").alias("_conflicts"))
-    n = F.size("sources")
+    # with an edge table a concept's row lists its first sources alone, and says how many it has
+    n = F.coalesce("source_count", F.size("sources")) if "source_count" in concepts.columns else F.size("sources")
     c = concepts.join(old, "slug", "left")
     return c.select(
         "slug",
@@ -272,6 +278,7 @@ class Compiled(NamedTuple):
     source_state: DataFrame
     concept_state: DataFrame
     report: DataFrame
+    edges: DataFrame | None = None
 
 
 def compile_job(
@@ -286,6 +293,7 @@ def compile_job(
     keep: Callable[[DataFrame], DataFrame],
     today: str,
     mode: str = "incremental",
+    edges: DataFrame | None = None,
 ) -> Compiled:
     """Articles to concepts: assignments of changed articles, proposals, recompiled concepts, summaries and states.
 
@@ -296,11 +304,16 @@ def compile_job(
     that no model is asked twice.  A rebuild begins with the seeds alone and takes
     every article as new.  An article whose assignment failed gets a summary but no
     state, so the next run takes it again.
+
+    With ``edges``, the edge table before, concepts list their first sources
+    only and have ``source_count``, and the new edge table is returned; no row
+    then grows with the articles that feed a concept.
     """
     if mode not in ("incremental", "rebuild"):
         raise ValueError(f"no mode {mode}")
     if mode == "rebuild":
         concepts, summaries, source_state, state = (df.limit(0) for df in (concepts, summaries, source_state, state))
+        edges = edges.limit(0) if edges is not None else None
     concepts = seeding.bootstrap(concepts, seeds)
     known = source_state.select(F.col("path").alias("article_key"), F.col("content_hash").alias("hash"))
     judged = blocks.changed_articles(notes.select("article_key", "hash"), known, summaries=summaries)
@@ -315,9 +328,20 @@ def compile_job(
         source_state.select(F.col("path").alias("article_key"), F.explode("feeds_concepts").alias("slug")).join(skipped, "article_key", "left_semi")
     )
     existing = done.select("article_key", F.explode("existing").alias("slug"))
-    sources = keep(concept_sources(every, fed, done, hit=existing))
+    sources = keep(concept_sources(every, fed, done, hit=existing, edges=edges))
     results = keep(recompile(prompt_sources(sources)))
-    merged = keep(recompile_merge(every, results, source_sets(sources), today))
+    if edges is None:
+        sets = source_sets(sources)
+    else:
+        if "source_count" not in every.columns:
+            every = every.withColumn("source_count", F.size("sources"))
+        of_good = sources.join(results.where("error IS NULL").select("slug").distinct(), "slug", "left_semi")
+        places = keep(edge_table.placed(of_good, keep))
+        sets = edge_table.first_sources(places)
+        proposed = new.join(of_good, "slug", "left_anti").select("slug", F.explode("sources").alias("article_key"))
+        fresh = edge_table.chunks(places).unionByName(edge_table.chunks(edge_table.placed(proposed, keep)))
+        edges = edge_table.merged(edges, keep(fresh))
+    merged = keep(recompile_merge(every, results, sets, today))
     written = keep(source_summaries(changed, assigned, today))
     old_summaries = summaries.join(written.select("article_key"), "article_key", "left_anti")
     entries = done.join(notes.select("article_key", "hash"), "article_key").select(
@@ -333,4 +357,5 @@ def compile_job(
         old_entries.unionByName(entries, allowMissingColumns=True),
         concept_state(scoring.confidence(merged), state, today),
         compile_report(judged, assigned, results),
+        edges,
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.functions.text import hundredths, unfenced
+
 # From which similarity on an idea is known, and how many neighbours count.
 NOVEL_BELOW = 0.75
 NEIGHBOURS = 5
@@ -65,7 +67,7 @@ def traceability(ideas: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 
 def composite(scores: DataFrame, judged: DataFrame) -> DataFrame:
-    """(idea_id, quality): the weighted sum; a judge's missing values are 0.5, others are held between 0 and 1."""
+    """(idea_id, quality): the weighted sum to two places; a judge's missing values are 0.5, others are held between 0 and 1."""
     # greatest and least skip nulls, so these are asked for first
     held = lambda c: F.when(F.col(c).isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
     both = scores.join(judged.select("idea_id", "coherence", "actionability"), "idea_id", "left")
@@ -74,4 +76,41 @@ def composite(scores: DataFrame, judged: DataFrame) -> DataFrame:
         WEIGHTS["coherence"] * held("coherence"),
         WEIGHTS["actionability"] * held("actionability"),
     ]
-    return both.select("idea_id", F.round(parts[0] + parts[1] + parts[2], 4).alias("quality"))
+    return both.select("idea_id", hundredths(parts[0] + parts[1] + parts[2]).alias("quality"))
+
+
+#: What a judge's answer counts as where it can't be used.
+UNJUDGED = 0.5
+
+
+def parse_judged(answers: DataFrame, ideas: DataFrame) -> DataFrame:
+    """(idea_id, coherence, actionability, judged) of ``ideas(output_id, place, idea_id)`` from ``answers(output_id, raw)``.
+
+    An answer is a JSON list, fenced or not, with an object for each of the
+    output's ideas, in their order.  A missing value is 0.5, others are held
+    between 0 and 1.  An answer that is no such list, has another length or a
+    value that is no number gives 0.5 for all its ideas, and so does a missing
+    answer; ``judged`` is then false.
+    """
+    names = ("coherence", "actionability")
+    counts = ideas.groupBy("output_id").agg(F.count("*").alias("_n"))
+    list_ = F.try_variant_get(F.try_parse_json(unfenced(F.col("raw"))), "$", "array<variant>")
+    one = answers.groupBy("output_id").agg(F.max("raw").alias("raw"))
+
+    def value(entry, name: str):
+        given = F.try_variant_get(entry, f"$.{name}", "variant")
+        number = F.try_variant_get(entry, f"$.{name}", "double")
+        return F.when(given.isNull(), UNJUDGED).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)) + 0 * number)
+
+    def fine(entry):
+        values = [value(entry, n) for n in names]
+        return F.schema_of_variant(entry).startswith("OBJECT") & values[0].isNotNull() & values[1].isNotNull()
+
+    read = one.join(counts, "output_id").withColumn("_l", list_)
+    whole = (F.size("_l") == F.col("_n")) & F.forall("_l", lambda e: F.coalesce(fine(e), F.lit(False)))
+    good = read.where(F.coalesce(whole, F.lit(False))).select("output_id", F.posexplode("_l").alias("place", "_e"))
+    good = good.select("output_id", "place", *[value(F.col("_e"), n).alias(n) for n in names])
+    out = ideas.select("output_id", "place", "idea_id").join(good, ["output_id", "place"], "left")
+    return out.select(
+        "idea_id", *[F.coalesce(n, F.lit(UNJUDGED)).alias(n) for n in names], F.col("coherence").isNotNull().alias("judged")
+    )

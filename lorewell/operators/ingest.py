@@ -134,6 +134,44 @@ def set_article_status(notes: DataFrame, updates: DataFrame, rejected: DataFrame
     return changed, added, updates.join(notes, "article_key", "left_anti")
 
 
+def edit_status(articles: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(articles, report): texts of ``articles(article_key, content)`` with the status of ``updates(article_key, status)`` in them.
+
+    The first line that begins with a status gets the new value; a header
+    without one gets a line at its end.  The report has a row an update:
+    article_key, status and outcome, which is edited, inserted, ``no header``
+    (the text stays as it is), ``not found`` or ``not allowed``.  Of several
+    updates of a key the last by a column ``place`` counts, without one the
+    greatest status by name; the others are ``superseded``.
+    """
+    placed = updates if "place" in updates.columns else updates.withColumn("place", F.lit(0))
+    key = F.struct("place", "status")
+    valid = placed.where(F.col("status").isin(*ALLOWED_STATUS))
+    one = valid.groupBy("article_key").agg(F.max(key).alias("_u"))
+    status = F.col("_u.status")
+    # What a status line and a header are; a header ends at the next rule, wherever that stands.
+    line, header = r"(?sm)\A(.*?^status:\s*)\S+", r"(?s)\A---\n(.*?)---\n"
+    has_line, has_header = F.col("content").rlike(line), F.col("content").rlike(header)
+    group = lambda pattern, k: F.regexp_extract("content", pattern, k)
+    after = lambda pattern: F.substr("content", F.length(group(pattern, 0)) + 1)
+    edited = F.concat(group(line, 1), status, after(line))
+    body = F.regexp_replace(group(header, 1), r"\n+\z", "")
+    inserted = F.concat(F.lit("---\n"), body, F.lit("\nstatus: "), status, F.lit("\n---\n"), after(header))
+    joined = articles.join(one, "article_key", "left")
+    outcome = F.when(has_line, "edited").when(has_header, "inserted").otherwise("no header")
+    text = F.when(status.isNull(), F.col("content")).when(has_line, edited).when(has_header, inserted).otherwise(F.col("content"))
+    out = joined.withColumn("content", text)
+    said = joined.where(status.isNotNull()).select("article_key", F.col("_u").alias("_won"), outcome.alias("_o"))
+    report = placed.join(said, "article_key", "left").join(articles.select("article_key", F.lit(True).alias("_known")), "article_key", "left")
+    what = (
+        F.when(~F.coalesce(F.col("status").isin(*ALLOWED_STATUS), F.lit(False)), "not allowed")
+        .when(F.col("_known").isNull(), "not found")
+        .when(F.col("_won") != key, "superseded")
+        .otherwise(F.col("_o"))
+    )
+    return out.select(*articles.columns), report.select("article_key", "status", what.alias("outcome"))
+
+
 def set_concept_status(concepts: DataFrame, updates: DataFrame) -> DataFrame:
     """Concepts with the status of ``updates(slug, status)``; deleted ones go, statuses that are not allowed change nothing."""
     one = updates.where(F.col("status").isin(*CONCEPT_STATUS)).groupBy("slug").agg(F.min("status").alias("_s"))

@@ -150,6 +150,12 @@ def rethink(outputs: DataFrame, retrieved: DataFrame, matches: DataFrame, judged
     )
 
 
+def judged_ideas(outputs: DataFrame, answers: DataFrame) -> DataFrame:
+    """What ``answers(output_id, raw)`` of a judge say of the ideas of ``outputs``; see :func:`lorewell.operators.ideas.parse_judged`."""
+    found = parse_ideas(outputs).select("output_id", "place", F.concat_ws("#", "output_id", "place").alias("idea_id"))
+    return I.parse_judged(answers, found)
+
+
 def rethink_reports(outputs: DataFrame, rethought: DataFrame) -> DataFrame:
     """(output_id, text): answers with a report on their ideas behind them; answers without ideas pass through unchanged."""
     line = F.concat_ws(

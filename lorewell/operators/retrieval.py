@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.sources import scratch
 
 # What a block's type adds to its score, and to its rank among equals.
 TYPE_BONUS = {
@@ -38,7 +40,8 @@ def _by_type(values: dict[str, float]) -> Column:
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    """Rows of queries, at most about ``QUERY_BLOCK`` at a time."""
+    """Rows of queries, at most about ``QUERY_BLOCK`` at a time; they are computed once."""
+    queries = scratch.kept(queries)
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     for k in range(n):
         yield (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else queries).collect()
@@ -53,6 +56,36 @@ def _rounded(value: float) -> int:
     return int(Decimal(repr(value)).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6))
 
 
+#: Types that have a bonus, and any other.
+_TYPES = [*TYPE_BONUS, ""]
+
+
+@lru_cache(maxsize=1 << 18)
+def _rank_key(n: int, code: int) -> int:
+    """What a block is ranked by, in millionths, from its query's size, the overlap and its type (overlap * types + type)."""
+    overlap, kind = divmod(code, len(_TYPES))
+    score = _rounded(overlap / n + TYPE_BONUS.get(_TYPES[kind], 0.0)) / 1e6
+    return _rounded(score + RANK_BONUS.get(_TYPES[kind], 0.0))
+
+
+#: Queries of up to so many tokens have their rank keys looked up in a table, which has a row for each overlap.
+_TABLED = 512
+
+
+@lru_cache(maxsize=_TABLED)
+def _rank_table(n: int) -> np.ndarray:
+    return np.array([_rank_key(n, c) for c in range((n + 1) * len(_TYPES))], np.int64)
+
+
+def _rank_keys(n: int, overlap: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Rank keys of hits; types beyond those with a bonus are alike."""
+    codes = overlap * len(_TYPES) + np.minimum(kind, len(_TYPES) - 1)
+    if n <= _TABLED:
+        return _rank_table(n)[codes]
+    codes, at = np.unique(codes, return_inverse=True)
+    return np.array([_rank_key(n, c) for c in codes.tolist()], np.int64)[at]
+
+
 class _Asked:
     """Tokens of some queries as a table from a token's hash to the queries that have it."""
 
@@ -65,16 +98,6 @@ class _Asked:
         self.keys, self.begin = np.unique(flat[order], return_index=True)
         self.end = np.append(self.begin[1:], len(flat))
         self.owner = owner[order]
-        # a query's score depends on its size, the overlap and the type alone: rank keys are looked up
-        self.types = [*TYPE_BONUS, ""]
-        longest = int(self.size.max(initial=0))
-        self.rank = np.zeros((longest + 1, longest + 1, len(self.types)), np.int64)
-        for n in np.unique(self.size).tolist():
-            for overlap in range(1, n + 1):
-                for t, name in enumerate(self.types):
-                    score = _rounded(overlap / n + TYPE_BONUS.get(name, 0.0)) / 1e6
-                    self.rank[n, overlap, t] = _rounded(score + RANK_BONUS.get(name, 0.0))
-
 
     def overlaps(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, rows that share a token with it, how many) over a batch with a list column ``tokens``."""
@@ -91,7 +114,7 @@ class _Asked:
             q1 = min(q0 + QUERY_TILE, len(self.ids))
             mine = (query >= q0) & (query < q1)
             shared = np.bincount((query[mine] - q0) * n + row[mine], minlength=(q1 - q0) * n).reshape(q1 - q0, n)
-            for q in range(q1 - q0):
+            for q in np.flatnonzero(shared.any(1)).tolist():
                 hit = np.flatnonzero(shared[q])
                 yield q0 + q, hit, shared[q, hit]
 
@@ -103,40 +126,79 @@ def _asked_blocks(queries: DataFrame):
         yield queries.sparkSession.sparkContext.broadcast(asked)
 
 
+class _BestBlocks:
+    """The blocks of a task's whole run that can be among a query's best ``keep``: rank key, article, ordinal, type and overlap of each."""
+
+    def __init__(self, keep: int, per_article: int | None):
+        self.per_article = per_article
+        # each article that goes before a block has one block at least in the final list before it
+        self.most = keep * (per_article or 1)
+        self.key = np.zeros(0, np.int64)
+        self.article = np.zeros(0, object)
+        self.rest = np.zeros((3, 0), np.int64)  # ordinal, type, overlap
+        self.waiting: list[tuple] = []
+        self.n_waiting = 0
+        self.floor = -1  # rank keys below it can't be among the best any more
+
+    def add(self, key: np.ndarray, article: np.ndarray, rest: np.ndarray) -> None:
+        good = key >= self.floor
+        if good.any():
+            self.waiting.append((key[good], article[good], rest[:, good]))
+            self.n_waiting += int(good.sum())
+            if self.n_waiting > 4 * self.most:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        key = np.concatenate([self.key, *(w[0] for w in self.waiting)])
+        article = np.concatenate([self.article, *(w[1] for w in self.waiting)])
+        rest = np.concatenate([self.rest, *(w[2] for w in self.waiting)], 1)
+        self.waiting, self.n_waiting = [], 0
+        name = np.unique(article, return_inverse=True)[1]
+        order = np.lexsort((rest[0], name, -key))
+        if self.per_article:  # a block's place among those of its article, best first
+            of = name[order]
+            by = np.argsort(of, kind="stable")
+            place = np.empty(len(of), np.int64)
+            place[by] = np.arange(len(of)) - np.searchsorted(of[by], of[by])
+            order = order[place < self.per_article]
+        order = order[: self.most]
+        self.key, self.article, self.rest = key[order], article[order], rest[:, order]
+        if len(order) == self.most:
+            self.floor = int(self.key[-1])
+
+
 def _matching(asked, keep: int, per_article: int | None):
-    """Blocks of each batch that can be among a query's best ``keep``, by overlap and type."""
+    """Blocks of a task that can be among a query's best ``keep``, by overlap and type."""
 
     def run(batches):
         a = asked.value
-        code = {name: t for t, name in enumerate(a.types)}
+        code = {name: t for t, name in enumerate(TYPE_BONUS)}
+        best: dict[int, _BestBlocks] = {}
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(a.ids):
+            if not batch.num_rows or not len(a.ids):
                 continue
-            kind = np.array([code.get(x, len(a.types) - 1) for x in batch["block_type"].to_pylist()])
-            article = np.unique(np.array(batch["article_key"].to_pylist(), object), return_inverse=True)[1]
-            tie = np.empty(n, np.int64)
-            tie[np.lexsort((batch["ordinal"].to_numpy(), article))] = np.arange(n)
-            found = []
+            kind = np.array([code.setdefault(x, len(code)) for x in batch["block_type"].to_pylist()])
+            article = np.array(batch["article_key"].to_pylist(), object)
+            ordinal = batch["ordinal"].to_numpy()
             for q, hit, shared in a.overlaps(batch):
-                order = np.lexsort((tie[hit], -a.rank[a.size[q], shared, kind[hit]]))
-                if per_article:  # a block's place among those of its article, best first
-                    of = article[hit][order]
-                    by = np.argsort(of, kind="stable")
-                    place = np.empty(len(hit), np.int64)
-                    place[by] = np.arange(len(hit)) - np.searchsorted(of[by], of[by])
-                    order = order[place < per_article]
-                # each article that goes before a block has one block at least in the final list before it
-                order = order[: keep * (per_article or 1)]
-                found.append((q, hit[order], shared[order]))
-            rows = pa.array(np.concatenate([f[1] for f in found]))
-            query = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+                if q not in best:
+                    best[q] = _BestBlocks(keep, per_article)
+                key = _rank_keys(int(a.size[q]), shared, kind[hit])
+                best[q].add(key, article[hit], np.stack([ordinal[hit], kind[hit], shared]))
+        names = list(code)
+        for q, b in best.items():
+            b.settle()
+            n = len(b.key)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(a.ids[query]),
-                    *(batch[c].take(rows) for c in ("article_key", "ordinal", "block_type")),
-                    pa.array(np.concatenate([f[2] for f in found]).astype(np.int64)),
-                    pa.array(a.size[query]),
+                    pa.array(np.full(n, a.ids[q])),
+                    pa.array(b.article.tolist(), pa.string()),
+                    pa.array(b.rest[0].astype(np.int32)),
+                    pa.array([names[t] for t in b.rest[1].tolist()], pa.string()),
+                    pa.array(b.rest[2].copy()),
+                    pa.array(np.full(n, a.size[q])),
                 ],
                 ["query_id", "article_key", "ordinal", "block_type", "overlap", "n"],
             )
@@ -214,43 +276,93 @@ def top_blocks(scored: DataFrame, limit: int, per_article: int | None = PER_ARTI
 def vector_scores(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, score, rank): the ``n`` nearest of ``index(id, embedding)`` by cosine similarity, exactly.
 
-    Each task keeps the best n of its batches; the rest is a ranking of few rows
-    a task.  Queries are taken in blocks and vectors in tiles, which bounds what
-    a task holds.  Rows without a vector, or with one of another length than the
-    queries', match nothing.
+    Each task keeps the best n of all its rows and passes on no more; the rest
+    is a ranking of few rows a task.  Queries are taken in blocks and vectors in
+    tiles, which bounds what a task holds.  Rows without a vector, or with one
+    of another length than the queries', match nothing.
     """
     out = None
     for rows in _query_blocks(queries.where("embedding IS NOT NULL").select("query_id", "embedding")):
-        ids = np.array([r["query_id"] for r in rows], np.int64)
-        matrix = np.array([r["embedding"] for r in rows], np.float64) if rows else np.zeros((0, 1))
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = np.divide(matrix, np.where(norms == 0, 1, norms))
+        ids, unit = unit_queries(rows)
         shared = index.sparkSession.sparkContext.broadcast((ids, unit))  # at most QUERY_BLOCK vectors
-        fits = index.where(F.size("embedding") == matrix.shape[1]) if len(rows) else index.limit(0)
+        fits = index.where(F.size("embedding") == unit.shape[1]) if len(rows) else index.limit(0)
         found = fits.select("id", "embedding").mapInArrow(_nearest(shared, n), "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)
+    return nearest_of(out, n)
+
+
+def nearest_of(found: DataFrame, n: int) -> DataFrame:
+    """The best ``n`` of ``found(query_id, id, score)`` for each query; of equal scores the smallest ids."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows at length 1; rows of zeros stay."""
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(size == 0, 1, size)
+
+
+def unit_queries(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of collected queries."""
+    ids = np.array([r["query_id"] for r in rows], np.int64)
+    matrix = np.array([r["embedding"] for r in rows], np.float64) if rows else np.zeros((0, 1))
+    return ids, unit_rows(matrix)
+
+
+def vectors_of(batch: pa.RecordBatch) -> np.ndarray:
+    return unit_rows(batch["embedding"].flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1))
+
+
+class BestVectors:
+    """The best n rows of each query so far, by score and then id."""
+
+    def __init__(self, n_queries: int, n: int):
+        self.n = n
+        self.score = np.full((n_queries, n), -1.0)
+        self.id = np.full((n_queries, n), np.iinfo(np.int64).max)
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of some queries (places) against rows with these ids; rows scored below 0 are none."""
+        open_ = (scores >= self.score[queries, -1:]).any(1)
+        queries, scores = queries[open_], scores[open_]
+        if not len(queries):
+            return
+        score = np.concatenate([self.score[queries], scores], 1)
+        id_ = np.concatenate([self.id[queries], np.broadcast_to(ids, scores.shape)], 1)
+        order = np.lexsort((id_, -score), axis=1)[:, : self.n]
+        self.score[queries] = np.take_along_axis(score, order, 1)
+        self.id[queries] = np.take_along_axis(id_, order, 1)
+
+    def rows(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        real = self.score >= 0
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.broadcast_to(query_ids[:, None], real.shape)[real]),
+                pa.array(self.id[real]),
+                pa.array(self.score[real]),
+            ],
+            ["query_id", "id", "score"],
+        )
+
+
+def cosines(unit: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Similarities, not below 0, to six places."""
+    return np.round(np.maximum(unit @ x.T, 0), 6)
 
 
 def _nearest(shared, n: int):
     def run(batches):
         ids, unit = shared.value
+        best = BestVectors(len(ids), n)
         for batch in batches:
             for begin in range(0, batch.num_rows, VECTOR_TILE):
                 part = batch.slice(begin, VECTOR_TILE)
-                x = part["embedding"].flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                x = (x / np.where(size == 0, 1, size)).T
-                at = part["id"].to_numpy()
+                x, at = vectors_of(part), part["id"].to_numpy()
                 for a in range(0, len(ids), QUERY_TILE):
-                    s = np.round(np.maximum(unit[a : a + QUERY_TILE] @ x, 0), 6)
-                    order = np.lexsort((np.broadcast_to(at, s.shape), -s), axis=1)[:, :n]
-                    q = np.repeat(ids[a : a + QUERY_TILE], order.shape[1])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q), pa.array(at[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())],
-                        ["query_id", "id", "score"],
-                    )
+                    places = np.arange(a, min(a + QUERY_TILE, len(ids)))
+                    best.add(places, cosines(unit[places], x), at)
+        yield best.rows(ids)
 
     return run
 
@@ -338,8 +450,15 @@ def concepts_first(by_vector: DataFrame | None, by_words: DataFrame) -> DataFram
 
 
 def exclude_cited(candidates: DataFrame, hits: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Candidates without articles that are sources of a query's surfaced concepts."""
-    cited = hits.join(concepts.select("slug", F.explode("sources").alias("article_key")), "slug").select("query_id", "article_key").distinct()
+    """Candidates without articles that are sources of a query's surfaced concepts.
+
+    ``concepts`` list their sources, or are (slug, article_key) rows, as
+    :func:`lorewell.operators.edges.rows_of` gives.  Candidates are few a query,
+    so sources are looked up for them and never listed for a query.
+    """
+    sources = concepts.select("slug", "article_key") if "article_key" in concepts.columns else concepts.select("slug", F.explode("sources").alias("article_key"))
+    asked = candidates.select("query_id", "article_key").distinct().join(hits.select("query_id", "slug"), "query_id")
+    cited = asked.join(sources, ["slug", "article_key"], "left_semi").select("query_id", "article_key").distinct()
     return candidates.join(cited, ["query_id", "article_key"], "left_anti")
 
 

@@ -32,9 +32,7 @@ def _keyword_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vector_top(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     e = V.table(spark, sf_dir, "embeddings")
-    asked = e.join(V.queries(spark, sf_dir).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
-    asked = asked.select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.vector_scores(e.select(F.col("vec_id").alias("id"), "embedding"), asked, n)
+    return R.vector_scores(e.select(F.col("vec_id").alias("id"), "embedding"), V.asked_vectors(spark, sf_dir), n)
 
 
 def token_counts(spark, sf_dir):
@@ -88,12 +86,13 @@ def retrieve_vector(spark, sf_dir):
 
 
 def retrieve_hybrid(spark, sf_dir):
-    b = _blocks(spark, sf_dir).where("ordinal = 0")
-    v = _vector_top(spark, sf_dir, 24).withColumn("article_key", F.concat(F.lit("raw/"), F.col("id").cast("string")))
-    v = v.join(b.select("article_key", "ordinal", "block_type"), "article_key")
-    return R.rrf_fusion(_keyword_top(spark, sf_dir), v, limit=8).select(
-        "query_id", "article_key", "ordinal", "block_type", "score", "rank"
-    )
+    """Questions of every twentieth document, with its vector; a vector is of the block whose number is the id's remainder by 3."""
+    b = _blocks(spark, sf_dir)
+    key = F.concat(F.lit("raw/"), F.col("id").cast("string")).alias("article_key")
+    v = _vector_top(spark, sf_dir, 24).select("query_id", "rank", key, (F.col("id") % 3).cast("int").alias("ordinal"))
+    v = v.join(b.select("article_key", F.col("ordinal").cast("int").alias("ordinal"), "block_type"), ["article_key", "ordinal"])
+    keyword = R.keyword_top(b, V.asked(spark, sf_dir), limit=16)
+    return R.rrf_fusion(keyword, v, limit=8).select("query_id", "article_key", "ordinal", "block_type", "score", "rank")
 
 
 def concept_confidence(spark, sf_dir):
@@ -197,7 +196,7 @@ def idea_traceability(spark, sf_dir):
 
 
 def idea_novelty(spark, sf_dir):
-    asked = V.queries(spark, sf_dir).select(F.col("query_id").alias("idea_id"))
+    asked = V.asked_vectors(spark, sf_dir).select(F.col("query_id").alias("idea_id"))
     near = _vector_top(spark, sf_dir, I.NEIGHBOURS + 1).where("query_id <> id")
     out = I.novelty(asked, near.select(F.col("query_id").alias("idea_id"), "id", "score"))
     return out.fillna({"best_id": -1, "best_score": 0.0})
@@ -296,10 +295,13 @@ def rethink(spark, sf_dir):
     near = outputs.where("output_id % 2 = 0").select(
         F.concat_ws("#", "output_id", F.lit("0")).alias("idea_id"), F.col("output_id").alias("id"), F.lit(0.9).alias("score")
     )
-    judged = outputs.where("output_id % 5 = 0").select(
-        F.concat_ws("#", "output_id", F.lit("0")).alias("idea_id"), F.lit(1.0).alias("coherence"), F.lit(0.0).alias("actionability")
+    return O.rethink(outputs, titles, near, O.judged_ideas(outputs, V.judge_answers(spark, sf_dir))).select(
+        "idea_id", "title", "traceability", "novel", "quality"
     )
-    return O.rethink(outputs, titles, near, judged).select("idea_id", "title", "traceability", "novel", "quality")
+
+
+def judged_ideas(spark, sf_dir):
+    return O.judged_ideas(V.outputs(spark, sf_dir), V.judge_answers(spark, sf_dir))
 
 
 QUERIES = {
@@ -348,6 +350,7 @@ QUERIES = {
         concept_page_fields,
         page_lint,
         rethink,
+        judged_ideas,
     )
 }
 
@@ -396,15 +399,26 @@ keyword AS (
     cast(row_number() OVER (PARTITION BY query_id ORDER BY {_RANK} DESC, article_key, ordinal) AS int) AS rank
   FROM few WHERE k <= 3 QUALIFY rank <= 16)
 """
+_ASKED = "asked AS (SELECT doc_id AS query_id, string_split(coalesce(text, ''), chr(10))[1] AS text FROM documents WHERE doc_id % 20 = 0)"
+_ASKED_KEYWORD = _KEYWORD.replace("SELECT item_id AS query_id", "SELECT query_id").replace("FROM benchmark", "FROM asked")
 _VECTOR = """
 near AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, round(greatest(list_cosine_similarity(
     q.embedding::double[], e.embedding::double[]), 0), 6) AS score
-  FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
 vector AS (
   SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS int) AS rank
   FROM near QUALIFY rank <= 24)
 """
+_JUDGED = """
+o AS (SELECT *, conv_id * 1000 + turn AS output_id, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM conversations WHERE role <> 'user'),
+places AS (SELECT *, unnest(range(0, n)) AS place FROM o),
+said AS (SELECT *, output_id % 7 <> 0 AND output_id % 11 <> 0 AND NOT (output_id % 13 = 0) AS listed FROM places),
+judged AS (SELECT output_id || '#' || place AS idea_id,
+  CASE WHEN listed THEN CASE place WHEN 0 THEN least((output_id % 8) / 5.0::double, 1) ELSE 0.5::double END ELSE 0.5::double END AS coherence,
+  CASE WHEN listed THEN CASE place WHEN 0 THEN (output_id % 4) / 4.0::double ELSE 0::double END ELSE 0.5::double END AS actionability,
+  listed AS judged FROM said)
+"""
 _CONCEPTS = """
 concepts AS (
   SELECT 'concept-' || source AS slug, CASE WHEN low % 3 = 2 THEN 'proposed' ELSE 'stable' END AS status,
@@ -497,10 +511,14 @@ ORACLE_SQL = {
         WHERE NOT cut AND status = 'stable' AND compile_version > 0
         UNION ALL SELECT 'warning', 'schema_empty_synthesis', page_path, 'synthesis' FROM written
         WHERE NOT cut AND status = 'stable' AND compile_version > 0 AND NOT filled""",
-    "rethink": """WITH o AS (SELECT *, conv_id * 1000 + turn AS output_id FROM conversations WHERE role <> 'user')
-        SELECT output_id || '#0' AS idea_id, 't' || string_split(text, chr(10))[1] || 't' AS title, 0.8::double AS traceability,
-          output_id % 2 <> 0 AS novel, 0.59::double AS quality FROM o
-        UNION ALL SELECT output_id || '#1', 'other', 0::double, true, 0.35::double FROM o WHERE conv_id % 3 = 0""",
+    "judged_ideas": f"WITH {_JUDGED} SELECT * FROM judged",
+    "rethink": f"""WITH {_JUDGED},
+        titled AS (SELECT output_id || '#0' AS idea_id, 't' || string_split(text, chr(10))[1] || 't' AS title,
+          0.4::double + CASE WHEN contains('turn ' || turn, 'turn') THEN 0.4::double ELSE 0::double END AS traceability, output_id % 2 <> 0 AS novel FROM o
+          UNION ALL SELECT output_id || '#1', 'other', 0::double, true FROM o WHERE conv_id % 3 = 0)
+        SELECT idea_id, title, traceability, novel,
+          cast(printf('%.2f', 0.3::double * traceability + 0.35::double * coherence + 0.35::double * actionability) AS double) AS quality
+        FROM titled JOIN judged USING (idea_id)""",
     "page_flags": f"""SELECT page_id, regexp_matches(html, '{_MATH_SQL}') AS has_math,
         len(list_filter(regexp_extract_all(html, '(?is)<pre\\b[^>]*>(.*?)</pre>', 1),
           lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> '')) > 0 AS has_code,
@@ -562,10 +580,10 @@ ORACLE_SQL = {
         THEN 'changed' ELSE 'same' END AS state FROM notes""",
     "retrieve_keyword": f"WITH {_KEYWORD} SELECT * FROM keyword",
     "retrieve_vector": f"WITH {_VECTOR} SELECT * FROM vector",
-    "retrieve_hybrid": f"""WITH {_KEYWORD}, {_VECTOR},
+    "retrieve_hybrid": f"""WITH {_ASKED}, {_ASKED_KEYWORD}, {_VECTOR},
         both_ AS (SELECT query_id, article_key, ordinal, block_type, rank FROM keyword UNION ALL
           SELECT v.query_id, b.article_key, b.ordinal, b.block_type, v.rank FROM vector v
-          JOIN blocks b ON b.article_key = 'raw/' || v.id AND b.ordinal = 0),
+          JOIN blocks b ON b.article_key = 'raw/' || v.id AND b.ordinal = v.id % 3),
         fused AS (SELECT query_id, article_key, ordinal, block_type, round(sum(1.0::double / (60 + rank)), 9) AS score
           FROM both_ GROUP BY query_id, article_key, ordinal, block_type)
         SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY {_RANK} DESC, article_key, ordinal) AS int)
@@ -614,11 +632,11 @@ ORACLE_SQL = {
     "idea_traceability": f"WITH {_TRACE} SELECT * FROM traced",
     "idea_novelty": f"""WITH {_VECTOR}, best AS (SELECT query_id, id, score FROM vector WHERE id <> query_id AND rank <= 6
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1)
-        SELECT item_id AS idea_id, id IS NULL AS novel, coalesce(id, -1) AS best_id,
-        coalesce(round(score, 3), 0) AS best_score FROM benchmark
-        LEFT JOIN (SELECT * FROM best WHERE score >= 0.75) ON query_id = item_id""",
-    "idea_quality": f"""WITH {_TRACE} SELECT idea_id, round(0.3::double * traceability
+        SELECT vec_id AS idea_id, id IS NULL AS novel, coalesce(id, -1) AS best_id,
+        coalesce(round(score, 3), 0) AS best_score FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)
+        LEFT JOIN (SELECT * FROM best WHERE score >= 0.75) ON query_id = vec_id""",
+    "idea_quality": f"""WITH {_TRACE} SELECT idea_id, cast(printf('%.2f', 0.3::double * traceability
         + 0.35::double * CASE WHEN idea_id % 3 = 0 THEN 0.5::double ELSE least((idea_id % 7) / 5.0::double, 1::double) END
-        + 0.35::double * CASE WHEN idea_id % 3 = 0 THEN 0.5::double ELSE (idea_id % 4) / 4.0::double END, 4) AS quality
+        + 0.35::double * CASE WHEN idea_id % 3 = 0 THEN 0.5::double ELSE (idea_id % 4) / 4.0::double END) AS double) AS quality
         FROM traced""",
 }

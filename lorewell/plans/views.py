@@ -39,6 +39,40 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth document's first line is a question."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    return d.select(F.col("doc_id").alias("query_id"), F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("text"))
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector is a question's."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_index(spark: SparkSession, sf_dir: str, blocks: DataFrame, topics: DataFrame) -> DataFrame:
+    """(id, embedding, kb_layer, slug, status, article_key, ordinal, block_type): every ``TOPIC``-th vector is a topic's, others an article block's.
+
+    A vector belongs to the block of its document whose number is the id's remainder by 3, where there is one.
+    """
+    e = table(spark, sf_dir, "embeddings").withColumn("k", F.floor(F.col("vec_id") / TOPIC).cast("long"))
+    e = e.withColumn("wiki", F.col("vec_id") % TOPIC == 0).withColumn("ordinal", (F.col("vec_id") % 3).cast("int"))
+    of_topic = topics.select(F.col("slug"), F.col("status"))
+    wiki = e.where("wiki").withColumn("slug", F.concat(F.lit("topic-"), F.col("k").cast("string"))).join(of_topic, "slug")
+    wiki = wiki.select(
+        F.col("vec_id").alias("id"), "embedding", F.lit("wiki_concept").alias("kb_layer"), "slug", "status",
+        F.concat(F.lit("wiki/concepts/"), "slug", F.lit(".md")).alias("article_key"), F.lit(0).alias("ordinal"),
+        F.lit("wiki_concept").alias("block_type"),
+    )
+    named = e.where("NOT wiki").withColumn("article_key", F.concat(F.lit("raw/"), F.col("vec_id").cast("string")))
+    of_block = blocks.select("article_key", F.col("ordinal").cast("int").alias("ordinal"), "block_type")
+    articles = named.join(of_block, ["article_key", "ordinal"]).select(
+        F.col("vec_id").alias("id"), "embedding", F.lit("article").alias("kb_layer"), F.lit(None).cast("string").alias("slug"),
+        F.lit(None).cast("string").alias("status"), "article_key", "ordinal", "block_type",
+    )
+    return wiki.unionByName(articles)
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An older state: some articles are missing, of some the hash is another."""
     d = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0")
@@ -157,6 +191,21 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("output_id"), text.alias("text"))
 
 
+def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge's answer to each output: a list with an object an idea; some are no JSON, too short, or hold words for numbers.
+
+    The second idea's coherence is missing and its actionability below 0.
+    """
+    out = outputs(spark, sf_dir).select("output_id")
+    i, two = F.col("output_id"), F.floor(F.col("output_id") / 1000) % 3 == 0
+    first = F.concat(F.lit('{"coherence": '), ((i % 8) / 5.0).cast("string"), F.lit(', "actionability": '), ((i % 4) / 4.0).cast("string"), F.lit("}"))
+    first = F.when(i % 13 == 0, '{"coherence": "high", "actionability": 1}').otherwise(first)
+    second = F.when(two, ', {"actionability": -3, "coherence_reasoning": "none"}').otherwise("")
+    list_ = F.concat(F.lit("["), first, second, F.lit("]"))
+    raw = F.when(i % 7 == 0, F.substring(list_, 1, 9)).when(i % 11 == 0, F.lit("[]")).when(i % 2 == 0, F.concat(F.lit("```json\n"), list_, F.lit("\n```"))).otherwise(list_)
+    return out.select("output_id", raw.alias("raw"))
+
+
 def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected sources: addresses of every fifth page, twice, with the later reason never counting."""
     p = table(spark, sf_dir, "pages").where("page_id % 5 = 0")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as T
 from lorewell.operators import blocks as B
 from lorewell.operators import compiling as K
+from lorewell.operators import cells as Y
 from lorewell.operators import concepts as C
+from lorewell.operators import edges as D
 from lorewell.operators import enrichment as A
 from lorewell.operators import ideas as I
 from lorewell.operators import indexing as X
@@ -18,6 +20,7 @@ from lorewell.operators import ingest as G
 from lorewell.operators import linting as L
 from lorewell.operators import maintenance as M
 from lorewell.operators import notes as N
+from lorewell.operators import postings as P
 from lorewell.operators import retrieval as R
 from lorewell.operators import wiki_pages as W
 from lorewell.plans import views as V
@@ -95,7 +98,7 @@ def _index_run(spark, sf_dir) -> X.Indexed:
 def _stored_index(spark, sf_dir) -> X.Indexed:
     """The same run on an index that is stored: the earlier one is committed, then what changed."""
     *made, index, manifest = _index_inputs(spark, sf_dir)
-    store = Store(spark, f"{scratch.folder(spark)}/lorewell-index/{uuid.uuid4().hex}", X.STORED)
+    store = Store(spark, _new_folder(spark), X.STORED)
     index = index.withColumn("embedding", F.lit(None).cast("array<float>"))
     store.commit({"blocks": Change(index), "manifest": Change(manifest)})
     return X.index_into(store, *made, _lengths)
@@ -126,14 +129,8 @@ def index_summary(spark, sf_dir):
     return _index_run(spark, sf_dir).summary
 
 
-def _asked(spark, sf_dir):
-    """Every twentieth document's first line is a question."""
-    d = V.table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
-    return d.select(F.col("doc_id").alias("query_id"), F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("text"))
-
-
 def _hits(spark, sf_dir):
-    return R.concepts_by_words(V.topics(spark, sf_dir), _asked(spark, sf_dir), _state(spark, sf_dir))
+    return R.concepts_by_words(V.topics(spark, sf_dir), V.asked(spark, sf_dir), _state(spark, sf_dir))
 
 
 def concepts_by_words(spark, sf_dir):
@@ -158,7 +155,7 @@ def _note_blocks(spark, sf_dir):
 
 
 def _retrieved(spark, sf_dir):
-    asked = _asked(spark, sf_dir)
+    asked = V.asked(spark, sf_dir)
     keyword = R.keyword_top(_note_blocks(spark, sf_dir), asked, limit=2 * R.TOP_K)
     return R.retrieve(asked, keyword, None, _hits(spark, sf_dir), V.topics(spark, sf_dir), mode="keyword")
 
@@ -167,6 +164,50 @@ def retrieve_wiki_first(spark, sf_dir):
     return _retrieved(spark, sf_dir).select("query_id", "place", "layer", "name", "ordinal", "block_type", "mode")
 
 
+def _retrieved_by(spark, sf_dir, mode):
+    """Concepts first, by vector where a question has one, then blocks by ``mode``."""
+    asked, vectors = V.asked(spark, sf_dir), V.asked_vectors(spark, sf_dir)
+    topics = scratch.kept(V.topics(spark, sf_dir))
+    state = K.concept_state(C.confidence(topics), _no_state(spark), TODAY)
+    blocks = scratch.kept(_note_blocks(spark, sf_dir))
+    index = scratch.kept(V.vector_index(spark, sf_dir, blocks, topics))
+    concept_near = R.vector_scores(R.stable_concept_blocks(index), vectors, R.FETCH_CONCEPTS * R.CONCEPT_TOP_K)
+    by_vector = R.concepts_by_vector(concept_near, index, topics, state)
+    hits = scratch.kept(R.concepts_first(by_vector, R.concepts_by_words(topics, asked, state)))
+    near = R.vector_scores(index, vectors, R.FETCH_BLOCKS * R.TOP_K)
+    vector = R.vector_top(near, index, blocks, limit=2 * R.TOP_K)
+    keyword = R.keyword_top(blocks, asked, limit=2 * R.TOP_K)
+    out = R.retrieve(asked, keyword, vector, hits, topics, mode=mode)
+    return out.withColumn("warning", F.coalesce("warning", F.lit("")))
+
+
+def retrieve_wiki_vector(spark, sf_dir):
+    return _retrieved_by(spark, sf_dir, "vector")
+
+
+def retrieve_wiki_hybrid(spark, sf_dir):
+    return _retrieved_by(spark, sf_dir, "hybrid")
+
+
+def _new_folder(spark) -> str:
+    return f"{scratch.folder(spark)}/lorewell-index/{uuid.uuid4().hex}"
+
+
+def retrieve_postings(spark, sf_dir):
+    """The benchmark's questions by a stored inverted index of all blocks."""
+    path = _new_folder(spark)
+    P.write_postings(_note_blocks(spark, sf_dir), path)
+    out = P.search(spark, path, V.queries(spark, sf_dir), limit=2 * R.TOP_K)
+    return out.select("query_id", "article_key", "ordinal", "block_type", "score", "rank")
+
+
+def retrieve_vector_cells(spark, sf_dir):
+    """Every twentieth vector's neighbours by an index of cells over all vectors."""
+    path, e = _new_folder(spark), V.table(spark, sf_dir, "embeddings")
+    Y.write_cells(e.select(F.col("vec_id").alias("id"), "embedding"), path, cells=64)
+    return Y.search(spark, path, V.asked_vectors(spark, sf_dir), R.FETCH_BLOCKS * R.TOP_K).select("query_id", "id", "score", "rank")
+
+
 def contexts(spark, sf_dir):
     got = _retrieved(spark, sf_dir)
     of_articles = _note_blocks(spark, sf_dir).select(F.col("article_key").alias("name"), "ordinal", "block_type", "text")
@@ -221,7 +262,7 @@ def index_header(spark, sf_dir):
     return K.index_header(V.topics(spark, sf_dir), V.topic_summaries(spark, sf_dir))
 
 
-def _compiled(spark, sf_dir) -> K.Compiled:
+def _compiled(spark, sf_dir, with_edges: bool = False) -> K.Compiled:
     notes = V.notes(spark, sf_dir).withColumn("summary", F.lit("")).withColumn("content_type", F.element_at("market", 1))
     state = V.source_state(spark, sf_dir).where("path NOT LIKE '%gone%'")
     topic = F.concat(F.lit("topic-"), F.floor(F.substring_index("article_key", "/", -1).try_cast("long") / 25).cast("string"))
@@ -239,10 +280,12 @@ def _compiled(spark, sf_dir) -> K.Compiled:
             F.when(n % 4 == 1, "timeout").alias("error"),
         )
 
-    nothing = spark.createDataFrame([], V.topics(spark, sf_dir).schema)
+    topics = scratch.kept(V.topics(spark, sf_dir))
+    nothing = spark.createDataFrame([], topics.schema)
+    edges = D.from_lists(topics, scratch.kept) if with_edges else None
     return K.compile_job(
-        notes, V.topics(spark, sf_dir), V.topic_summaries(spark, sf_dir).where("name % 8 <> 0"), state, _no_state(spark), nothing,
-        assign, recompile, scratch.kept, TODAY,
+        notes, topics, V.topic_summaries(spark, sf_dir).where("name % 8 <> 0"), state, _no_state(spark), nothing,
+        assign, recompile, scratch.kept, TODAY, edges=edges,
     )
 
 
@@ -251,6 +294,14 @@ def compiled_concepts(spark, sf_dir):
     return c.select("slug", "status", "compile_version", F.size("sources").alias("n_sources"), "synthesis", "last_compiled")
 
 
+def compiled_edges(spark, sf_dir):
+    """The same compilation with sources in an edge table, whose rows are counted."""
+    out = _compiled(spark, sf_dir, with_edges=True)
+    n = D.rows_of(out.edges).groupBy("slug").agg(F.count("*").cast("int").alias("n_sources"))
+    c = out.concepts.join(n, "slug", "left").fillna(0, ["n_sources"])
+    return c.select("slug", "status", "compile_version", "n_sources", "synthesis", "last_compiled")
+
+
 def compile_report(spark, sf_dir):
     return _compiled(spark, sf_dir).report
 
@@ -275,13 +326,9 @@ def _log_parts(spark, sf_dir) -> list[DataFrame]:
     return [log.where(at <= low), log.where((at <= high) & ((at > low) | (at % 2 == 0))), log.where(at > high)]
 
 
-def _new_store(spark, keys) -> Store:
-    return Store(spark, f"{scratch.folder(spark)}/lorewell-store/{uuid.uuid4().hex}", keys)
-
-
 def feedback_stream(spark, sf_dir):
     """The feedback as a stream of three batches into a stored state."""
-    store = _new_store(spark, S.STORED)
+    store = Store(spark, _new_folder(spark), S.STORED)
     S.begin(store, _state(spark, sf_dir))
     for part in _log_parts(spark, sf_dir):
         part.coalesce(1).write.mode("append").parquet(f"{store.root}-log")
@@ -293,7 +340,7 @@ def feedback_stream(spark, sf_dir):
 
 def last_questions(spark, sf_dir):
     """The last questions of each concept, kept from the log's parts."""
-    store = _new_store(spark, M.STORED)
+    store = Store(spark, _new_folder(spark), M.STORED)
     for part in _log_parts(spark, sf_dir):
         out = M.keep_last(store, part.withColumnRenamed("log_id", "query_id"))
     return M.questions(out).select("slug", F.array_join("queries", "|").alias("queries"))
@@ -368,8 +415,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         topic_state, article_notes, article_note_blocks, wiki_blocks, index_run, index_manifest, index_summary, stored_index, stored_manifest, concepts_by_words,
-        concepts_by_vector, retrieve_wiki_first, contexts, lint_all, lint_sample, fix_worklist, topic_pages_again, index_groups,
-        index_header, compiled_concepts, compile_report, latest_output, feedback, feedback_stream, last_questions, maintain_counts, maintain_suggestions,
+        concepts_by_vector, retrieve_wiki_first, retrieve_wiki_vector, retrieve_wiki_hybrid, retrieve_postings,
+        retrieve_vector_cells, contexts, lint_all, lint_sample, fix_worklist, topic_pages_again, index_groups,
+        index_header, compiled_concepts, compiled_edges, compile_report, latest_output, feedback, feedback_stream, last_questions, maintain_counts, maintain_suggestions,
         query_improvements, enrich_run, enrich_summary, enrichment_prompts, review_queue, idea_neighbours, text_functions,
     )
 }

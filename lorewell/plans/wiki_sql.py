@@ -67,7 +67,7 @@ wiki AS (
 wiki_rows AS (SELECT *, replace(article_key, '/', '__') || '__' || block_type || '__0__'
   || substr(sha1(article_key || '|' || block_type || '|0|' || text), 1, 16) AS block_id FROM wiki WHERE trim(text) <> '')
 """
-_ASKED = "asked AS (SELECT doc_id AS query_id, string_split(coalesce(text, ''), chr(10))[1] AS text FROM documents WHERE doc_id % 20 = 0)"
+_ASKED = base._ASKED
 _HITS = f"""
 words AS (SELECT slug, memory, unnest({base._TOKENS.format("title || ' ' || array_to_string(hints, ' ') || ' ' || substr(definition, 1, 200)")}) AS token
   FROM topics WHERE status = 'stable'),
@@ -75,7 +75,7 @@ asked_words AS (SELECT query_id, unnest({base._TOKENS.format("text")}) AS token
 by_words AS (SELECT query_id, slug, round(count(*) + 2 * any_value(memory), 6) AS score FROM words JOIN asked_words USING (token) GROUP BY ALL),
 hits AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS int) AS rank FROM by_words QUALIFY rank <= 3)
 """
-_ASKED_KEYWORD = base._KEYWORD.replace("SELECT item_id AS query_id", "SELECT query_id").replace("FROM benchmark", "FROM asked")
+_ASKED_KEYWORD = base._ASKED_KEYWORD
 _RETRIEVED = f"""{_ASKED}, {_TOPICS}, {_HITS}, {_ASKED_KEYWORD},
 cited AS (SELECT DISTINCT query_id, unnest(sources) AS article_key FROM hits JOIN topics USING (slug)),
 both_ AS (SELECT query_id, 0 AS l, slug AS name, 0 AS ordinal, 'wiki_concept' AS block_type, rank FROM hits
@@ -231,10 +231,50 @@ ORACLE_SQL = {
         || '-' || lpad(cast(doc_id % 28 + 1 AS varchar), 2, '0') END AS day, source || chr(10) || chr(10) || ' a: ' || lang AS clean,
         lower(source || '_a_' || lang) AS query_slug, lower(source || '_a_' || lang) AS output_slug FROM documents""",
 }
+# concepts by vector where a question has some, else by words; blocks by vector, without the concepts' sources
+_BY_MODES = f"""{_ASKED}, {_TOPICS}, {_HITS.replace("hits AS", "word_hits AS")}, {_ASKED_KEYWORD},
+pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_MATH} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+concept_near AS (SELECT p.query_id, p.id, t.slug, t.memory, p.score FROM pairs p JOIN topics t
+  ON t.k = p.id // 25 AND p.id % 25 = 0 AND t.status = 'stable' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 12),
+vector_hits AS (SELECT query_id, slug, cast(row_number() OVER (PARTITION BY query_id ORDER BY round(0.5::double * score + 0.5::double * memory, 6) DESC, slug)
+  AS int) AS rank FROM concept_near QUALIFY rank <= 3),
+hits AS (SELECT * FROM vector_hits UNION ALL
+  SELECT query_id, slug, rank FROM word_hits ANTI JOIN vector_hits USING (query_id)),
+cited AS (SELECT DISTINCT query_id, unnest(sources) AS article_key FROM hits JOIN topics USING (slug)),
+indexed AS (SELECT * FROM pairs LEFT JOIN blocks ON id % 25 <> 0 AND article_key = 'raw/' || id AND ordinal = id % 3
+  WHERE block_type IS NOT NULL OR (id % 25 = 0 AND id // 25 IN (SELECT k FROM topics))),
+block_near AS (SELECT * FROM indexed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 24),
+vector AS (SELECT query_id, article_key, ordinal, block_type, cast(row_number() OVER (PARTITION BY query_id ORDER BY {base._RANK} DESC, article_key, ordinal)
+  AS int) AS rank FROM block_near WHERE block_type IS NOT NULL QUALIFY rank <= 16),
+near_ AS (SELECT * FROM vector ANTI JOIN cited USING (query_id, article_key)),
+fused AS (SELECT query_id, article_key, ordinal, block_type, round(sum(1.0::double / (60 + rank)), 9) AS score FROM (
+  SELECT query_id, article_key, ordinal, block_type, rank FROM keyword SEMI JOIN near_ USING (query_id) UNION ALL SELECT * FROM near_) GROUP BY ALL),
+hybrid AS (SELECT query_id, article_key, ordinal, block_type, cast(row_number() OVER (PARTITION BY query_id ORDER BY {base._RANK} DESC, article_key, ordinal)
+  AS int) AS rank FROM fused QUALIFY rank <= 8)
+"""
+
+
+def _by_mode(mode: str, main: str) -> str:
+    return f"""WITH {_BY_MODES},
+        listed AS (SELECT *, '{mode}' AS mode FROM {main} UNION ALL
+          SELECT query_id, article_key, ordinal, block_type, rank, 'keyword' FROM keyword ANTI JOIN near_ USING (query_id)),
+        both_ AS (SELECT query_id, 0 AS l, slug AS name, 0 AS ordinal, 'wiki_concept' AS block_type, rank, NULL AS mode FROM hits
+          UNION ALL SELECT query_id, 1, article_key, ordinal, block_type, rank, mode FROM listed),
+        placed AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY l, rank) AS int) AS place,
+          coalesce(max(mode) OVER (PARTITION BY query_id), 'keyword') AS resolved FROM both_)
+        SELECT query_id, place, CASE l WHEN 0 THEN 'concept' ELSE 'article' END AS layer, name, ordinal, block_type, resolved AS mode,
+          CASE WHEN resolved <> '{mode}' THEN '{mode} retrieval returned no results; fell back to keyword' ELSE '' END AS warning
+        FROM placed WHERE place <= 8 AND query_id IN (SELECT query_id FROM asked)"""
+
+
+ORACLE_SQL |= {"retrieve_wiki_vector": _by_mode("vector", "near_"), "retrieve_wiki_hybrid": _by_mode("hybrid", "hybrid")}
 # the same results by stores that are written in several runs
 ORACLE_SQL |= {
     "stored_index": ORACLE_SQL["index_run"],
     "stored_manifest": ORACLE_SQL["index_manifest"],
     "feedback_stream": ORACLE_SQL["feedback"],
     "last_questions": ORACLE_SQL["query_improvements"],
+    "compiled_edges": ORACLE_SQL["compiled_concepts"],
+    "retrieve_postings": base.ORACLE_SQL["retrieve_keyword"],
+    "retrieve_vector_cells": base.ORACLE_SQL["retrieve_vector"],
 }

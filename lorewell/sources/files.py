@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.sources import scratch
+
 #: Version that state and manifest carry; other versions read as empty.
 STATE_VERSION = "1"
 SIDECAR = (
@@ -113,8 +115,22 @@ def read_state(spark: SparkSession, path: str, schema: str, version: str = STATE
 
 
 def write_articles(articles: DataFrame, path: str) -> None:
-    """The article table in folders by status and content type, so that readers skip what they don't ask for."""
-    articles.write.mode("overwrite").partitionBy("status", "content_type").parquet(path)
+    """Add new articles to the table at ``path``, in folders by status and content type, so that readers skip what they don't ask for.
+
+    Articles that are there stay.  A key that is there already is not written
+    again, so a run that is repeated adds nothing; of rows that share a key one is written.
+    """
+    spark = articles.sparkSession
+    known = read_or_empty(spark, lambda: spark.read.parquet(path).select("article_key"), "article_key string")
+    fresh = articles.dropDuplicates(["article_key"]).join(known, "article_key", "left_anti")
+    fresh = scratch.kept(fresh)  # the table can't be read while it is written
+    fresh.write.mode("append").partitionBy("status", "content_type").parquet(path)
+
+
+def replace_articles(articles: DataFrame, path: str) -> None:
+    """Write articles anew; of the table at ``path`` only the folders that they fall into are replaced."""
+    fresh = scratch.kept(articles)
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status", "content_type").parquet(path)
 
 
 def write_failures(failures: DataFrame, path: str) -> None:
@@ -128,5 +144,11 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def append_query_log(log: DataFrame, path: str) -> None:
-    """Rows of answered queries, in folders by their date."""
-    log.write.mode("append").partitionBy("date").parquet(path)
+    """Rows of answered queries, in folders by their date; a row that is in its date's folder already is not written again."""
+    spark = log.sparkSession
+    days = [r.date for r in log.select("date").distinct().collect()]  # of one run
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
+    known = read_or_empty(spark, lambda: spark.read.schema(schema).parquet(path), schema).where(F.col("date").isin(days))
+    row = F.xxhash64(*[F.to_json(F.struct(c)) for c in log.columns])
+    fresh = log.dropDuplicates().withColumn("_row", row).join(known.select(row.alias("_row")), "_row", "left_anti").drop("_row")
+    scratch.kept(fresh).write.mode("append").partitionBy("date").parquet(path)

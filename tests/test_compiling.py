@@ -89,3 +89,53 @@ def test_scores_of_ideas(spark):
     assert {r.idea_id: r.quality for r in I.composite(t, judged).collect()} == {1: 0.65, 2: 0.35, 3: 0.47}
     matches = spark.createDataFrame([(1, 7, 0.9), (1, 6, 0.9), (2, 5, 0.7)], "idea_id long, id long, score double")
     assert {r.idea_id: (r.novel, r.best_id) for r in I.novelty(ideas, matches).collect()} == {1: (False, 6), 2: (True, None), 3: (True, None)}
+
+
+def test_a_concept_that_all_articles_feed_compiles_with_bounded_rows(spark, monkeypatch):
+    """With an edge table: the same concepts as with lists, and no row of more than a chunk."""
+    from pyspark.sql import functions as F
+
+    from lorewell.operators import edges as D
+    from lorewell.operators import retrieval as R
+    from lorewell.sources import scratch
+
+    monkeypatch.setattr(D, "CHUNK", 50)
+    n = 730
+    notes = spark.range(n).select(
+        F.format_string("raw/%04d", "id").alias("article_key"), F.col("id").cast("string").alias("hash"), F.lit("t").alias("title"),
+        F.lit("reviewed").alias("status"), F.lit("").alias("summary"), F.lit("x").alias("content_type"), F.lit("m").alias("main_content"),
+        F.array().cast("array<string>").alias("idea_blocks"),
+    )
+    schema = "slug string, title string, status string, aliases array<string>, sources array<string>, source_basenames array<string>, " \
+        "compile_version int, synthesis string, definition string, last_compiled string, key_idea_blocks array<string>, " \
+        "variants array<string>, failure_modes array<string>, transfer_targets array<string>, content_types array<string>"
+    row = lambda slug, sources: (slug, slug, "stable", [], sources, sources, 0, "", "", "", [], [], [], [], [])
+    concepts = spark.createDataFrame([row("hot", ["raw/9999"]), row("cold", ["raw/0001"]), row("still", ["raw/0002", "raw/0003"])], schema)
+    answer = F.when(F.col("article_key") == "raw/0005", '{"existing_concepts": ["hot", "cold"], "proposed_new_concepts": [{"slug": "new"}]}')
+    answer = answer.otherwise('{"existing_concepts": ["hot"]}').alias("raw")
+
+    def compiled(edges=None):
+        none = lambda s: spark.createDataFrame([], s)
+        return K.compile_job(
+            notes, concepts, none("article_key string"), none("path string, content_hash string, feeds_concepts array<string>"),
+            none("slug string, conflicts int"), concepts.limit(0), lambda c: c.select("article_key", answer),
+            lambda p: p.select("slug").distinct().select("slug", F.lit("s").alias("synthesis"), F.lit("").alias("definition"), F.lit(None).cast("string").alias("error")),
+            scratch.kept, "2026-01-01", edges=edges,
+        )
+
+    lists = {r.slug: r for r in compiled().concepts.collect()}
+    out = compiled(D.from_lists(concepts, scratch.kept))
+    rows = out.edges.collect()
+    assert max(len(r.articles) for r in rows) == 50 and len({(r.slug, r.chunk) for r in rows}) == len(rows)
+    listed = {}
+    for r in sorted(rows, key=lambda r: (r.slug, r.chunk)):
+        listed.setdefault(r.slug, []).extend(r.articles)
+    assert listed == {s: r.sources for s, r in lists.items()} and len(listed["hot"]) == n + 1
+    got = {r.slug: r for r in out.concepts.collect()}
+    assert {s: (r.status, r.compile_version, r.source_count) for s, r in got.items()} == {s: (r.status, r.compile_version, len(r.sources)) for s, r in lists.items()}
+    assert {r.slug: r.source_count for r in out.concept_state.collect()} == {s: len(r.sources) for s, r in lists.items()}
+    assert D.first_sources(D.placed(D.rows_of(out.edges), scratch.kept), 7).where("slug = 'hot'").first().sources == listed["hot"][:7]
+    hits = spark.createDataFrame([(1, "hot")], "query_id long, slug string")
+    found = spark.createDataFrame([(1, "raw/0100"), (1, "elsewhere"), (2, "raw/0100")], "query_id long, article_key string")
+    kept = R.exclude_cited(found, hits, D.rows_of(out.edges)).collect()
+    assert sorted(map(tuple, kept)) == [(1, "elsewhere"), (2, "raw/0100")]
