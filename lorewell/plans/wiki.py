@@ -17,6 +17,7 @@ from lorewell.operators import enrichment as A
 from lorewell.operators import ideas as I
 from lorewell.operators import indexing as X
 from lorewell.operators import ingest as G
+from lorewell.operators import lint_changes as H
 from lorewell.operators import linting as L
 from lorewell.operators import maintenance as M
 from lorewell.operators import notes as N
@@ -236,6 +237,20 @@ def lint_all(spark, sf_dir):
     return _issues(spark, sf_dir)[0]
 
 
+def lint_changed(spark, sf_dir):
+    """The same table by a run over an older wiki and one over what changed since."""
+    t, s = scratch.kept(V.topics(spark, sf_dir)), V.topic_summaries(spark, sf_dir)
+    articles = V.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("article_key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")
+    )
+    k = F.substring_index("slug", "-", -1).cast("long")
+    older = t.where(k % 11 != 3).withColumn("status", F.when(k % 7 == 1, "deprecated").otherwise(F.col("status")))
+    state = V.source_state(spark, sf_dir)
+    store = Store(spark, _new_folder(spark), H.STORED)
+    H.lint_changes(store, W.render_concept_pages(older), W.render_source_pages(s.where("name % 10 <> 1")), state, articles.limit(0))
+    return H.lint_changes(store, W.render_concept_pages(t), W.render_source_pages(s), state, articles)
+
+
 def lint_sample(spark, sf_dir):
     return L.issue_sample(_issues(spark, sf_dir)[0])
 
@@ -416,7 +431,7 @@ QUERIES = {
     for f in (
         topic_state, article_notes, article_note_blocks, wiki_blocks, index_run, index_manifest, index_summary, stored_index, stored_manifest, concepts_by_words,
         concepts_by_vector, retrieve_wiki_first, retrieve_wiki_vector, retrieve_wiki_hybrid, retrieve_postings,
-        retrieve_vector_cells, contexts, lint_all, lint_sample, fix_worklist, topic_pages_again, index_groups,
+        retrieve_vector_cells, contexts, lint_all, lint_changed, lint_sample, fix_worklist, topic_pages_again, index_groups,
         index_header, compiled_concepts, compiled_edges, compile_report, latest_output, feedback, feedback_stream, last_questions, maintain_counts, maintain_suggestions,
         query_improvements, enrich_run, enrich_summary, enrichment_prompts, review_queue, idea_neighbours, text_functions,
     )

@@ -274,6 +274,7 @@ ORACLE_SQL |= {
     "stored_manifest": ORACLE_SQL["index_manifest"],
     "feedback_stream": ORACLE_SQL["feedback"],
     "last_questions": ORACLE_SQL["query_improvements"],
+    "lint_changed": ORACLE_SQL["lint_all"],
     "compiled_edges": ORACLE_SQL["compiled_concepts"],
     "retrieve_postings": base.ORACLE_SQL["retrieve_keyword"],
     "retrieve_vector_cells": base.ORACLE_SQL["retrieve_vector"],
