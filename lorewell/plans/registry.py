@@ -178,8 +178,9 @@ def concept_state(spark, sf_dir):
 
 def citations(spark, sf_dir):
     c = V.table(spark, sf_dir, "conversations").where("role = 'user'")
-    raw = F.concat(F.lit("kb/raw/"), ((F.col("conv_id") * 3 + F.col("turn")) % 150).cast("string"), F.lit("/article.md"))
-    page = F.concat(F.lit("wiki/concepts/concept-src"), (F.col("turn") % 30).cast("string"), F.lit(".md"))
+    raw = F.concat(F.lit("kb/raw/"), (F.col("conv_id") * 3 + F.col("turn")).cast("string"), F.lit("/article.md"))
+    name = V.concept_of(F.col("conv_id") * 3, F.concat(F.lit("src"), (F.col("turn") % 30).cast("string")))
+    page = F.concat(F.lit("wiki/concepts/"), name, F.lit(".md"))
     paths = F.array(raw, page, F.lit("outputs/x.md"))
     got = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.explode(paths).alias("path"))
     s = _summaries(spark, sf_dir).select(F.substring_index("article_key", "/", -1).alias("name"), "feeds_concepts")
@@ -421,9 +422,10 @@ judged AS (SELECT output_id || '#' || place AS idea_id,
 """
 _CONCEPTS = """
 concepts AS (
-  SELECT 'concept-' || source AS slug, CASE WHEN low % 3 = 2 THEN 'proposed' ELSE 'stable' END AS status,
+  SELECT slug, CASE WHEN low % 3 = 2 THEN 'proposed' ELSE 'stable' END AS status, low % 3 AS loose,
     'alias ' || (low % 4) AS alias, low % 2 = 0 AS sourced, high % 2 AS compile_version, n % 2 = 0 AS filled
-  FROM (SELECT source, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM documents GROUP BY source))
+  FROM (SELECT 'concept-' || source || '-' || (doc_id // 200) AS slug, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high
+    FROM documents GROUP BY ALL))
 """
 _LINT = f"""{_CONCEPTS},
 issues AS (
@@ -435,18 +437,19 @@ issues AS (
   WHERE status = 'stable' AND NOT sourced AND compile_version > 0
   UNION ALL SELECT 'warning', 'schema_empty_synthesis', slug, 'empty' FROM concepts
   WHERE status = 'stable' AND compile_version > 0 AND NOT filled
-  UNION ALL SELECT 'warning', 'unsupported_bullets', slug, 'second' FROM concepts WHERE status = 'stable')
+  UNION ALL SELECT 'warning', 'unsupported_bullets', slug, 'second' FROM concepts, unnest(range(loose)) WHERE status = 'stable')
 """
 _LOG = """
 cited AS (
   SELECT conv_id * 1000 + turn AS query_id,
-    unnest(list_distinct(['concept-src' || ((conv_id + turn) % 20), 'concept-src' || ((conv_id * 7 + turn) % 20)])) AS slug
+    unnest(list_distinct(['concept-src' || ((conv_id + turn) % 20) || '-' || (conv_id * 3 // 200),
+      'concept-src' || ((conv_id * 7 + turn) % 20) || '-' || (conv_id * 3 // 200)])) AS slug
   FROM conversations WHERE role = 'user')
 """
 _ASSIGNED = """
 assigned AS (
   SELECT *, 'raw/' || doc_id AS article_key, doc_id % 11 = 0 AS bad,
-    CASE WHEN doc_id % 11 = 0 OR doc_id % 3 = 0 THEN '' ELSE 'concept-' || source END AS existing,
+    CASE WHEN doc_id % 11 = 0 OR doc_id % 3 = 0 THEN '' ELSE 'concept-' || source || '-' || (doc_id // 200) END AS existing,
     CASE WHEN doc_id % 11 = 0 OR doc_id % 4 <> 0 THEN '' ELSE 'topic-' || (doc_id % 17) END AS topic
   FROM documents)
 """
@@ -455,7 +458,7 @@ fed AS (SELECT existing AS slug, article_key, doc_id FROM assigned WHERE existin
   UNION ALL SELECT topic, article_key, doc_id FROM assigned WHERE topic <> ''),
 hit AS (SELECT DISTINCT slug FROM fed WHERE (doc_id % 5 = 0 OR doc_id % 7 = 0) AND slug IN (SELECT slug FROM concepts)),
 every_ AS (SELECT slug, article_key, true AS now FROM fed UNION ALL
-  SELECT 'concept-' || source, cast(min(doc_id) AS varchar), false FROM documents GROUP BY source HAVING min(doc_id) % 2 = 0),
+  SELECT 'concept-' || source || '-' || (doc_id // 200), cast(min(doc_id) AS varchar), false FROM documents GROUP BY 1 HAVING min(doc_id) % 2 = 0),
 sourced AS (SELECT slug, article_key, bool_or(now) AS current FROM every_ WHERE slug IN (SELECT slug FROM hit) GROUP BY ALL)
 """
 _SUMMARIES = f"""{_NOTES}, {_ASSIGNED},
@@ -485,14 +488,14 @@ gate AS (SELECT *, page_id % 5 = 0 OR url IN (SELECT url FROM pages WHERE page_i
   url IN (SELECT url FROM pages WHERE page_id % 7 = 0) AS known FROM pages)
 """
 _MATH_SQL = r"(?s)<annotation\s+encoding=[\"'']application/x-tex[\"'']>.*?</annotation>|<script\s+type=[\"'']math/tex(; mode=display)?[\"'']>.*?</script>|\$[^$\n]+?\$|\$\$[^$]+?\$\$|\\\(.*?\\\)|\\\[.*?\\\]"
-_PAGES = f"""{_CONCEPTS}, low AS (SELECT 'concept-' || source AS slug, min(doc_id) AS low FROM documents GROUP BY source),
-written AS (SELECT c.*, low, 'wiki/concepts/' || slug || '.md' AS page_path, slug LIKE '%3' AS cut,
+_PAGES = f"""{_CONCEPTS}, low AS (SELECT 'concept-' || source || '-' || (doc_id // 200) AS slug, min(doc_id) AS low FROM documents GROUP BY 1),
+written AS (SELECT c.*, low, 'wiki/concepts/' || slug || '.md' AS page_path, slug LIKE '%3-%' AS cut,
   CASE WHEN filled THEN 'text' ELSE '_pending_' END AS synthesis FROM concepts c JOIN low USING (slug)),
 pages AS (SELECT page_path, 'title: ' || upper(slug) || chr(10) || 'slug: ' || slug || chr(10) || 'aliases: [Alias ' || (low % 4) || ']'
   || chr(10) || 'status: ' || status || chr(10) || 'related_concepts: []' || chr(10) || 'sources:'
   || CASE WHEN sourced THEN chr(10) || '  - ' || low ELSE ' []' END || chr(10) || 'content_types: []' || chr(10) || 'last_compiled: ' || chr(10)
   || 'compile_version: ' || compile_version || chr(10) || '---' || chr(10) || chr(10) || array_to_string(['# ' || upper(slug),
-  '## Synthesis', synthesis, '## Definition', '_pending_', '## Key Idea Blocks', '- first [' || low || ']' || chr(10) || '- second',
+  '## Synthesis', synthesis, '## Definition', '_pending_', '## Key Idea Blocks', '- first [' || low || ']' || repeat(chr(10) || '- second', loose),
   '## Variants & Implementations', '- _none_', '## Common Combinations', '- _none_', '## Transfer Targets', '- _none_',
   CASE WHEN compile_version = 0 THEN '## Other' ELSE '## Failure Modes' END, '- _none_', '## Open Questions', '- _none_',
   '## Sources', '- _none_'], chr(10) || chr(10)) || chr(10) AS text, cut FROM written)
@@ -502,7 +505,7 @@ ORACLE_SQL = {
     "concept_page_fields": f"""WITH {_PAGES} SELECT page_path, CASE WHEN cut THEN '' ELSE upper(slug) END AS title,
         CASE WHEN cut THEN '' ELSE slug END AS slug, CASE WHEN cut THEN 'proposed' ELSE status END AS status,
         CASE WHEN cut THEN '' ELSE 'Alias ' || (low % 4) END AS aliases,
-        cast(CASE WHEN cut THEN 0 ELSE compile_version END AS int) AS compile_version, synthesis, 2 AS n_ideas,
+        cast(CASE WHEN cut THEN 0 ELSE compile_version END AS int) AS compile_version, synthesis, cast(1 + loose AS int) AS n_ideas,
         CASE WHEN cut THEN 'invalid slug' ELSE '' END AS error FROM written""",
     "page_lint": f"""WITH {_PAGES} SELECT 'error' AS severity, 'malformed_concept' AS kind, page_path, 'invalid slug' AS message
         FROM written WHERE cut
@@ -588,7 +591,7 @@ ORACLE_SQL = {
           FROM both_ GROUP BY query_id, article_key, ordinal, block_type)
         SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY {_RANK} DESC, article_key, ordinal) AS int)
         AS rank FROM fused QUALIFY rank <= 8""",
-    "concept_confidence": f"WITH {_CONCEPTS} SELECT slug, 0.5::double AS confidence FROM concepts",
+    "concept_confidence": f"WITH {_CONCEPTS} SELECT slug, 1 / (1 + loose)::double AS confidence FROM concepts",
     "duplicate_aliases": f"""WITH {_CONCEPTS} SELECT alias, string_agg(slug, ',' ORDER BY slug) AS slugs FROM concepts
         WHERE status = 'stable' GROUP BY alias HAVING count(DISTINCT slug) > 1""",
     "lint": f"WITH {_LINT} SELECT * FROM issues",
@@ -619,8 +622,8 @@ ORACLE_SQL = {
         round(exp(-ln(2::double) * days / 60), 6) AS freshness, 'Alias' || substr(alias, 6) AS hints,
         cast(compile_version AS int) AS conflicts FROM c""",
     "citations": f"""WITH {_SUMMARIES}, {_CONCEPTS},
-        asked AS (SELECT conv_id * 1000 + turn AS query_id, cast((conv_id * 3 + turn) % 150 AS varchar) AS name,
-          'concept-src' || (turn % 30) AS page FROM conversations WHERE role = 'user'),
+        asked AS (SELECT conv_id * 1000 + turn AS query_id, cast(conv_id * 3 + turn AS varchar) AS name,
+          'concept-src' || (turn % 30) || '-' || (conv_id * 3 // 200) AS page FROM conversations WHERE role = 'user'),
         fed AS (SELECT query_id, unnest([existing, topic]) AS name FROM asked a JOIN summaries s ON s.article_key = 'raw/' || a.name)
         SELECT query_id, 'source' AS kind, name FROM asked
         UNION SELECT query_id, 'concept', name FROM fed WHERE name <> ''

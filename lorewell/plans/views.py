@@ -82,25 +82,35 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Neighbouring documents that share their sources' concepts.
+SPAN = 200
+
+
+def concept_of(doc_id, source) -> F.Column:
+    """The concept of a document: one for each source and ``SPAN`` neighbouring documents."""
+    return F.concat(F.lit("concept-"), source, F.lit("-"), F.floor(doc_id / SPAN).cast("string"))
+
+
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A concept for each source of documents, with two fixed bullets; :func:`topics` has concepts with contents that grow with the table."""
-    d = table(spark, sf_dir, "documents")
+    """A concept for each source and span of documents, with a bullet of its first document and none to two without a source."""
+    d = table(spark, sf_dir, "documents").withColumn("slug", concept_of(F.col("doc_id"), F.col("source")))
     return (
-        d.groupBy("source")
+        d.groupBy("slug")
         .agg(
             F.count("*").alias("n"),
             F.min("doc_id").alias("low"),
             F.max("doc_id").alias("high"),
         )
         .select(
-            F.concat(F.lit("concept-"), F.col("source")).alias("slug"),
+            "slug",
             F.when(F.col("low") % 3 == 2, "proposed").otherwise("stable").alias("status"),
             F.array(F.concat(F.lit("Alias "), (F.col("low") % 4).cast("string"))).alias("aliases"),
             F.when(F.col("low") % 2 == 0, F.array(F.col("low").cast("string")))
             .otherwise(F.array().cast("array<string>"))
             .alias("sources"),
-            F.array(
-                F.concat(F.lit("first ["), F.col("low").cast("string"), F.lit("]")), F.lit("second")
+            F.concat(
+                F.array(F.concat(F.lit("first ["), F.col("low").cast("string"), F.lit("]"))),
+                F.array_repeat(F.lit("second"), (F.col("low") % 3).cast("int")),
             ).alias("key_idea_blocks"),
             (F.col("high") % 2).cast("int").alias("compile_version"),
             F.when(F.col("n") % 2 == 0, "text").otherwise("_pending_").alias("synthesis"),
@@ -111,7 +121,8 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as queries; each cites two concepts chosen by its conversation."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    cite = lambda k: F.concat(F.lit("concept-src"), ((F.col("conv_id") * k + F.col("turn")) % 20).cast("string"))
+    of = lambda k: F.concat(F.lit("src"), ((F.col("conv_id") * k + F.col("turn")) % 20).cast("string"))
+    cite = lambda k: concept_of(F.col("conv_id") * 3, of(k))
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         F.array_distinct(F.array(cite(1), cite(7))).alias("cited_concepts"),
@@ -131,7 +142,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.to_json(
         F.struct(
             F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>"))
-            .otherwise(F.array(F.concat(F.lit("concept-"), F.col("source")), F.lit(" ")))
+            .otherwise(F.array(concept_of(F.col("doc_id"), F.col("source")), F.lit(" ")))
             .alias("existing_concepts"),
             F.when(F.col("doc_id") % 4 == 0, F.array(proposal)).alias("proposed_new_concepts"),
         )
@@ -221,7 +232,7 @@ def concept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = wiki_pages.render_concept_pages(both)
     lost = F.when(F.col("content").contains("compile_version: 0"), F.regexp_replace("content", "## Failure Modes", "## Other"))
     lost = lost.otherwise(F.col("content"))
-    return pages.withColumn("content", F.when(F.col("page_path").endswith("3.md"), F.substring(lost, 5, 1_000_000)).otherwise(lost))
+    return pages.withColumn("content", F.when(F.col("page_path").rlike(r"3-\d+\.md$"), F.substring(lost, 5, 1_000_000)).otherwise(lost))
 
 
 #: Documents of one topic.
