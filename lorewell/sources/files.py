@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.sources import scratch
+from lorewell.sources import folders, scratch
 
 #: Version that state and manifest carry; other versions read as empty.
 STATE_VERSION = "1"
@@ -42,15 +42,36 @@ def _whole_files(spark: SparkSession, pattern: str, name: str) -> DataFrame:
     return read_or_empty(spark, read, f"article_key string, {name} string")
 
 
+def _sidecar(raw: F.Column) -> F.Column:
+    return F.from_json(raw, SIDECAR).alias("sidecar")
+
+
 def read_articles(spark: SparkSession, root: str) -> DataFrame:
-    """(article_key, content, hash) of every ``raw/*/article.md``; a missing root gives no rows, nor does a file of no bytes."""
-    return _whole_files(spark, f"{root}/raw/*/article.md", "content").withColumn("hash", F.sha2("content", 256))
+    """(article_key, content, hash) of every ``raw/*/article.md``; a missing root gives no rows.
+
+    A path that only Spark can open is read as binary files, which leave out files of no bytes.
+    """
+    if folders.opened(root):
+        found = folders.read_folders(spark, root).select("article_key", "content")
+    else:
+        found = _whole_files(spark, f"{root}/raw/*/article.md", "content")
+    return found.withColumn("hash", F.sha2("content", 256))
 
 
 def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """(article_key, sidecar) of every ``raw/*/source.json``; text that is no JSON object gives a null sidecar."""
     raw = _whole_files(spark, f"{root}/raw/*/source.json", "raw")
-    return raw.select("article_key", F.from_json("raw", SIDECAR).alias("sidecar"))
+    return raw.select("article_key", _sidecar(F.col("raw")))
+
+
+def read_articles_with_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """Articles and their sidecar's fields by one scan of the folders; the fields are null without a readable sidecar."""
+    if not folders.opened(root):
+        return with_sidecars(read_articles(spark, root), read_sidecars(spark, root))
+    found = folders.read_folders(spark, root)
+    return found.select("article_key", "content", F.sha2("content", 256).alias("hash"), _sidecar(F.col("sidecar"))).select(
+        "article_key", "content", "hash", "sidecar.*"
+    )
 
 
 def with_sidecars(articles: DataFrame, sidecars: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def test_files(spark, tmp_path):
         (tmp_path / "raw" / k / "article.md").write_text(text)
     (tmp_path / "raw/a1/source.json").write_text('{"source_url": "u", "llm_enriched": true}')
     got = files.with_sidecars(files.read_articles(spark, str(tmp_path)), files.read_sidecars(spark, str(tmp_path)))
-    assert sorted((r.article_key, r.content, r.source_url) for r in got.collect()) == [("a1", "---\nx: 1\n---\nbody", "u"), ("a2", "\n", None)]
+    assert sorted((r.article_key, r.content, r.source_url) for r in got.collect()) == [("a1", "---\nx: 1\n---\nbody", "u"), ("a2", "\n", None), ("a3", "", None)]
     state = {"schema_version": "1", "sources": {"p": {"content_hash": "h", "feeds_concepts": ["a", ""]}, "bad": 3}, "concepts": {"c": {"importance": 0.5}}}
     texts = spark.createDataFrame([(json.dumps(state),), ("{",), (None,), ('{"schema_version": "0", "sources": {"q": {}}}',)], "value string")
     sources, concepts = files.state_from_json(texts)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 from lorewell.operators import compiling as K
+from lorewell.operators import extraction as E
 from lorewell.operators import ideas as I
 from lorewell.operators import ingest as G
 from lorewell.operators import notes as N
 from lorewell.operators import outputs as O
-from lorewell.sources import files
+from lorewell.sources import files, folders
 
 
 def test_statuses_are_edited_in_texts(spark):
@@ -133,3 +134,37 @@ def test_errors_statuses_and_the_index_page(spark):
         "slug string, title string, status string, definition string",
     )
     assert sorted(tuple(r) for r in K.concept_index(concepts).collect()) == [("s2", "B", "d" * 120), ("s4", "D", "")]
+
+
+def test_article_folders_by_one_scan(spark, tmp_path):
+    for name, article, sidecar in [
+        ("a", "text ü", '{"source_url": "http://x", "llm_enriched": true, "image_urls": ["i"]}'), ("empty", "", None), ("bad", "b", "no json"),
+        ("none", None, "{}"), ("zero", "z", ""),
+    ]:
+        folder = tmp_path / "raw" / name
+        folder.mkdir(parents=True)
+        if article is not None:
+            (folder / "article.md").write_text(article)
+        if sidecar is not None:
+            (folder / "source.json").write_text(sidecar)
+    (tmp_path / "raw" / "file.txt").write_text("not a folder")
+    (tmp_path / "raw" / "bytes").mkdir()
+    (tmp_path / "raw" / "bytes" / "article.md").write_bytes(b"\xff ok")
+    got = {r.article_key: r for r in files.read_articles_with_sidecars(spark, str(tmp_path)).collect()}
+    assert {k: r.content for k, r in got.items()} == {"a": "text ü", "empty": "", "bad": "b", "zero": "z", "bytes": "\ufffd ok"}
+    assert (got["a"].source_url, got["a"].llm_enriched, got["a"].image_urls) == ("http://x", True, ["i"])
+    assert all(got[k].source_url is None for k in ("empty", "bad", "zero", "bytes"))
+    assert {r.article_key for r in files.read_articles(spark, f"file://{tmp_path}").collect()} == set(got)
+    assert folders.read_folders(spark, str(tmp_path), folders=2).rdd.getNumPartitions() == 3
+    assert files.read_articles_with_sidecars(spark, str(tmp_path / "missing")).count() == 0
+    many = files.read_articles(spark, str(tmp_path)).where("content = ''").first()
+    assert many.hash == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_code_of_pdf_pages_is_fenced_from_where_it_is_code(spark):
+    prose = "  an indented line of prose\n  and another one\n  and a third\n"
+    code = "    x = f(1)\n\n    y = x + 2\n    return (y)\n"
+    rows = [(prose + code + "end", 1, ""), ("a\n    b = 1\n    c = 2\nd", 1, ""), ("", 0, None), (None, None, None)]
+    got = [r.text for r in E.postprocess_pdf_text(spark.createDataFrame(rows, "text string, page_count int, alt_text string")).collect()]
+    assert got[0].count("```") == 2 and got[0].index("```") > got[0].index("prose") and got[0].endswith("```\nend")
+    assert "```" not in got[1] and got[2:] == ["", ""]
