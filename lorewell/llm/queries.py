@@ -64,7 +64,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_quality.line_quality(table(spark, sf_dir, "documents"))
+    out = line_quality.line_quality(table(spark, sf_dir, "documents"), min_left=0.7)
     return out.withColumn("shared_lines", F.array_join("shared_lines", ","))
 
 

@@ -80,7 +80,7 @@ def test_lines_decide_a_verdict_that_the_base_rule_does_not(spark):
     shared = "\n".join(" ".join(f"menu{i}item{j}" for j in range(10)) for i in range(4))
     rows = [(k, own(k) + "\n" + shared, "host") for k in range(12)] + [(50, own(50), "host"), (51, own(51) + "\n" + shared, "other")]
     rows += [(60 + k, own(60 + k) + "\n" + shared.split("\n")[0], "host") for k in range(3)]
-    got = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    got = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_left=0.7).collect()}
     assert not any(r.base_failed for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == set(range(12))  # 40 of 100 words are the host's; 10 of 70 are not too many
     assert got[0].n_shared_words == 40 and got[60].n_shared_words == 10 and got[51].n_shared_words == 0
