@@ -293,3 +293,4 @@ def encoded(column, path: str, end_id: int, cache: int = CACHE):
         inside[at[1:] + np.arange(n)] = False
         out[inside] = ids
         yield a, b, out, at + np.arange(n + 1)
+    pa.default_memory_pool().release_unused()  # a worker lives on, and Arrow would keep what its batches took

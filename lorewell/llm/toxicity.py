@@ -130,9 +130,9 @@ def train(
     if not n_pos:
         return empty
     prior = min(0.9, n_pos / n)
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("n"))
     chosen = F.xxhash64("_id")
-    positive = known.where("y = 1").select("_id").join(ids, "_id").orderBy(chosen, "_id").limit(max_positive)
+    positive = known.where("y = 1").select("_id").join(ids, "_id").orderBy(chosen, "_id").limit(max_positive).select("_id", "n")
     unlabelled = ids.orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(max_unlabelled)
     sample = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
     rows = (
