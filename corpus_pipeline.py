@@ -80,7 +80,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are documents of their own.
     """
     vocabulary = tokens.default_vocabulary("byte_bpe_50k.json")
-    return packing.pack_documents(docs, vocabulary, end_id=2, size=1024, cache=300_000)
+    return packing.pack_documents(docs, vocabulary, end_id=2, size=1024, cache=100_000)
 
 
 STAGES = [
