@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lorewell.llm import html_text
@@ -101,3 +102,69 @@ def test_repeats_of_a_host(spark, monkeypatch, hot, tokens):
     got, want = texts(spark, rows), brute(rows)
     assert got == want
     assert menu not in got[1][0] and menu in got[102][0] and quote in got[3][0] and got[100][0] == rows[24][2].split("<p>")[2][:-4]
+
+
+def brute_articles(rows):
+    """Texts of pages that have articles, by plain loops over every host's articles."""
+    articles, out = {}, {}
+    for i, url, html in rows:
+        found = [x for z, x in html_text.blocks(html) if z == "article"]
+        articles.setdefault(url.split("/")[2], {}).setdefault(tuple(w for x in found for w in x.lower().split()), []).append((i, found))
+    for of_host in articles.values():
+        on = {}
+        for words in of_host:
+            for k in range(len(words) - html_text.RUN + 1):
+                on.setdefault(words[k : k + html_text.RUN], set()).add(words)
+        need = max(html_text.MIN_ARTICLES, len(of_host) / 2)
+        for words, pages in of_host.items():
+            hit = set()
+            for k in range(len(words) - html_text.RUN + 1):
+                if len(on[words[k : k + html_text.RUN]]) >= need:
+                    hit |= set(range(k, k + html_text.RUN))
+            for i, found in pages:
+                kept, gone, at = [], 0, 0
+                for x in found:
+                    n = len(x.split())
+                    boiler = sum(k in hit for k in range(at, at + n)) >= html_text.COVERED * n
+                    at, gone = at + n, gone + n * boiler
+                    kept += [] if boiler else [x]
+                out.setdefault(i, []).append("\n\n".join(found if gone > html_text.ARTICLE_SHARE * at else kept))
+    return out
+
+
+@pytest.mark.parametrize("part", [1_000_000, 1])
+def test_repeats_judge_articles(spark, monkeypatch, part):
+    monkeypatch.setattr(html_text, "PART_TOKENS", part)
+    rng = random.Random(7)
+    line = lambda n, of=400: " ".join(f"w{rng.randrange(of)}" for _ in range(n))
+    notice, copied = line(14), line(80)
+    rows = []
+    for i in range(40):
+        own = [f"<p>{line(rng.randrange(20, 60))}</p>" for _ in range(3)]
+        mine = f"<p>{line(2)} {notice}</p>"
+        rows += [
+            (i, f"http://most/{i}", f"<nav>{line(9)}</nav><article><h1>{line(3)}</h1>{own[0]}{mine * (i % 3 != 0)}{own[1]}{own[2]}</article>"),
+            (100 + i, f"http://few/{i}", f"<article>{own[1]}{own[2]}{mine * (i % 3 == 0)}{own[0]}</article>"),
+            (200 + i, f"http://copies/{i}", f"<article><p>{copied}</p>{own[0]}</article><footer>{notice}</footer>"),
+        ]
+    rows += [(300 + i, f"http://small/{i}", f"<article><p>{line(90)}</p><p>{notice}</p></article>") for i in range(9)]
+    rows += [(400 + i, "http://equal/", f"<article><p>{line(1, 1)} {copied}</p><p>{notice}</p></article>") for i in range(30)]
+    got, want = texts(spark, rows), brute_articles(rows)
+    assert got == want
+    has = lambda a: sum(notice in got[i][0] for i in range(a, a + 40) if i in got)
+    assert has(0) == 0 and has(100) == 14 and has(300) == 9 and has(400) == 30
+    assert all(copied in got[200 + i][0] for i in range(40))
+
+
+def test_often_strings():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 20):
+        articles = [rng.integers(0, 2, rng.integers(1, 60)).astype(np.int32) for _ in range(n)]
+        on = {}
+        for k, a in enumerate(articles):
+            for w in range(len(a) - html_text.RUN + 1):
+                on.setdefault(tuple(a[w : w + html_text.RUN].tolist()), set()).add(k)
+        want = [np.array(w, np.int32) for w, pages in on.items() if 2 * len(pages) >= n]
+        hashes = [html_text._string_hashes(w, np.array([0, html_text.RUN]))[0][0] for w in want]
+        assert sorted(html_text.often_strings(articles).tolist()) == sorted(hashes)
+    assert not len(html_text.often_strings([np.zeros(3, np.int32)]))
