@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
@@ -24,10 +25,15 @@ TYPE_BONUS = {
     "core_hypothesis": 0.15,
 }
 RANK_BONUS = {"idea_blocks": 0.04, "combination_hooks": 0.03, "transfer_targets": 0.03, "failure_modes": 0.02}
+_MOST_BONUS = max(v + RANK_BONUS.get(k, 0.0) for k, v in TYPE_BONUS.items())
 RRF_K = 60
 TOP_K, CONCEPT_TOP_K, FETCH_CONCEPTS, FETCH_BLOCKS, PER_ARTICLE = 8, 3, 4, 3, 3
-#: Queries that one pass over the index holds in a task, and those that are scored together.
+#: Queries that one pass over the index holds in a task, and those whose vectors are multiplied together.
 QUERY_BLOCK, QUERY_TILE = 20_000, 500
+#: Rows of the index, and about how many of their tokens, that are looked at together; a token of one row in so many is common.
+CHUNK_ROWS, CHUNK_TOKENS, COMMON = 1 << 14, 1 << 21, 16
+#: From so many queries on, one article in so many gives each query a first limit.
+MANY_QUERIES, FIRST_ARTICLES = 1000, 16
 #: Vectors of the index that are multiplied together.
 VECTOR_TILE = 1024
 
@@ -87,36 +93,81 @@ def _rank_keys(n: int, overlap: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 
 class _Asked:
-    """Tokens of some queries as a table from a token's hash to the queries that have it."""
+    """Tokens of some queries: all their hashes, and each query's places among these."""
 
     def __init__(self, ids: np.ndarray, tokens: list[list[int]]):
         self.ids = ids
         self.size = np.array([len(t) for t in tokens], np.int64)
         flat = np.concatenate([np.array(t, np.int64) for t in tokens] or [np.zeros(0, np.int64)])
-        owner = np.repeat(np.arange(len(tokens)), self.size)
-        order = np.lexsort((owner, flat))
-        self.keys, self.begin = np.unique(flat[order], return_index=True)
-        self.end = np.append(self.begin[1:], len(flat))
-        self.owner = owner[order]
-
-    def overlaps(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, rows that share a token with it, how many) over a batch with a list column ``tokens``."""
-        n, places = batch.num_rows, batch["tokens"].offsets.to_numpy()
+        self.keys, at = np.unique(flat, return_inverse=True)
+        self.end = np.cumsum(self.size)
+        self.codes = at.reshape(-1).astype(np.int32)
+
+    def tokens(self, q: int) -> np.ndarray:
+        return self.codes[self.end[q] - self.size[q] : self.end[q]]
+
+
+class _Chunk:
+    """Rows of a task by those of their tokens that some query has; tokens of many rows as a bit a row."""
+
+    def __init__(self, asked: _Asked, batch: pa.RecordBatch):
+        self.n, places = batch.num_rows, batch["tokens"].offsets.to_numpy()
         token = batch["tokens"].values.to_numpy()[places[0] : places[-1]]
-        row = np.repeat(np.arange(n), np.diff(places))
-        at = np.minimum(np.searchsorted(self.keys, token), max(len(self.keys) - 1, 0))
-        real = self.keys[at] == token if len(self.keys) else np.zeros(len(token), bool)
-        row, at = row[real], at[real]
-        times = self.end[at] - self.begin[at]
-        row = np.repeat(row, times)
-        query = self.owner[np.repeat(self.begin[at] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-        for q0 in range(0, len(self.ids), QUERY_TILE):
-            q1 = min(q0 + QUERY_TILE, len(self.ids))
-            mine = (query >= q0) & (query < q1)
-            shared = np.bincount((query[mine] - q0) * n + row[mine], minlength=(q1 - q0) * n).reshape(q1 - q0, n)
-            for q in np.flatnonzero(shared.any(1)).tolist():
-                hit = np.flatnonzero(shared[q])
-                yield q0 + q, hit, shared[q, hit]
+        row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(places))
+        code = np.minimum(np.searchsorted(asked.keys, token), max(len(asked.keys) - 1, 0))
+        real = asked.keys[code] == token if len(asked.keys) else np.zeros(len(token), bool)
+        row, code = row[real], code[real]
+        self.row = row[np.argsort(code, kind="stable")]
+        rows_of = np.bincount(code, minlength=len(asked.keys))
+        self.start = np.concatenate([[0], np.cumsum(rows_of)])
+        common = np.flatnonzero(rows_of * COMMON > self.n)
+        self.place = np.full(len(asked.keys), -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.has = np.zeros((len(common), self.n), np.uint8)
+        for k, c in enumerate(common.tolist()):
+            self.has[k, self.row[self.start[c] : self.start[c + 1]]] = 1
+
+    def overlaps(self, codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that share ``least`` of these tokens or more, how many)."""
+        place = self.place[codes]
+        common, rare = place[place >= 0], codes[place < 0]
+        kind = np.uint8 if len(common) < 256 else np.int64  # of the sums of bits
+        parts = [self.row[a:b] for a, b in zip(self.start[rare].tolist(), self.start[rare + 1].tolist(), strict=True) if b > a]
+        shared = np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
+        if least > len(common):  # a row without the rare ones can't have enough
+            hit = np.flatnonzero(shared >= least - len(common))
+            shared = shared[hit] + self.has[np.ix_(common, hit)].sum(0, dtype=kind)
+            good = shared >= least
+            return hit[good], shared[good]
+        if len(common):
+            shared = shared + self.has[common].sum(0, dtype=kind)
+        hit = np.flatnonzero(shared >= least)
+        return hit, shared[hit]
+
+
+def _chunks(batches) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, ``CHUNK_ROWS`` rows or about ``CHUNK_TOKENS`` tokens at a time."""
+    held: list[pa.RecordBatch] = []
+    n_rows = n_tokens = 0
+
+    def taken() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    for batch in batches:
+        places, begin = batch["tokens"].offsets.to_numpy(), 0
+        while begin < batch.num_rows:
+            # one row at least, whatever its size
+            end = int(np.searchsorted(places, places[begin] + CHUNK_TOKENS - n_tokens, side="right")) - 1
+            end = min(max(end, begin + (not held)), begin + CHUNK_ROWS - n_rows, batch.num_rows)
+            if end > begin:
+                held.append(batch.slice(begin, end - begin))
+                n_rows, n_tokens = n_rows + end - begin, n_tokens + int(places[end] - places[begin])
+            if end == begin or n_rows >= CHUNK_ROWS or n_tokens >= CHUNK_TOKENS:
+                yield taken()
+                held, n_rows, n_tokens = [], 0, 0
+            begin = end
+    if held:
+        yield taken()
 
 
 def _asked_blocks(queries: DataFrame):
@@ -126,79 +177,117 @@ def _asked_blocks(queries: DataFrame):
         yield queries.sparkSession.sparkContext.broadcast(asked)
 
 
-class _BestBlocks:
-    """The blocks of a task's whole run that can be among a query's best ``keep``: rank key, article, ordinal, type and overlap of each."""
-
-    def __init__(self, keep: int, per_article: int | None):
-        self.per_article = per_article
-        # each article that goes before a block has one block at least in the final list before it
-        self.most = keep * (per_article or 1)
-        self.key = np.zeros(0, np.int64)
-        self.article = np.zeros(0, object)
-        self.rest = np.zeros((3, 0), np.int64)  # ordinal, type, overlap
-        self.waiting: list[tuple] = []
-        self.n_waiting = 0
-        self.floor = -1  # rank keys below it can't be among the best any more
-
-    def add(self, key: np.ndarray, article: np.ndarray, rest: np.ndarray) -> None:
-        good = key >= self.floor
-        if good.any():
-            self.waiting.append((key[good], article[good], rest[:, good]))
-            self.n_waiting += int(good.sum())
-            if self.n_waiting > 4 * self.most:
-                self.settle()
-
-    def settle(self) -> None:
-        if not self.waiting:
+def _best(key: np.ndarray, name: np.ndarray, tie: np.ndarray, keep: int, per_name: int | None) -> np.ndarray:
+    """Places of the rows that can be among the best ``keep`` when at most ``per_name`` of a name count, best first.
+
+    Rows of a name can also lie in other tasks.  Of a list in order, each name
+    that stands before a row has one row at least before it in the final list,
+    so a row with ``keep`` names before it is out.
+    """
+    order = np.lexsort((tie, name, -key))
+    if per_name is None:
+        return order[:keep]
+    of = name[order]
+    by = np.argsort(of, kind="stable")
+    place = np.empty(len(of), np.int64)  # among the rows of its name
+    place[by] = np.arange(len(of)) - np.searchsorted(of[by], of[by])
+    order, first = order[place < per_name], place[place < per_name] == 0
+    return order[np.cumsum(first) - first < keep]
+
+
+class _BestRows:
+    """The rows of a task's whole run that can be among a query's best: rank key, name, and other numbers of each, the tie's first."""
+
+    def __init__(self, keep: int, per_name: int | None, n_rest: int, floor: int = -1):
+        self.keep, self.per_name = keep, per_name
+        self.key, self.name, self.rest = np.zeros(0, np.int64), np.zeros(0, object), np.zeros((n_rest, 0))
+        self.floor = floor  # rank keys below it can't be among the best any more
+
+    def add(self, key: np.ndarray, code: np.ndarray, names: np.ndarray, rest: np.ndarray) -> None:
+        """Rows with codes of their names in ``names``, which are in order."""
+        good = np.flatnonzero(key >= self.floor)
+        if not len(good):
             return
-        key = np.concatenate([self.key, *(w[0] for w in self.waiting)])
-        article = np.concatenate([self.article, *(w[1] for w in self.waiting)])
-        rest = np.concatenate([self.rest, *(w[2] for w in self.waiting)], 1)
-        self.waiting, self.n_waiting = [], 0
-        name = np.unique(article, return_inverse=True)[1]
-        order = np.lexsort((rest[0], name, -key))
-        if self.per_article:  # a block's place among those of its article, best first
-            of = name[order]
-            by = np.argsort(of, kind="stable")
-            place = np.empty(len(of), np.int64)
-            place[by] = np.arange(len(of)) - np.searchsorted(of[by], of[by])
-            order = order[place < self.per_article]
-        order = order[: self.most]
-        self.key, self.article, self.rest = key[order], article[order], rest[:, order]
-        if len(order) == self.most:
-            self.floor = int(self.key[-1])
-
-
-def _matching(asked, keep: int, per_article: int | None):
-    """Blocks of a task that can be among a query's best ``keep``, by overlap and type."""
+        good = good[_best(key[good], code[good], rest[0, good], self.keep, self.per_name)]
+        key = np.concatenate([self.key, key[good]])
+        name = np.concatenate([self.name, names[code[good]]])
+        rest = np.concatenate([self.rest, rest[:, good]], 1)
+        order = _best(key, np.unique(name, return_inverse=True)[1], rest[0], self.keep, self.per_name)
+        self.key, self.name, self.rest = key[order], name[order], rest[:, order]
+        n_names = len(order) if self.per_name is None else len(set(self.name.tolist()))
+        if n_names >= self.keep:
+            self.floor = max(self.floor, int(self.key[-1]))
+
+
+def _highest(values: np.ndarray, n: int, slack: float = 0) -> np.ndarray:
+    """Places of the n highest values, of those that equal the last one, and of those not more than ``slack`` below."""
+    if len(values) <= n:
+        return np.arange(len(values))
+    return np.flatnonzero(values >= np.partition(values, len(values) - n)[len(values) - n] - slack)
+
+
+def _least_overlap(n: int, floor: int) -> int:
+    """Fewest shared tokens of a block that can have this rank key, of a query of n tokens."""
+    return max(1, math.ceil(n * ((floor - 4) / 1e6 - _MOST_BONUS)))
+
+
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(names in order, each row's code, how many rows a name has at most)."""
+    names, code = np.unique(np.array(column.to_pylist(), object), return_inverse=True)
+    return names, code.reshape(-1), int(np.bincount(code.reshape(-1)).max())
+
+
+def _passed_on(best: dict[int, _BestRows]) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
+    """(places of queries, names, other numbers) of what was kept, some thousand rows at a time."""
+    places = list(best)
+    for k in range(0, len(places), 500):
+        some = [best[q] for q in places[k : k + 500]]
+        query = np.repeat(places[k : k + 500], [len(b.key) for b in some])
+        if len(query):
+            yield query, [x for b in some for x in b.name.tolist()], np.concatenate([b.rest for b in some], 1)
+
+
+def _matching(asked, keep: int, per_article: int | None, floors=None):
+    """Blocks of a task that can be among a query's best ``keep``, by overlap and type.
+
+    ``floors`` is a broadcast of a rank key for each query under which no block is among its best.
+    """
 
     def run(batches):
         a = asked.value
-        code = {name: t for t, name in enumerate(TYPE_BONUS)}
-        best: dict[int, _BestBlocks] = {}
-        for batch in batches:
-            if not batch.num_rows or not len(a.ids):
-                continue
-            kind = np.array([code.setdefault(x, len(code)) for x in batch["block_type"].to_pylist()])
-            article = np.array(batch["article_key"].to_pylist(), object)
+        floor = np.full(len(a.ids), -1) if floors is None else floors.value
+        code_of = {name: t for t, name in enumerate(TYPE_BONUS)}
+        best: dict[int, _BestRows] = {}
+        for batch in _chunks(batches):
+            chunk = _Chunk(a, batch)
+            kind = np.array([code_of.setdefault(x, len(code_of)) for x in batch["block_type"].to_pylist()])
+            names, article, most = _coded(batch["article_key"])
             ordinal = batch["ordinal"].to_numpy()
-            for q, hit, shared in a.overlaps(batch):
-                if q not in best:
-                    best[q] = _BestBlocks(keep, per_article)
-                key = _rank_keys(int(a.size[q]), shared, kind[hit])
-                best[q].add(key, article[hit], np.stack([ordinal[hit], kind[hit], shared]))
-        names = list(code)
-        for q, b in best.items():
-            b.settle()
-            n = len(b.key)
+            for q in range(len(a.ids)):
+                b, n = best.get(q), int(a.size[q])
+                hit, shared = chunk.overlaps(a.tokens(q), _least_overlap(n, floor[q] if b is None else b.floor))
+                if not len(hit):
+                    continue
+                key = _rank_keys(n, shared, kind[hit])
+                some = _highest(key, keep * (most if per_article else 1))
+                some = some[key[some] >= (floor[q] if b is None else b.floor)]
+                if not len(some):
+                    continue
+                if b is None:
+                    b = best[q] = _BestRows(keep, per_article, 3, int(floor[q]))
+                hit = hit[some]
+                b.add(key[some], article[hit], names, np.stack([ordinal[hit], kind[hit], shared[some]]))
+        kinds = list(code_of)
+        for query, name, rest in _passed_on(best):
+            rest = rest.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n, a.ids[q])),
-                    pa.array(b.article.tolist(), pa.string()),
-                    pa.array(b.rest[0].astype(np.int32)),
-                    pa.array([names[t] for t in b.rest[1].tolist()], pa.string()),
-                    pa.array(b.rest[2].copy()),
-                    pa.array(np.full(n, a.size[q])),
+                    pa.array(a.ids[query]),
+                    pa.array(name, pa.string()),
+                    pa.array(rest[0].astype(np.int32)),
+                    pa.array([kinds[t] for t in rest[1].tolist()], pa.string()),
+                    pa.array(rest[2]),
+                    pa.array(a.size[query]),
                 ],
                 ["query_id", "article_key", "ordinal", "block_type", "overlap", "n"],
             )
@@ -207,36 +296,35 @@ def _matching(asked, keep: int, per_article: int | None):
 
 
 def _matching_concepts(asked, keep: int):
-    """Concepts of each batch that can be among a query's best ``keep``, by overlap and memory."""
+    """Concepts of a task that can be among a query's best ``keep``, by overlap and memory."""
 
     def run(batches):
         a = asked.value
-        for batch in batches:
-            if not batch.num_rows or not len(a.ids):
-                continue
+        best: dict[int, _BestRows] = {}
+        for batch in _chunks(batches):
+            chunk = _Chunk(a, batch)
             memory = batch["memory"].to_numpy()
-            tie = np.unique(np.array(batch["slug"].to_pylist(), object), return_inverse=True)[1]
-            found = []
-            for q, hit, shared in a.overlaps(batch):
+            names, slug, most = _coded(batch["slug"])
+            highest = 2.0 * memory.max() + 4e-6
+            for q in range(len(a.ids)):
+                b = best.get(q)
+                floor = -1 if b is None else b.floor
+                hit, shared = chunk.overlaps(a.tokens(q), max(1, math.ceil(floor / 1e6 - highest)))
+                if not len(hit):
+                    continue
                 score = shared + 2.0 * memory[hit]
-                # scores are rounded later: what could then equal the last place stays, the first slugs of it
-                order = np.lexsort((tie[hit], -score))
-                least = score[order[keep - 1]] - 2e-6 if len(order) > keep else -np.inf
-                sure = order[score[order] > least + 4e-6]
-                near = order[(score[order] <= least + 4e-6) & (score[order] >= least)]
-                different = np.unique(score[near])[::-1]
-                parts = [sure, *(near[score[near] == v][:keep] for v in different)]
-                order = np.concatenate(parts)
-                found.append((q, hit[order], shared[order]))
-            rows = pa.array(np.concatenate([f[1] for f in found]))
-            query = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+                # scores are rounded: what could then equal the last place is looked at too
+                some = _highest(score, keep * most, 4e-6)
+                some = some[score[some] >= floor / 1e6 - 4e-6]
+                if not len(some):
+                    continue
+                if b is None:
+                    b = best[q] = _BestRows(keep, 1, 2)
+                key = np.array([_rounded(x) for x in score[some].tolist()], np.int64)
+                b.add(key, slug[hit[some]], names, np.stack([shared[some], memory[hit[some]]]))
+        for query, name, rest in _passed_on(best):
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(a.ids[query]),
-                    batch["slug"].take(rows),
-                    pa.array(np.concatenate([f[2] for f in found]).astype(np.int64)),
-                    batch["memory"].take(rows),
-                ],
+                [pa.array(a.ids[query]), pa.array(name, pa.string()), pa.array(rest[0].astype(np.int64)), pa.array(rest[1])],
                 ["query_id", "slug", "n", "memory"],
             )
 
@@ -252,15 +340,34 @@ def keyword_top(blocks: DataFrame, queries: DataFrame, limit: int, per_article:
     queries and blocks that share a word are never written or shuffled.
     """
     given = blocks.select("article_key", F.col("ordinal").cast("int").alias("ordinal"), "block_type", _hashes(F.col("text")).alias("tokens"))
+    given = scratch.kept(given)  # read again for each block of queries
     out = None
     for asked in _asked_blocks(queries):
-        found = given.mapInArrow(
-            _matching(asked, limit, per_article),
-            "query_id long, article_key string, ordinal int, block_type string, overlap long, n long",
-        )
+        floors = None
+        if len(asked.value.ids) >= MANY_QUERIES:
+            first = given.where(F.pmod(F.xxhash64("article_key"), F.lit(FIRST_ARTICLES)) == 0)
+            floors = _floors(_scored(first, asked, limit, per_article), asked, limit, per_article)
+        found = _scored(given, asked, limit, per_article, floors)
         out = found if out is None else out.unionByName(found)
+    return top_blocks(out, limit, per_article)
+
+
+def _scored(given: DataFrame, asked, limit: int, per_article: int | None, floors=None) -> DataFrame:
+    """Blocks with their scores that can be among a query's best."""
+    found = given.mapInArrow(
+        _matching(asked, limit, per_article, floors),
+        "query_id long, article_key string, ordinal int, block_type string, overlap long, n long",
+    )
     score = F.round(F.col("overlap") / F.col("n") + _by_type(TYPE_BONUS), 6)
-    return top_blocks(out.select("query_id", "article_key", "ordinal", "block_type", score.alias("score")), limit, per_article)
+    return found.select("query_id", "article_key", "ordinal", "block_type", score.alias("score"))
+
+
+def _floors(scored: DataFrame, asked, limit: int, per_article: int | None):
+    """Broadcast rank keys, in the order of the queries, of the last places of full lists; more blocks can only raise them."""
+    rank = F.round(F.col("score") + _by_type(RANK_BONUS), 6)
+    last = top_blocks(scored, limit, per_article).groupBy("query_id").agg(F.min(rank).alias("least"), F.count("*").alias("found"))
+    known = {r["query_id"]: _rounded(r["least"]) for r in last.where(F.col("found") == limit).collect()}  # a number a query
+    return scored.sparkSession.sparkContext.broadcast(np.array([known.get(q, -1) for q in asked.value.ids.tolist()], np.int64))
 
 
 def top_blocks(scored: DataFrame, limit: int, per_article: int | None = PER_ARTICLE) -> DataFrame:
@@ -435,6 +542,7 @@ def concepts_by_words(concepts: DataFrame, queries: DataFrame, state: DataFrame,
     own = F.concat(F.col("aliases"), F.array("title"))
     text = F.concat_ws(" ", "title", F.coalesce("hints", own), F.substring(F.coalesce("definition", F.lit("")), 1, 200))
     given = stable.select("slug", F.coalesce("memory", F.lit(0.0)).alias("memory"), _hashes(text).alias("tokens"))
+    given = scratch.kept(given)  # read again for each block of queries
     out = None
     for asked in _asked_blocks(queries):
         found = given.mapInArrow(_matching_concepts(asked, k), "query_id long, slug string, n long, memory double")

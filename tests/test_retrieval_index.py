@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,83 @@ def test_vector_tasks_pass_on_n_a_query(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert passed <= 6 * 15 * 2
+
+
+class Shared:
+    """What a broadcast gives in a task."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_memory_of_a_task_does_not_grow_with_pairs_of_queries_and_rows():
+    r = np.random.default_rng(3)
+    tokens = [[*range(8), *(100 + r.integers(0, 900, 4)).tolist()] for _ in range(2000)]
+    asked = R._Asked(np.arange(2000), [sorted(set(t)) for t in tokens])
+    given = [sorted({*range(8), *(100 + r.integers(0, 900, 10)).tolist()}) for _ in range(5000)]
+    columns = {
+        "article_key": [f"raw/{k // 4}" for k in range(5000)], "ordinal": pa.array(np.arange(5000) % 4, pa.int32()), "block_type": ["summary"] * 5000,
+        "slug": [f"s{k}" for k in range(5000)], "memory": r.random(5000), "tokens": pa.array(given, pa.list_(pa.int64())),
+    }
+    batch = pa.RecordBatch.from_pydict(columns)
+    for run in (R._matching(Shared(asked), 4, 2), R._matching_concepts(Shared(asked), 3)):
+        tracemalloc.start()
+        n = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n >= 3 * 2000
+        assert peak < 200e6  # all pairs' counts: over a gigabyte
+
+
+@pytest.mark.parametrize("limit, per_article", [(6, 2), (3, None)])
+def test_first_limits_and_small_chunks_give_the_same_blocks(spark, monkeypatch, limit, per_article):
+    monkeypatch.setattr(R, "MANY_QUERIES", 1)
+    monkeypatch.setattr(R, "FIRST_ARTICLES", 3)
+    given, asked = blocks(spark, 80, 6), queries(spark, 25, 7)
+    assert rows(R.keyword_top(given, asked, limit, per_article)) == by_hand(given, asked, limit, per_article)
+    monkeypatch.setattr(R, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(R, "CHUNK_TOKENS", 60)
+    batch = pa.RecordBatch.from_pydict({"tokens": pa.array([list(range(k % 90)) for k in range(100)], pa.list_(pa.int64())), "k": list(range(100))})
+    parts = list(R._chunks(iter([batch.slice(0, 50), batch.slice(50, 0), batch.slice(50)])))
+    assert [k for p in parts for k in p["k"].to_pylist()] == list(range(100))
+    assert max(p.num_rows for p in parts) <= 7
+    assert all(p.num_rows == 1 or len(p["tokens"].flatten()) <= 60 for p in parts)
+
+
+def test_tasks_keep_the_best_over_small_chunks(monkeypatch):
+    monkeypatch.setattr(R, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(R, "CHUNK_TOKENS", 40)
+    r = np.random.default_rng(8)
+    given = [sorted(set(r.integers(0, 30, r.integers(0, 12)).tolist())) for _ in range(200)]
+    asked = [sorted(set(r.integers(0, 33, r.integers(0, 9)).tolist())) for _ in range(40)]
+    # names repeat, within chunks too
+    slug, memory = [f"s{k}" for k in r.integers(0, 60, 200)], (r.integers(0, 9, 200) / 7).tolist()
+    batch = pa.RecordBatch.from_pydict({
+        "slug": slug, "memory": memory, "article_key": slug, "ordinal": pa.array(range(200), pa.int32()), "block_type": ["title", "summary"] * 100,
+        "tokens": pa.array(given, pa.list_(pa.int64())),
+    })
+    shared = Shared(R._Asked(np.arange(40), asked))
+    concepts = [tuple(x.values()) for p in R._matching_concepts(shared, 3)(iter([batch])) for x in p.to_pylist()]
+    found = [x for p in R._matching(shared, 4, 2)(iter([batch])) for x in p.to_pylist()]
+    for q, mine in enumerate(asked):
+        n = [len(set(mine) & set(g)) for g in given]
+        best: dict = {}
+        for k in range(200):
+            if n[k]:
+                best[slug[k]] = max(best.get(slug[k], -1), R._rounded(n[k] + 2.0 * memory[k]))
+        want = sorted(((-v, s) for s, v in best.items()))[:3]
+        got: dict = {}
+        for _, s, shared_, m in (x for x in concepts if x[0] == q):
+            got[s] = max(got.get(s, -1), R._rounded(shared_ + 2.0 * m))
+        assert sorted(((-v, s) for s, v in got.items()))[:3] == want
+        taken, of = [], {}
+        for _, s, k in sorted((-rank(mine, n[k], k), slug[k], k) for k in range(200) if n[k]):
+            of[s] = of.get(s, 0) + 1
+            if of[s] <= 2:
+                taken.append(k)
+        assert set(taken[:4]) <= {x["ordinal"] for x in found if x["query_id"] == q}
+
+
+def rank(mine, n, k):
+    bonus = R.TYPE_BONUS["summary"] if k % 2 else 0.0
+    return R._rounded(R._rounded(n / len(mine) + bonus) / 1e6)
