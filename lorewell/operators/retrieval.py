@@ -33,7 +33,7 @@ QUERY_BLOCK, QUERY_TILE = 20_000, 500
 #: Rows of the index, and about how many of their tokens, that are looked at together; a token of one row in so many is common.
 CHUNK_ROWS, CHUNK_TOKENS, COMMON = 1 << 14, 1 << 21, 16
 #: From so many queries on, one article in so many gives each query a first limit.
-MANY_QUERIES, FIRST_ARTICLES = 1000, 16
+MANY_QUERIES, FIRST_ARTICLES = 1000, 8
 #: Vectors of the index that are multiplied together.
 VECTOR_TILE = 1024
 
@@ -346,10 +346,12 @@ def keyword_top(blocks: DataFrame, queries: DataFrame, limit: int, per_article:
         floors = None
         if len(asked.value.ids) >= MANY_QUERIES:
             first = given.where(F.pmod(F.xxhash64("article_key"), F.lit(FIRST_ARTICLES)) == 0)
+            # each task passes on a full list a query
+            first = first.coalesce(max(4, first.rdd.getNumPartitions() // FIRST_ARTICLES))
             floors = _floors(_scored(first, asked, limit, per_article), asked, limit, per_article)
         found = _scored(given, asked, limit, per_article, floors)
         out = found if out is None else out.unionByName(found)
-    return top_blocks(out, limit, per_article)
+    return scratch.kept(top_blocks(out, limit, per_article))  # few rows a query, which callers join more than once
 
 
 def _scored(given: DataFrame, asked, limit: int, per_article: int | None, floors=None) -> DataFrame:
@@ -395,7 +397,7 @@ def vector_scores(index: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         fits = index.where(F.size("embedding") == unit.shape[1]) if len(rows) else index.limit(0)
         found = fits.select("id", "embedding").mapInArrow(_nearest(shared, n), "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)
-    return nearest_of(out, n)
+    return scratch.kept(nearest_of(out, n))
 
 
 def nearest_of(found: DataFrame, n: int) -> DataFrame:
@@ -547,7 +549,7 @@ def concepts_by_words(concepts: DataFrame, queries: DataFrame, state: DataFrame,
     for asked in _asked_blocks(queries):
         found = given.mapInArrow(_matching_concepts(asked, k), "query_id long, slug string, n long, memory double")
         out = found if out is None else out.unionByName(found)
-    return _top_concepts(out.select("query_id", "slug", F.round(F.col("n") + 2.0 * F.col("memory"), 6).alias("score")), k)
+    return scratch.kept(_top_concepts(out.select("query_id", "slug", F.round(F.col("n") + 2.0 * F.col("memory"), 6).alias("score")), k))
 
 
 def concepts_first(by_vector: DataFrame | None, by_words: DataFrame) -> DataFrame:
