@@ -20,6 +20,7 @@ from lorewell.operators import retrieval as R
 from lorewell.operators import seeds as S
 from lorewell.operators import wiki_pages as W
 from lorewell.plans import views as V
+from lorewell.sources import scratch
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ def retrieve_vector(spark, sf_dir):
 
 def retrieve_hybrid(spark, sf_dir):
     """Questions of every twentieth document, with its vector; a vector is of the block whose number is the id's remainder by 3."""
-    b = _blocks(spark, sf_dir)
+    b = scratch.kept(_blocks(spark, sf_dir))
     key = F.concat(F.lit("raw/"), F.col("id").cast("string")).alias("article_key")
     v = _vector_top(spark, sf_dir, 24).select("query_id", "rank", key, (F.col("id") % 3).cast("int").alias("ordinal"))
     v = v.join(b.select("article_key", F.col("ordinal").cast("int").alias("ordinal"), "block_type"), ["article_key", "ordinal"])
